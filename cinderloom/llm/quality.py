@@ -1,9 +1,10 @@
 """Quality classifier by compression (operator 7).
 
 Two zstandard dictionaries are trained, from good and from bad labelled texts. A text, in pieces of
-PIECE bytes, is compressed with each; how many bytes fewer the good dictionary needs, over the text's
-bytes, is its one feature. A logistic curve fitted on labelled texts the dictionaries have not seen turns
-it into a score.
+PIECE bytes, is compressed with each. How many bytes fewer the good dictionary needs, over the text's bytes, is its
+normalised compressed-size difference; how far it shrinks at all stands beside it, since a word repeated for ever
+shrinks to nothing with either. SMALL bytes more in the denominators keep short texts near the middle. A logistic curve
+fitted on labelled texts the dictionaries have not seen turns these into a score.
 """
 
 from __future__ import annotations
@@ -24,16 +25,16 @@ PIECE = 512
 LEVEL = 3
 DICTIONARY_BYTES = 112_640
 #: Bounds on training: so many labelled rows of each class, and so many pieces (spread over the text) of each row.
-FIT_ROWS, FIT_PIECES = 600, 48
+FIT_ROWS, FIT_PIECES = 1500, 48
+#: Bytes added to a text's length, and to what it shrinks to, before they are divided.
+SMALL, SMALL_PACKED = 100, 40
 GOOD_FROM = 0.7
 
 
 class Model(NamedTuple):
     good: bytes
     bad: bytes
-    slope: float
-    offset: float
-    empty: float  # score of texts without a byte
+    curve: tuple[float, float, float]  # of the difference, the shrinking and 1
 
 
 def _pieces(text: str | None) -> list[bytes]:
@@ -42,7 +43,7 @@ def _pieces(text: str | None) -> list[bytes]:
 
 
 class _Meter:
-    """Compressed-size difference per byte of a text under two dictionaries."""
+    """Compressed sizes of a text under two dictionaries."""
 
     def __init__(self, good: bytes, bad: bytes) -> None:
         self.compress = []
@@ -52,13 +53,14 @@ class _Meter:
             options = {"level": LEVEL, "dict_data": d, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
             self.compress.append(zstandard.ZstdCompressor(**options).compress)
 
-    def difference(self, text: str | None) -> float:
+    def features(self, pieces: list[bytes]) -> tuple[float, float, float]:
         good, bad = self.compress
-        size = difference = 0
-        for p in _pieces(text):
-            size += len(p)
-            difference += len(bad(p)) - len(good(p))
-        return difference / size if size else 0.0
+        g, b, n = sum(len(good(p)) for p in pieces), sum(len(bad(p)) for p in pieces), sum(map(len, pieces))
+        return (b - g) / (n + SMALL), (b + g + SMALL_PACKED) / (n + SMALL), 1.0
+
+
+def _score(x: np.ndarray, curve: tuple[float, float, float]) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ np.array(curve), -30, 30)))
 
 
 def _dictionary(samples: list[bytes]) -> bytes:
@@ -71,31 +73,32 @@ def _dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY_BYTES:].ljust(8, b"\x00")
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton's steps, with a slight pull to 0 that keeps separable classes finite."""
-    scale = float(x.std()) or 1.0
-    a = np.stack([x / scale, np.ones_like(x)], axis=1)
-    w = np.zeros(2)
-    pull = np.diag([0.02, 0.001])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + pull + 1e-9 * np.eye(2), a.T @ (y - p) - pull @ w)
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
+    """The curve by Newton's steps, with a slight pull to 0 that keeps separable classes finite."""
+    scale = x.std(axis=0)
+    scale[scale == 0] = 1.0
+    a, w, pull = x / scale, np.zeros(x.shape[1]), 1e-3
+    for _ in range(60):
+        p = _score(a, tuple(w))
+        slope = a.T @ (weight * (y - p)) - pull * w
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + pull * np.eye(len(w)), slope)
         w += step
         if abs(step).max() < 1e-9:
             break
-    return float(w[0] / scale), float(w[1])
+    return tuple((w / scale).tolist())
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, learn: Column, text: str = "text", key: str = "doc_id", label: str = "quality", fit_rows: int = FIT_ROWS, fit_pieces: int = FIT_PIECES) -> Model:
     """Dictionaries and curve from labelled rows where ``learn`` (an expression of ``key``) holds.
 
     The fit is bounded by ``fit_rows`` rows of each class, picked by a hash of their key, and ``fit_pieces`` pieces of
-    each: half of the rows make the dictionaries, half the curve. Where a class has no row, every score is the
-    share of good labels (0.5 without any).
+    each: half of the rows make the dictionaries, half the curve, weighted to the classes' shares of all labels. Where a
+    class has too few rows, every score is the share of good labels (0.5 without any).
     """
     known = labels.filter(learn & F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"))
     h = F.xxhash64(F.col("key"), F.lit(7))
     known = known.groupBy("key").agg(F.min("y").alias("y")).withColumn("h", h)
+    shares = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     chosen = known.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy("h", "key"))).filter(F.col("k") <= fit_rows).select("key", "y", "k")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("key", "y", "k", "text")
 
@@ -108,27 +111,28 @@ def fit(docs: DataFrame, labels: DataFrame, *, learn: Column, text: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(parts, pa.list_(pa.binary()))], names=["key", "y", "k", "parts"])
 
     got = rows.mapInArrow(sampled, "key long, y int, k int, parts array<binary>").collect()
-    return train(sorted((r["k"], r["key"], r["y"], [bytes(p) for p in r["parts"]]) for r in got))
+    return train(sorted((r["k"], r["key"], r["y"], [bytes(p) for p in r["parts"]]) for r in got), shares)
 
 
-def train(rows: list[tuple[int, int, int, list[bytes]]]) -> Model:
+def train(rows: list[tuple[int, int, int, list[bytes]]], shares: dict[int, int]) -> Model:
     """From (place in its class, key, label, pieces): odd places make the dictionaries, even ones the curve."""
-    share = float(np.mean([y for _, _, y, _ in rows])) if rows else 0.5
+    good_share = (shares.get(1, 0) + 1e-6) / (sum(shares.values()) + 2e-6)
     own = {c: [p for k, _, y, ps in rows if y == c and k % 2 for p in ps] for c in (0, 1)}
-    curve = [(y, ps) for k, _, y, ps in rows if not k % 2 and ps]
-    if not own[0] or not own[1] or len({y for y, _ in curve}) < 2:
-        return Model(b"\x00" * 8, b"\x00" * 8, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))), share)
+    seen = [(y, ps) for k, _, y, ps in rows if not k % 2]
+    y = np.array([y for y, _ in seen], dtype=float)
+    if not own[0] or not own[1] or len(set(y.tolist())) < 2:
+        return Model(_dictionary([]), _dictionary([]), (0.0, 0.0, float(np.log(good_share / (1 - good_share)))))
     good, bad = _dictionary(own[1]), _dictionary(own[0])
     meter = _Meter(good, bad)
-    x = np.array([meter.difference(b"".join(ps).decode("utf-8", "ignore")) for _, ps in curve])
-    slope, offset = _logistic(x, np.array([y for y, _ in curve], dtype=float))
-    return Model(good, bad, slope, offset, 1 / (1 + float(np.exp(-offset))))
+    weight = np.where(y == 1, good_share / y.mean(), (1 - good_share) / (1 - y.mean()))
+    return Model(good, bad, _logistic(np.array([meter.features(ps) for _, ps in seen]), y, weight))
 
 
 def scored(docs: DataFrame, model: Model, *, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the score (0 to 1, higher is better) of each whole text, all columns kept.
 
-    A null or empty text has no bytes to compare: its feature is 0. Very long texts go piece by piece.
+    A null or empty text has no bytes to compare and gets what the curve says of no difference. Very long texts go
+    piece by piece.
     ``name`` must not clash with a column.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY_BYTES at most
@@ -138,8 +142,7 @@ def scored(docs: DataFrame, model: Model, *, text: str = "text", name: str = "sc
         meter = _Meter(m.good, m.bad)
 
         def compute(texts: list) -> list[pa.Array]:
-            x = np.array([meter.difference(t) for t in texts])
-            return [pa.array(1 / (1 + np.exp(-np.clip(m.slope * x + m.offset, -30, 30))))]
+            return [pa.array(_score(np.array([meter.features(_pieces(t)) for t in texts]), m.curve))]
 
         return compute
 

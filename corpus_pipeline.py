@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from cinderloom.llm import decontaminate, language_id, mixing, near_dedup, quality
 from cinderloom.llm._shared import crc_mod, free_name, load, written
 
+REJECT_BELOW = 0.5
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier does not call bad (score below quality.GOOD_FROM)."""
+    """Documents that the compression classifier does not find likelier bad than good (score below REJECT_BELOW)."""
     model = quality.fit(docs, load(spark, sf_dir, "labels"), learn=F.expr(crc_mod("doc_id", 4)) != 2)
     name = free_name(docs, "quality_score")
-    return quality.scored(docs, model, name=name).filter(F.col(name) >= quality.GOOD_FROM).drop(name)
+    return quality.scored(docs, model, name=name).filter(F.col(name) >= REJECT_BELOW).drop(name)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
