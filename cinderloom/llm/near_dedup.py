@@ -10,11 +10,12 @@ of maxima of the counts. Steps:
    and two signatures agree in a component with probability equal to the weighted Jaccard. Points come in
    order of time, so a process is followed only until the largest minimum seen: about one point a shingle.
 2. Copies with equal words are one node from here on, and each node is dealt to BANDS buckets.
-3. Each bucket links its members to its smallest one (never all pairs), pairs are verified exactly on
-   the whole bags, and links are contracted to components.
-4. Members that their bucket's smallest did not settle are compared with the members of other components
-   in the bucket, under exact size bounds and a signature bound. So the only pairs of a bucket that are
-   never compared are those already in one class.
+3. Each bucket links its members to one hub (never all pairs), the text that shares most buckets; pairs are
+   verified exactly on the whole bags, links are contracted to components, and what the hub did not settle gets
+   a hub of its own.
+4. Members still outside their hub's component are compared with the members of other components in the
+   bucket, under exact size bounds and a signature bound. So the only pairs of a bucket that are never
+   compared are those already in one class.
 """
 
 from __future__ import annotations
@@ -33,7 +34,13 @@ from cinderloom.llm._shared import written
 
 SHINGLE = 5
 BANDS, ROWS = 32, 5
-SIZE = BANDS * ROWS
+#: Rounds of hubs before what they leave is compared pair by pair.
+STAR_ROUNDS = 2
+#: Standard deviations: a pair at the threshold is turned away with probability 3e-6.
+SLACK = 4.5
+#: Components of the signature: those of the bands, and as many again three times for the sketch.
+BANDED, SKETCHED = BANDS * ROWS, 480
+SIZE = BANDED + SKETCHED
 _U = np.uint64
 
 
@@ -84,19 +91,21 @@ def bag_min_hash(bags: list[tuple[np.ndarray, np.ndarray]], size: int = SIZE) ->
     while True:
         live, t, at = np.arange(len(text)), time.copy(), point
         while len(live):
-            h = _words.mix(seed[live] + _U((at + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-            gap = -np.log(((h >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53)
-            t = t + gap / rate[live]
-            ok = t <= limit[text[live]]
-            live, t, h = live[ok], t[ok], h[ok]
-            g = _words.mix(h ^ _U(0xA0761D6478BD642F))
-            spot = (1 << np.maximum(level[live] - 1, 0)) * (level[live] > 0)  # lower end of the interval
+            # Few processes left: many points of each at once. Sums run in the same order either way.
+            more = max(1, min(256, 200_000 // len(live)))
+            place = np.array([(at + 1 + j) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF for j in range(more)], dtype=np.uint64)
+            h = _words.mix(seed[live][:, None] + place[None, :])
+            gap = -np.log(((h >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate[live][:, None]
+            times = np.cumsum(np.concatenate((t[:, None], gap), axis=1), axis=1)[:, 1:]
+            ok = times <= limit[text[live]][:, None]
+            own, g = live[np.nonzero(ok)[0]], _words.mix(h[ok] ^ _U(0xA0761D6478BD642F))
+            spot = (1 << np.maximum(level[own] - 1, 0)) * (level[own] > 0)  # lower end of the interval
             # The halvings of an interval are the leading bits of one more number.
-            spot = spot + ((g >> _U(32)).astype(np.int64) * width[live] >> 32)
-            inside = spot < count[live]
+            spot = spot + ((g >> _U(32)).astype(np.int64) * width[own] >> 32)
+            inside = spot < count[own]
             component = ((g & _U(0xFFFFFFFF)) * _U(size) >> _U(32)).astype(np.int64)
-            np.minimum.at(best, (text[live] * size + component)[inside], t[inside])
-            at += 1
+            np.minimum.at(best, (text[own] * size + component)[inside], times[ok][inside])
+            live, t, at = live[ok[:, -1]], times[ok[:, -1], -1], at + more
         short = np.flatnonzero(np.isinf(best.reshape(n, size)).any(axis=1) & (total > 0))
         if not len(short):
             break
@@ -108,7 +117,7 @@ def bag_min_hash(bags: list[tuple[np.ndarray, np.ndarray]], size: int = SIZE) ->
 
 def _band_keys(signature: np.ndarray) -> np.ndarray:
     """A key for each band; keys of different bands differ as well."""
-    rows = signature.reshape(len(signature), BANDS, ROWS)
+    rows = signature[:, :BANDED].reshape(len(signature), BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * _U(0x9E3779B97F4A7C15)
     for r in range(ROWS):
         key = _words.mix(key ^ rows[:, :, r]) + _U(r)
@@ -116,11 +125,12 @@ def _band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _sketch(signature: np.ndarray) -> np.ndarray:
-    """One bit of each component, as longs: counts of unequal bits bound the likeness from above."""
-    bits = (_words.mix(signature) & _U(1)).astype(np.uint8)
-    pad = np.zeros((len(bits), -(-SIZE // 64) * 64), dtype=np.uint8)
-    pad[:, :SIZE] = bits
-    return np.packbits(pad, axis=1).view(">u8").astype(np.uint64).view(np.int64)
+    """Four bits of each component that no band has, sixteen to a long: counts of unequal ones bound the likeness."""
+    four = _words.mix(signature[:, BANDED:]) & _U(15)
+    packed = np.zeros((len(four), SKETCHED // 16), dtype=np.uint64)
+    for i in range(16):
+        packed |= four[:, i::16] << _U(4 * i)
+    return packed.view(np.int64)
 
 
 _SIGNED = T.StructType(
@@ -217,6 +227,67 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def _buckets(reps: DataFrame) -> DataFrame:
+    """(key, node, n, fame) of every node in a bucket with others; fame is how many nodes its buckets hold.
+
+    The text that copies were made from shares more buckets than any copy does, so it is the most famous.
+    """
+    dealt = reps.select(F.explode("bands").alias("key"), "node", "n")
+    sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    met = written(dealt.join(sizes, "key"), "met")
+    fame = met.groupBy("node").agg(F.sum("size").alias("fame"))
+    return met.select("key", "node", "n").join(fame, "node")
+
+
+def _placed(met: DataFrame, root: DataFrame | None) -> DataFrame:
+    """Buckets with the component ``r`` of each node."""
+    if root is None:
+        return met.withColumn("r", F.col("node"))
+    return met.join(root.withColumnRenamed("root", "r"), "node", "left").withColumn("r", F.coalesce("r", "node"))
+
+
+def _hubs(placed: DataFrame) -> DataFrame:
+    """Each bucket's most famous node (ties: the least)."""
+    best = F.max(F.struct("fame", (-F.col("node")).alias("o"), "node", "n", "r")).alias("hub")
+    return placed.groupBy("key").agg(best).select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.r").alias("hub_r"))
+
+
+def _stars(met: DataFrame, root: DataFrame | None, threshold: float) -> DataFrame:
+    """Pairs of each bucket's hub and its other nodes; from the second round on the hub is one of those that the
+    bucket's first hub did not settle, and the pairs are those with nodes of other components."""
+    placed = _placed(met, root)
+    hubs = _hubs(placed)
+    if root is not None:
+        placed = written(placed, "placed")
+        left = placed.join(_hubs(placed).select("key", "hub_r"), "key").filter("r <> hub_r").drop("hub_r")
+        hubs = _hubs(left)
+    pairs = placed.join(hubs, "key").filter((F.col("r") != F.col("hub_r")) & (F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n")))
+    return pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+
+
+def _unsettled(met: DataFrame, root: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that no hub has settled: nodes outside the component of their bucket's hub, with nodes of other components."""
+    placed = written(_placed(met, root), "placed")
+    hub = _hubs(placed).select("key", "hub_r")
+    left = placed.join(hub, "key").filter("r <> hub_r").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"))
+    right = placed.join(left.select("key").distinct(), "key", "left_semi").select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"))
+    bits = reps.select("node", "bits")
+    left = left.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("xa")), "a")
+    right = right.join(bits.select(F.col("node").alias("b"), F.col("bits").alias("xb")), "b")
+    unequal = F.lit(0)
+    for i in range(SKETCHED // 16):
+        x = F.col("xa")[i].bitwiseXOR(F.col("xb")[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        unequal = unequal + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    # Of components that differ, one in 16 agrees by chance; SLACK standard deviations over what the threshold gives.
+    p = (1 - threshold) * 15 / 16
+    bound = SKETCHED * p + SLACK * (SKETCHED * p * (1 - p)) ** 0.5
+    close = (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (unequal <= bound)
+    rest = left.join(right, (left["key"] == right["key"]) & close)
+    return rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text; other columns are not used): doc_id, class_id, n_shingles.
 
@@ -239,31 +310,17 @@ def _classes(signed: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     reps = worded.join(copies, ["f1", "f2"]).filter("node = rep").dropDuplicates(["f1", "f2"])
     reps = written(reps.select("node", "n", "bands", "bits"), "representatives")
 
-    dealt = reps.select(F.explode("bands").alias("key"), "node", "n")
-    hubs = dealt.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    met = written(dealt.join(hubs.select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "key"), "buckets")
-    alike = F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n")
-    stars = met.filter((F.col("node") != F.col("hub")) & alike).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    met = written(_buckets(reps), "buckets")
+    links, root = None, None
+    for _ in range(STAR_ROUNDS):
+        stars = _stars(met, root, threshold)
+        if links is not None:
+            stars = stars.join(links.select("a", "b"), ["a", "b"], "left_anti")
+        found = verified(stars, docs, threshold)
+        links = written(found if links is None else links.union(found), "links")
+        root = components(links)
     copy_links = member.filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    links = written(verified(stars, docs, threshold), "links")
-    root = components(links)
-
-    placed = met.join(root.withColumnRenamed("root", "r"), "node", "left").withColumn("r", F.coalesce("r", "node"))
-    hub_root = root.select(F.col("node").alias("hub"), F.col("root").alias("hr"))
-    placed = written(placed.join(hub_root, "hub", "left").withColumn("hr", F.coalesce("hr", "hub")).select("key", "node", "n", "r", "hr"), "placed")
-    left = placed.filter("r <> hr").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"))
-    right = placed.join(left.select("key").distinct(), "key", "left_semi").select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"))
-    bits = reps.select("node", "bits")
-    left = left.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("xa")), "a")
-    right = right.join(bits.select(F.col("node").alias("b"), F.col("bits").alias("xb")), "b")
-    unequal = sum((F.bit_count(F.col("xa")[i].bitwiseXOR(F.col("xb")[i])) for i in range(-(-SIZE // 64))), F.lit(0))
-    # Bits of unlike components agree by half; five standard deviations of slack.
-    p = (1 - threshold) / 2
-    bound = SIZE * p + 5 * (SIZE * p * (1 - p)) ** 0.5
-    close = (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (unequal <= bound)
-    rest = left.join(right, (left["key"] == right["key"]) & close)
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = verified(rest, docs, threshold)
+    rest = verified(_unsettled(met, root, reps, threshold), docs, threshold)
     # Links between classes found so far, and copies (rows that share a doc_id among them), close the classes.
     label = components(links.union(rest).union(copy_links))
     least = label.withColumnRenamed("root", "class_id").withColumnRenamed("node", "doc_id")
