@@ -4,7 +4,8 @@ A source with weight w shall give target words. Its ratio target / size is split
 which every document gets for certain, and a fraction, which is each document's inclusion probability for
 one copy more. Those copies go to the documents of least Pareto rank, (U / (1-U)) / (p / (1-p)), where U is
 a number from a hash of the document. They are taken in that order while their words fit what the whole copies
-leave missing; one last place goes to the document, of those beyond, whose size comes nearest to the rest.
+leave missing; beyond that cut, the next FILL that are short enough go in, in order, each where it still fits. So a source
+gives at most its target, short of it by less than the documents that were left out.
 
 The order is never gathered: words are summed in BINS bins of rank for each source, the bin where the
 sum crosses is found from those sums, and only that bin's documents are put in order.
@@ -20,6 +21,8 @@ from cinderloom.llm._shared import written
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 BINS = 65536
+#: Documents of a source that may fill what its cut leaves.
+FILL = 200
 #: Per-source rows that a broadcast may have (some 100 bytes each).
 BROADCAST_ROWS = 100_000
 SEED = "mix-1"
@@ -68,7 +71,7 @@ def _ranked(slim: DataFrame) -> DataFrame:
 def plan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, DataFrame]:
     """(slim documents, sources): sizes of documents; and of each source its target and where its order is cut.
 
-    A document of a source gets ``whole`` copies, and one more if (rank, doc) is at most (rank_cut, key_cut) or is (last_rank, last_key).
+    A document of a source gets ``whole`` copies, and one more if (rank, doc) is at most (rank_cut, key_cut) or is in ``fill``.
     """
     slim = docs.select(F.col(key).alias("doc"), F.col(source).alias("source"), words(text).alias("size"), _unit(key).alias("u"))
     slim = written(slim, "sizes")
@@ -93,11 +96,19 @@ def plan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: st
     )
     best = best.select("es", "edge_bin", F.coalesce("cut.rank", F.lit(-1.0)).alias("rank_cut"), F.col("cut.doc").alias("key_cut"), (F.col("missing") - F.col("upto")).alias("gap"))
     cut = written(sources.join(best, F.col("s").eqNullSafe(F.col("es")), "left").drop("es"), "cuts")
-    # The last place: of the documents beyond the cut, the one whose size comes nearest to the words still missing.
-    beyond = _ranked(_joined(slim, cut)).filter(F.col("rank").isNotNull() & F.col("edge_bin").isNotNull()).filter(~_below())
-    last = beyond.groupBy(F.col("s").alias("ls")).agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "rank", "doc")).alias("last"), F.first("gap").alias("g"))
-    last = last.filter("last.off < g").select("ls", F.col("last.rank").alias("last_rank"), F.col("last.doc").alias("last_key"))
-    return slim, written(cut.join(last, F.col("s").eqNullSafe(F.col("ls")), "left").drop("ls", "gap"), "cuts")
+    # The document at the cut may be long and leave many words missing: the next FILL that are short enough, in order, each where it fits.
+    beyond = _ranked(_joined(slim, cut)).filter(F.col("rank").isNotNull() & F.col("edge_bin").isNotNull() & (F.col("size") <= F.col("gap"))).filter(~_below())
+    next_ones = beyond.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= FILL)
+    lists = next_ones.groupBy(F.col("s").alias("ls")).agg(F.first("gap").alias("g"), F.array_sort(F.collect_list(F.struct("k", "rank", "doc", "size"))).alias("l"))
+    start = F.struct(F.col("g").alias("left"), F.filter(F.transform("l", lambda x: F.struct(x["rank"].alias("rank"), x["doc"].alias("doc"))), lambda x: F.lit(False)).alias("fill"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = x["size"] <= acc["left"]
+        more = F.concat(acc["fill"], F.array(F.struct(x["rank"].alias("rank"), x["doc"].alias("doc"))))
+        return F.struct(F.when(fits, acc["left"] - x["size"]).otherwise(acc["left"]).alias("left"), F.when(fits, more).otherwise(acc["fill"]).alias("fill"))
+
+    fills = lists.select("ls", F.aggregate("l", start, step)["fill"].alias("fill"))
+    return slim, written(cut.join(fills, F.col("s").eqNullSafe(F.col("ls")), "left").drop("ls", "gap"), "cuts")
 
 
 def _below() -> Column:
@@ -116,8 +127,8 @@ def _joined(docs: DataFrame, sources: DataFrame) -> DataFrame:
 def decided(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     """``rows`` (doc, source, size, u and others) with their source's row and ``n_copies``."""
     r = _ranked(_joined(rows, cuts))
-    last = (F.col("rank") == F.col("last_rank")) & F.col("doc").eqNullSafe(F.col("last_key"))
-    more = F.when(_below() | F.coalesce(last, F.lit(False)), 1).otherwise(0)
+    filled = F.exists("fill", lambda x: (x["rank"] == F.col("rank")) & x["doc"].eqNullSafe(F.col("doc")))
+    more = F.when(_below() | F.coalesce(filled, F.lit(False)), 1).otherwise(0)
     return r.withColumn("n_copies", F.col("whole") + more)
 
 

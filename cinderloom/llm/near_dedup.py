@@ -14,7 +14,7 @@ of maxima of the counts. Steps:
    verified exactly on the whole bags, links are contracted to components, and what the hub did not settle gets
    a hub of its own.
 4. Members still outside their hub's component are compared with the members of other components in the
-   bucket, under exact size bounds and a signature bound. So the only pairs of a bucket that are never
+   bucket, under exact size bounds and a bound from a longer signature of their own. So the only pairs of a bucket that are never
    compared are those already in one class.
 """
 
@@ -38,9 +38,9 @@ BANDS, ROWS = 32, 5
 STAR_ROUNDS = 2
 #: Standard deviations: a pair at the threshold is turned away with probability 3e-6.
 SLACK = 4.5
-#: Components of the signature: those of the bands, and as many again three times for the sketch.
-BANDED, SKETCHED = BANDS * ROWS, 480
-SIZE = BANDED + SKETCHED
+SIZE = BANDS * ROWS
+#: Components of the longer signature of the few nodes that hubs leave unsettled.
+SKETCHED = 1024
 _U = np.uint64
 
 
@@ -117,7 +117,7 @@ def bag_min_hash(bags: list[tuple[np.ndarray, np.ndarray]], size: int = SIZE) ->
 
 def _band_keys(signature: np.ndarray) -> np.ndarray:
     """A key for each band; keys of different bands differ as well."""
-    rows = signature[:, :BANDED].reshape(len(signature), BANDS, ROWS)
+    rows = signature.reshape(len(signature), BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * _U(0x9E3779B97F4A7C15)
     for r in range(ROWS):
         key = _words.mix(key ^ rows[:, :, r]) + _U(r)
@@ -125,8 +125,8 @@ def _band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _sketch(signature: np.ndarray) -> np.ndarray:
-    """Four bits of each component that no band has, sixteen to a long: counts of unequal ones bound the likeness."""
-    four = _words.mix(signature[:, BANDED:]) & _U(15)
+    """Four bits of each component, sixteen to a long: counts of unequal ones bound the likeness."""
+    four = _words.mix(signature) & _U(15)
     packed = np.zeros((len(four), SKETCHED // 16), dtype=np.uint64)
     for i in range(16):
         packed |= four[:, i::16] << _U(4 * i)
@@ -140,18 +140,32 @@ _SIGNED = T.StructType(
         T.StructField("f2", T.LongType()),
         T.StructField("n", T.LongType()),
         T.StructField("bands", T.ArrayType(T.LongType())),
-        T.StructField("bits", T.ArrayType(T.LongType())),
     ]
 )
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(node, fingerprint, shingles, band keys, sketch) of each row of (doc_id, text)."""
+def _longs(rows: np.ndarray, skip: np.ndarray) -> pa.Array:
+    """Rows as lists of longs, empty where ``skip`` is set."""
+    sizes = np.where(skip, 0, rows.shape[1])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(rows[~skip].ravel()))
+
+
+def _sketches(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, bits) of the nodes' texts."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            for first, words in _words.batches(batch.column(1).to_pylist()):
+                bags = shingle_bags(words)
+                signature = bag_min_hash(bags, SKETCHED)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(bags)), _longs(_sketch(signature), np.array([len(b[0]) == 0 for b in bags]))], names=["node", "bits"])
+
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node")
+    return written(texts.select("node", "text").mapInArrow(run, "node long, bits array<long>").filter(F.size("bits") > 0), "sketches")
 
-    def longs(rows: np.ndarray, skip: np.ndarray) -> pa.Array:
-        flat = pa.array(rows[~skip].ravel())
-        sizes = np.where(skip, 0, rows.shape[1])
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), flat)
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """(node, fingerprint, shingles, band keys) of each row of (doc_id, text)."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
@@ -163,7 +177,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 f1, f2 = _sequence_prints(words)
                 empty = size == 0
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, len(bags)), pa.array(f1), pa.array(f2), pa.array(size), longs(_band_keys(signature), empty), longs(_sketch(signature), empty)],
+                    [ids.slice(first, len(bags)), pa.array(f1), pa.array(f2), pa.array(size), _longs(_band_keys(signature), empty)],
                     names=_SIGNED.names,
                 )
 
@@ -265,13 +279,14 @@ def _stars(met: DataFrame, root: DataFrame | None, threshold: float) -> DataFram
     return pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
 
 
-def _unsettled(met: DataFrame, root: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+def _unsettled(met: DataFrame, root: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Pairs that no hub has settled: nodes outside the component of their bucket's hub, with nodes of other components."""
     placed = written(_placed(met, root), "placed")
     hub = _hubs(placed).select("key", "hub_r")
     left = placed.join(hub, "key").filter("r <> hub_r").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"))
     right = placed.join(left.select("key").distinct(), "key", "left_semi").select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"))
-    bits = reps.select("node", "bits")
+    left, right = written(left, "left"), written(right, "right")
+    bits = _sketches(right.select(F.col("b").alias("node")).distinct(), docs)
     left = left.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("xa")), "a")
     right = right.join(bits.select(F.col("node").alias("b"), F.col("bits").alias("xb")), "b")
     unequal = F.lit(0)
@@ -308,7 +323,7 @@ def _classes(signed: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     copies = worded.groupBy("f1", "f2").agg(F.min("node").alias("rep"))
     member = written(worded.select("node", "f1", "f2").join(copies, ["f1", "f2"]).select("node", "rep").distinct(), "copies")
     reps = worded.join(copies, ["f1", "f2"]).filter("node = rep").dropDuplicates(["f1", "f2"])
-    reps = written(reps.select("node", "n", "bands", "bits"), "representatives")
+    reps = written(reps.select("node", "n", "bands"), "representatives")
 
     met = written(_buckets(reps), "buckets")
     links, root = None, None
@@ -320,7 +335,7 @@ def _classes(signed: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
         links = written(found if links is None else links.union(found), "links")
         root = components(links)
     copy_links = member.filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    rest = verified(_unsettled(met, root, reps, threshold), docs, threshold)
+    rest = verified(_unsettled(met, root, docs, threshold), docs, threshold)
     # Links between classes found so far, and copies (rows that share a doc_id among them), close the classes.
     label = components(links.union(rest).union(copy_links))
     least = label.withColumnRenamed("root", "class_id").withColumnRenamed("node", "doc_id")
