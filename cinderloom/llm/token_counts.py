@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinderloom.llm._shared import append_columns
+from cinderloom.llm._shared import append_columns, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Word split of the byte-level vocabulary.
@@ -98,7 +98,7 @@ def totals_at(sums: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, *, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """Histogram of whole texts' encoded lengths with suffix sums; extra columns of ``docs`` are not read."""
-    return suffix_sums(length_histogram(docs, text=text, vocabulary=vocabulary))
+    """Histogram of whole texts' encoded lengths, made once and written, with suffix sums; extra columns of ``docs`` are not read."""
+    return suffix_sums(written(length_histogram(docs, text=text, vocabulary=vocabulary), "lengths"))
 
 
