@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,8 +39,8 @@ STAR_ROUNDS = 2
 #: Standard deviations: a pair at the threshold is turned away with probability 3e-6.
 SLACK = 4.5
 SIZE = BANDS * ROWS
-#: Components of the longer signature of the few nodes that hubs leave unsettled.
-SKETCHED = 1024
+#: Components of the longer signature of the few nodes that hubs leave unsettled, and those looked at first.
+SKETCHED, FIRST = 2048, 256
 _U = np.uint64
 
 
@@ -289,16 +289,22 @@ def _unsettled(met: DataFrame, root: DataFrame, docs: DataFrame, threshold: floa
     bits = _sketches(right.select(F.col("b").alias("node")).distinct(), docs)
     left = left.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("xa")), "a")
     right = right.join(bits.select(F.col("node").alias("b"), F.col("bits").alias("xb")), "b")
-    unequal = F.lit(0)
-    for i in range(SKETCHED // 16):
-        x = F.col("xa")[i].bitwiseXOR(F.col("xb")[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        unequal = unequal + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    # Of components that differ, one in 16 agrees by chance; SLACK standard deviations over what the threshold gives.
-    p = (1 - threshold) * 15 / 16
-    bound = SKETCHED * p + SLACK * (SKETCHED * p * (1 - p)) ** 0.5
-    close = (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (unequal <= bound)
+
+    def differ(x: Column, y: Column) -> Column:
+        """Unequal components in two longs."""
+        z = x.bitwiseXOR(y)
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+        return F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+
+    def bound(n: int) -> float:
+        """Of components that differ, one in 16 agrees by chance; SLACK standard deviations over what the threshold gives."""
+        p = (1 - threshold) * 15 / 16
+        return n * p + SLACK * (n * p * (1 - p)) ** 0.5
+
+    some = sum((differ(F.col("xa")[i], F.col("xb")[i]) for i in range(FIRST // 16)), F.lit(0))
+    all_of = F.aggregate(F.zip_with("xa", "xb", differ), F.lit(0), lambda s, x: s + x)
+    close = (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (some <= bound(FIRST)) & (all_of <= bound(SKETCHED))
     rest = left.join(right, (left["key"] == right["key"]) & close)
     return rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
