@@ -106,14 +106,14 @@ def x19_leave_one_out(spark, sf):
 def _core(n: int) -> str:
     out, last = [], "ratings"
     for i in range(n):
-        out.append(f"i{i} as materialized (select * from {last} where item_id in (select item_id from {last} group by 1 having count(*) >= 22)), k{i} as materialized (select * from i{i} where user_id in (select user_id from i{i} group by 1 having count(*) >= 30))")
+        out.append(f"i{i} as materialized (select * from {last} where item_id in (select item_id from {last} group by 1 having count(*) >= 20)), k{i} as materialized (select * from i{i} where user_id in (select user_id from i{i} group by 1 having count(*) >= 20))")
         last = f"k{i}"
     return ", ".join(out)
 
 
 @query("ratings", f"with {_core(14)} select user_id, item_id from k13")
 def f16_k_core(spark, sf):
-    return C.k_core(T.ratings(spark, sf).select("user_id", "item_id"), 22, 30).select("user_id", "item_id")
+    return C.k_core(T.ratings(spark, sf).select("user_id", "item_id"), 20, 20).select("user_id", "item_id")
 
 
 @query("ratings", """with p as (select item_id, count(*) n, sum(rating) total from ratings group by 1), g as (select avg(rating) mean from ratings),
