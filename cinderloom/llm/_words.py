@@ -24,6 +24,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes worked on at once; a longer text is a batch of its own.
 BATCH_BYTES = 1 << 20
+#: Texts worked on at once, however short: what is kept of each text, not its bytes, fills memory then.
+BATCH_TEXTS = 2048
 
 _powers = {"n": 0}
 
@@ -73,12 +75,12 @@ def cut(blobs: list[bytes]) -> Words:
     return Words(hashes, starts, ends, np.searchsorted(starts, bounds), bounds[:-1], blobs)
 
 
-def batches(texts: list[str | None]) -> Iterator[tuple[int, Words]]:
-    """(index of the first text, words) by groups of about BATCH_BYTES; null has no words."""
+def batches(texts: list[str | None], most: int = BATCH_TEXTS) -> Iterator[tuple[int, Words]]:
+    """(index of the first text, words) by groups of about BATCH_BYTES and at most ``most`` texts; null has no words."""
     first, size, blobs = 0, 0, []
     for i, text in enumerate(texts):
         blob = text.encode("utf-8", "surrogatepass") if text else b""
-        if blobs and size + len(blob) > BATCH_BYTES:
+        if blobs and (size + len(blob) > BATCH_BYTES or len(blobs) >= most):
             yield first, cut(blobs)
             first, size, blobs = i, 0, []
         blobs.append(blob)

@@ -41,6 +41,8 @@ SLACK = 4.5
 SIZE = BANDS * ROWS
 #: Components of the longer signature of the few nodes that hubs leave unsettled, and those looked at first.
 SKETCHED, FIRST = 2048, 256
+#: Texts sketched at once: 4 MB of arrival times.
+SKETCH_TEXTS = 256
 _U = np.uint64
 
 
@@ -155,7 +157,7 @@ def _sketches(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            for first, words in _words.batches(batch.column(1).to_pylist()):
+            for first, words in _words.batches(batch.column(1).to_pylist(), SKETCH_TEXTS):
                 bags = shingle_bags(words)
                 signature = bag_min_hash(bags, SKETCHED)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(bags)), _longs(_sketch(signature), np.array([len(b[0]) == 0 for b in bags]))], names=["node", "bits"])
