@@ -243,6 +243,17 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def _joined(root: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after further links (a, b): only the components that they tie together are worked on."""
+    ends = links.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
+    ends = ends.join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    between = ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter("a <> b").distinct()
+    top = components(between)
+    known = root.join(top.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left")
+    known = known.select("node", F.coalesce("further", "root").alias("root"))
+    return written(known.union(top.join(root.select("node"), "node", "left_anti").select("node", "root")), "labels")
+
+
 def _buckets(reps: DataFrame) -> DataFrame:
     """(key, node, n, fame) of every node in a bucket with others; fame is how many nodes its buckets hold.
 
@@ -334,18 +345,16 @@ def _classes(signed: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     reps = written(reps.select("node", "n", "bands"), "representatives")
 
     met = written(_buckets(reps), "buckets")
-    links, root = None, None
+    root = None
     for _ in range(STAR_ROUNDS):
-        stars = _stars(met, root, threshold)
-        if links is not None:
-            stars = stars.join(links.select("a", "b"), ["a", "b"], "left_anti")
-        found = verified(stars, docs, threshold)
-        links = written(found if links is None else links.union(found), "links")
-        root = components(links)
-    copy_links = member.filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+        found = written(verified(_stars(met, root, threshold), docs, threshold), "links")
+        root = components(found) if root is None else _joined(root, found)
     rest = verified(_unsettled(met, root, docs, threshold), docs, threshold)
-    # Links between classes found so far, and copies (rows that share a doc_id among them), close the classes.
-    label = components(links.union(rest).union(copy_links))
-    least = label.withColumnRenamed("root", "class_id").withColumnRenamed("node", "doc_id")
+    # A document of several texts (rows that share a doc_id) ties their representatives together.
+    several = member.groupBy("node").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    ties = member.join(several, "node", "left_semi").filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    label = _joined(root, written(rest.union(ties), "links"))
+    placed = member.join(label.withColumnRenamed("node", "rep"), "rep", "left")
+    least = placed.groupBy(F.col("node").alias("doc_id")).agg(F.min(F.coalesce("root", "rep")).alias("class_id"))
     out = signed.select(F.col("node").alias("doc_id"), F.col("n").alias("n_shingles")).join(least, "doc_id", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_shingles")
