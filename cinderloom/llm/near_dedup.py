@@ -152,7 +152,7 @@ def _longs(rows: np.ndarray, skip: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(rows[~skip].ravel()))
 
 
-def _sketches(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _sketches(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, bits) of the nodes' texts."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +162,7 @@ def _sketches(nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 signature = bag_min_hash(bags, SKETCHED)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(bags)), _longs(_sketch(signature), np.array([len(b[0]) == 0 for b in bags]))], names=["node", "bits"])
 
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node")
-    return written(texts.select("node", "text").mapInArrow(run, "node long, bits array<long>").filter(F.size("bits") > 0), "sketches")
+    return written(texts.join(nodes, "node").select("node", "text").mapInArrow(run, "node long, bits array<long>").filter(F.size("bits") > 0), "sketches")
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -197,9 +196,8 @@ def _sequence_prints(words: _words.Words) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Those pairs (a, b) whose documents' bags have a weighted Jaccard of ``threshold`` or more."""
-    texts = docs.select(F.col("doc_id").alias("node"), "text")
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Those pairs (a, b) whose bags have a weighted Jaccard of ``threshold`` or more; ``texts`` is (node, text)."""
     both = pairs.join(texts.withColumnRenamed("node", "b").withColumnRenamed("text", "tb"), "b")
     both = both.join(texts.withColumnRenamed("node", "a").withColumnRenamed("text", "ta"), "a").select("a", "b", "ta", "tb")
 
@@ -292,14 +290,14 @@ def _stars(met: DataFrame, root: DataFrame | None, threshold: float) -> DataFram
     return pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
 
 
-def _unsettled(met: DataFrame, root: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def _unsettled(met: DataFrame, root: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs that no hub has settled: nodes outside the component of their bucket's hub, with nodes of other components."""
     placed = written(_placed(met, root), "placed")
     hub = _hubs(placed).select("key", "hub_r")
     left = placed.join(hub, "key").filter("r <> hub_r").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"))
     right = placed.join(left.select("key").distinct(), "key", "left_semi").select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"))
     left, right = written(left, "left"), written(right, "right")
-    bits = _sketches(right.select(F.col("b").alias("node")).distinct(), docs)
+    bits = _sketches(right.select(F.col("b").alias("node")).distinct(), texts)
     left = left.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("xa")), "a")
     right = right.join(bits.select(F.col("node").alias("b"), F.col("bits").alias("xb")), "b")
 
@@ -345,11 +343,14 @@ def _classes(signed: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     reps = written(reps.select("node", "n", "bands"), "representatives")
 
     met = written(_buckets(reps), "buckets")
+    # Whole texts are shuffled once, here: what follows joins the texts of nodes that share a bucket, and no others.
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(met.select("node").distinct(), "node", "left_semi")
+    texts = written(texts, "texts")
     root = None
     for _ in range(STAR_ROUNDS):
-        found = written(verified(_stars(met, root, threshold), docs, threshold), "links")
+        found = written(verified(_stars(met, root, threshold), texts, threshold), "links")
         root = components(found) if root is None else _joined(root, found)
-    rest = verified(_unsettled(met, root, docs, threshold), docs, threshold)
+    rest = verified(_unsettled(met, root, texts, threshold), texts, threshold)
     # A document of several texts (rows that share a doc_id) ties their representatives together.
     several = member.groupBy("node").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
     ties = member.join(several, "node", "left_semi").filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
