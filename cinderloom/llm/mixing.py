@@ -3,12 +3,12 @@
 A source with weight w shall give target words. Its ratio target / size is split into whole copies,
 which every document gets for certain, and a fraction, which is each document's inclusion probability for
 one copy more. Those copies go to the documents of least Pareto rank, (U / (1-U)) / (p / (1-p)), where U is
-a number from a hash of the document. They are taken in that order while their words fit what the whole copies
-leave missing; beyond that cut, the next FILL that are short enough go in, in order, each where it still fits. So a source
-gives at most its target, short of it by less than the documents that were left out.
+a number from a hash of the document. They are taken in that order, each where its words still fit what the whole
+copies leave missing. So a source gives at most its target, short of it by less than the words of any document that was left out.
 
 The order is never gathered: words are summed in BINS bins of rank for each source, the bin where the
-sum crosses is found from those sums, and only that bin's documents are put in order.
+sum crosses is found from those sums, and only that bin's documents are put in order. The first document that does not fit
+ends the round; the next one does the same with the documents beyond it that fit the smaller gap, until none is left.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from cinderloom.llm._shared import written
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 BINS = 65536
-#: Documents of a source that may fill what its cut leaves.
+#: Documents of a source that may fill what its cut leaves, in the SQL of queries.py only; here there is no bound.
 FILL = 200
 #: Per-source rows that a broadcast may have (some 100 bytes each).
 BROADCAST_ROWS = 100_000
@@ -71,51 +71,65 @@ def _ranked(slim: DataFrame) -> DataFrame:
 def plan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, DataFrame]:
     """(slim documents, sources): sizes of documents; and of each source its target and where its order is cut.
 
-    A document of a source gets ``whole`` copies, and one more if (rank, doc) is at most (rank_cut, key_cut) or is in ``fill``.
+    A document of a source gets ``whole`` copies, and one more if in one of ``rounds`` it is inside the bounds and fits the gap.
     """
     slim = docs.select(F.col(key).alias("doc"), F.col(source).alias("source"), words(text).alias("size"), _unit(key).alias("u"))
     slim = written(slim, "sizes")
     sources = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
     sources = written(sources.withColumnRenamed("source", "s"), "sources")
-    ranked = _ranked(_joined(slim, sources)).filter("rank is not null")
-    left = (F.col("target") - F.col("whole") * F.col("source_size")).alias("left")
-    bins = ranked.groupBy("s", "bin").agg(F.sum("size").alias("words"), F.first(left).alias("left"))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("s").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    crossed = bins.withColumn("before", before).filter("before <= left and before + words >= left")
-    crossed = crossed.groupBy(F.col("s").alias("cs")).agg(F.min("bin").alias("cb"), F.min("before").alias("before"))
-    edge = ranked.join(crossed, F.col("s").eqNullSafe(F.col("cs")) & (F.col("bin") == F.col("cb")))
-    order = Window.partitionBy("s").orderBy("rank", F.col("doc").asc_nulls_first(), "size")
-    edge = edge.withColumn("upto", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    missing = F.col("target") - F.col("whole") * F.col("source_size")
-    fits = F.col("upto") <= missing
-    best = edge.groupBy(F.col("s").alias("es")).agg(
-        F.max(F.when(fits, F.struct("rank", "doc"))).alias("cut"),
-        F.first(missing).alias("missing"),
-        F.coalesce(F.max(F.when(fits, F.col("upto"))), F.min("before")).alias("upto"),
-        F.min("bin").alias("edge_bin"),
+    pool = _ranked(_joined(slim, sources)).filter("rank is not null").select("source", "doc", "size", "rank", "bin")
+    missing = F.when(F.col("source_size") > 0, F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")).otherwise(0.0)
+    doc = slim.schema["doc"].dataType
+    state = sources.select("s", missing.alias("gap"), F.lit(None).cast("double").alias("from_rank"), F.lit(None).cast(doc).alias("from_doc"))
+    rounds = written(_round(pool, state), "round")
+    found = rounds
+    while True:
+        # No document is shorter than a word.
+        state = found.filter("rank is not null and left >= 1").select("s", F.col("left").alias("gap"), F.col("rank").alias("from_rank"), F.col("doc").alias("from_doc"))
+        if state.isEmpty():
+            break
+        pool = written(_beyond(pool, state).select("source", "doc", "size", "rank", "bin"), "beyond")
+        found = written(_round(pool, state), "round")
+        rounds = rounds.unionByName(found)
+    lists = rounds.groupBy(F.col("s").alias("ls")).agg(F.collect_list(F.struct("gap", "from_rank", "from_doc", "rank", "doc")).alias("rounds"))
+    return slim, written(sources.join(lists, F.col("s").eqNullSafe(F.col("ls")), "left").drop("ls"), "cuts")
+
+
+def _beyond(pool: DataFrame, state: DataFrame) -> DataFrame:
+    """Documents beyond the last that did not fit which fit their source's gap."""
+    return _joined(pool, state).filter((F.col("size") <= F.col("gap")) & _after(F.col("from_rank"), F.col("from_doc")))
+
+
+def _round(pool: DataFrame, state: DataFrame) -> DataFrame:
+    """``state`` with the first document (rank, doc) that does not fit, null where all do, and the words ``left`` before it."""
+    beyond = _beyond(pool, state)
+    bins = beyond.groupBy("s", "bin").agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))
+    upto = F.sum("words").over(Window.partitionBy("s").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    crossed = bins.withColumn("upto", upto).filter("upto > gap")
+    crossed = crossed.groupBy(F.col("s").alias("cs")).agg(F.min("bin").alias("cb"), F.min(F.col("upto") - F.col("words")).alias("before"))
+    edge = beyond.join(crossed, F.col("s").eqNullSafe(F.col("cs")) & (F.col("bin") == F.col("cb")))
+    order = Window.partitionBy("s").orderBy("rank", F.col("doc").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, 0)
+    edge = edge.withColumn("upto", F.col("before") + F.sum("size").over(order))
+    fits = F.col("upto") <= F.col("gap")
+    stop = edge.groupBy(F.col("s").alias("es")).agg(
+        F.min(F.when(~fits, F.struct("rank", "doc"))).alias("stop"),
+        F.coalesce(F.max(F.when(fits, F.col("upto"))), F.min("before")).alias("taken"),
+    )
+    return state.join(stop, F.col("s").eqNullSafe(F.col("es")), "left").select(
+        "s", "gap", "from_rank", "from_doc", F.col("stop.rank").alias("rank"), F.col("stop.doc").alias("doc"), (F.col("gap") - F.col("taken")).alias("left")
     )
-    best = best.select("es", "edge_bin", F.coalesce("cut.rank", F.lit(-1.0)).alias("rank_cut"), F.col("cut.doc").alias("key_cut"), (F.col("missing") - F.col("upto")).alias("gap"))
-    cut = written(sources.join(best, F.col("s").eqNullSafe(F.col("es")), "left").drop("es"), "cuts")
-    # The document at the cut may be long and leave many words missing: the next FILL that are short enough, in order, each where it fits.
-    beyond = _ranked(_joined(slim, cut)).filter(F.col("rank").isNotNull() & F.col("edge_bin").isNotNull() & (F.col("size") <= F.col("gap"))).filter(~_below())
-    next_ones = beyond.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= FILL)
-    lists = next_ones.groupBy(F.col("s").alias("ls")).agg(F.first("gap").alias("g"), F.array_sort(F.collect_list(F.struct("k", "rank", "doc", "size"))).alias("l"))
-    start = F.struct(F.col("g").alias("left"), F.filter(F.transform("l", lambda x: F.struct(x["rank"].alias("rank"), x["doc"].alias("doc"))), lambda x: F.lit(False)).alias("fill"))
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = x["size"] <= acc["left"]
-        more = F.concat(acc["fill"], F.array(F.struct(x["rank"].alias("rank"), x["doc"].alias("doc"))))
-        return F.struct(F.when(fits, acc["left"] - x["size"]).otherwise(acc["left"]).alias("left"), F.when(fits, more).otherwise(acc["fill"]).alias("fill"))
 
-    fills = lists.select("ls", F.aggregate("l", start, step)["fill"].alias("fill"))
-    return slim, written(cut.join(fills, F.col("s").eqNullSafe(F.col("ls")), "left").drop("ls", "gap"), "cuts")
+def _after(rank: Column, doc: Column) -> Column:
+    """Whether a document is beyond (rank, doc) in its source's order; a null rank is before all."""
+    later = F.col("doc").isNotNull() & (doc.isNull() | (F.col("doc") > doc))
+    return rank.isNull() | (F.col("rank") > rank) | ((F.col("rank") == rank) & later)
 
 
-def _below() -> Column:
-    """Whether a ranked document is before its source's cut."""
-    tied = (F.col("rank") == F.col("rank_cut")) & (F.col("doc").isNull() | (F.col("doc") <= F.col("key_cut")))
-    below = (F.col("bin") < F.col("edge_bin")) | ((F.col("bin") == F.col("edge_bin")) & ((F.col("rank") < F.col("rank_cut")) | tied))
-    return F.coalesce(below, F.lit(False))
+def _before(rank: Column, doc: Column) -> Column:
+    """Whether a document is before (rank, doc) in its source's order; a null rank is beyond all."""
+    earlier = doc.isNotNull() & (F.col("doc").isNull() | (F.col("doc") < doc))
+    return rank.isNull() | (F.col("rank") < rank) | ((F.col("rank") == rank) & earlier)
 
 
 def _joined(docs: DataFrame, sources: DataFrame) -> DataFrame:
@@ -127,8 +141,8 @@ def _joined(docs: DataFrame, sources: DataFrame) -> DataFrame:
 def decided(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     """``rows`` (doc, source, size, u and others) with their source's row and ``n_copies``."""
     r = _ranked(_joined(rows, cuts))
-    filled = F.exists("fill", lambda x: (x["rank"] == F.col("rank")) & x["doc"].eqNullSafe(F.col("doc")))
-    more = F.when(_below() | F.coalesce(filled, F.lit(False)), 1).otherwise(0)
+    taken = F.exists("rounds", lambda x: (F.col("size") <= x["gap"]) & _after(x["from_rank"], x["from_doc"]) & _before(x["rank"], x["doc"]))
+    more = F.when(F.col("rank").isNotNull() & taken, 1).otherwise(0)
     return r.withColumn("n_copies", F.col("whole") + more)
 
 
@@ -136,7 +150,7 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     """One row for each document: doc_id, size, source_size, target (of its source), taken (size x copies).
 
     Defined cases: a null text has size 0 and no copies count; a null source is a source, the last; rows
-    that repeat a doc_id have one rank and are cut together by it; a source without words has target 0; empty tables
+    that repeat a doc_id have one rank, and those that fit the gap are cut together by it; a source without words has target 0; empty tables
     give no rows. The same table gives the same rows at every run.
     """
     slim, cuts = plan(docs, key=key, text=text, source=source, weights=weights)

@@ -166,6 +166,31 @@ def test_mixing_targets(spark):
     assert got == pytest.approx({"a": 300, None: 150, "b": 800, "c": 400})
 
 
+def test_mixing_fills_behind_a_long_document(spark):
+    """The long document at the cut leaves a gap that takes far more than 200 short ones; every source follows the whole order."""
+
+    def unit(i):
+        return (int(hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 4503599627370496.0
+
+    long_id = next(i for i in range(10_000, 20_000) if 0.1 < unit(i) < 0.11)
+    rows = [(i, "w " * (5 + i % 11), "a") for i in range(3000)] + [(long_id, "w " * 20_000, "a")]
+    rows += [(i, "w " * (1 + i * i % 600), "b") for i in range(4000, 4200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    for source in "ab":
+        own = [got[i] for i, _, s in rows if s == source]
+        whole = int(own[0].target / own[0].source_size)
+        p, left, want = own[0].target / own[0].source_size - whole, own[0].target - whole * own[0].source_size, {}
+        for r in sorted(own, key=lambda r: (unit(r.doc_id) / (1 - unit(r.doc_id)) / (p / (1 - p)), r.doc_id) if p else 0):
+            more = p > 0 and r.size <= left
+            left -= r.size * more
+            want[r.doc_id] = r.size * (whole + more)
+        assert {r.doc_id: r.taken for r in own} == want
+        assert sum(r.taken for r in own) > 0.999 * own[0].target
+    kept = {r.doc_id: r.taken for r in mixing.mixed(docs).collect()}
+    assert kept == {i: r.taken for i, r in got.items() if r.taken}
+
+
 def test_mixing_takes_what_it_should(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     m = mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").toPandas()
