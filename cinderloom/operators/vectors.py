@@ -62,16 +62,32 @@ def with_bucket(vectors: DataFrame, dims: int, n: int = PLANES) -> DataFrame:
 
 
 def lsh_top_k(vectors: DataFrame, queries: DataFrame, dims: int, k: int, n: int = PLANES) -> DataFrame:
-    """Top k among vectors in the query's bucket or one bit away; queries with fewer than k candidates get the exact answer."""
-    v = with_bucket(vectors, dims, n)
+    """(query_id, id, score, rank) of the k highest inner products, as exact_top_k, at any input size.
+
+    The query's bucket and those one bit away give a first k-th score (none where they hold fewer than k). Of the other
+    buckets those are searched too whose score bound, from the least and greatest value of each dimension, reaches that score.
+    """
+    order = (["query_id"], k, F.desc("score"), F.asc("id"))
+    v = with_bucket(vectors, dims, n).select("id", "bucket", F.col("vec").alias("v"))
     probes = F.concat(F.array("bucket"), *[F.array(F.col("bucket").bitwiseXOR(F.lit(1 << i))) for i in range(n)])
-    q = with_bucket(queries, dims, n).select("query_id", F.col("vec").alias("q"), F.explode(probes).alias("bucket"))
-    v = v.select("id", "bucket", F.col("vec").alias("v"))
-    near = q.join(v, "bucket").filter("query_id <> id").select("query_id", "id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
-    top = top_k(near, ["query_id"], k, F.desc("score"), F.asc("id"))
-    full = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= k).select("query_id")
-    short = exact_top_k(vectors, queries.join(full, "query_id", "left_anti"), k)
-    return top.join(full, "query_id", "left_semi").unionByName(short)
+    q = with_bucket(queries, dims, n).select("query_id", F.col("vec").alias("q"), probes.alias("probes"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return pairs.join(v, "bucket").filter("query_id <> id").select("query_id", "id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
+
+    top = top_k(scored(q.select("query_id", "q", F.explode("probes").alias("bucket"))), *order).drop("rank")
+    least = top.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
+    rest = q.join(least, "query_id", "left").crossJoin(bounds(v, dims)).filter(~F.array_contains("probes", F.col("bucket")))
+    widest = F.zip_with(F.zip_with("q", "low", lambda x, y: x * y), F.zip_with("q", "high", lambda x, y: x * y), lambda x, y: F.greatest(x, y))
+    bound = F.aggregate(widest, F.lit(0.0), lambda s, x: s + x)
+    rest = rest.filter(F.col("least").isNull() | (bound >= F.col("least") - 1e-5 * (1 + F.abs("least"))))
+    return top_k(top.unionByName(scored(rest.select("query_id", "q", "bucket"))), *order)
+
+
+def bounds(v: DataFrame, dims: int) -> DataFrame:
+    """(bucket, low, high): the least and greatest value of each dimension of a bucket's vectors."""
+    low, high = (F.array(*[f(F.col("v")[i].cast("double")) for i in range(dims)]) for f in (F.min, F.max))
+    return v.groupBy("bucket").agg(low.alias("low"), high.alias("high"))
 
 
 def clustered_top_k(vectors: DataFrame, queries: DataFrame, k: int, clusters: int, probes: int) -> DataFrame:

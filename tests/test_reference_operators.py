@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,19 @@ def test_vector_indexes_against_exact(spark):
     assert len(hashed) == len(exact) and len(hashed & exact) >= 0.7 * len(exact)
 
 
+def test_lsh_with_the_registered_planes(spark):
+    """Recall 0.9 with 16 planes where buckets hold few vectors, and where the probed ones hold over k."""
+    from cinderloom.sources import tables
+
+    rng = np.random.default_rng(5)
+    many = spark.createDataFrame([(i, x) for i, x in enumerate(rng.standard_normal((3000, 6)).tolist())], "id long, vec array<double>")
+    for v, dims in ((tables.vectors(spark, "/root/testdata/sf0.01"), 64), (many, 6)):
+        q = v.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "vec")
+        exact = {(r.query_id, r.id) for r in vectors.exact_top_k(v, q, 10).collect()}
+        hashed = {(r.query_id, r.id) for r in vectors.lsh_top_k(v, q, dims, 10).collect()}
+        assert len(hashed) == len(exact) and len(hashed & exact) >= 0.9 * len(exact)
+
+
 def test_file_sources(spark, tmp_path):
     (tmp_path / "m.csv").write_text("id,title,year,genres\n1,A,1999,Drama|War\n2,B,2000\nx\n")
     got = {r.id: r.genres for r in files.movies_csv(spark, str(tmp_path / "m.csv")).collect()}
