@@ -26,7 +26,8 @@ MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 8 << 20
 _CHUNK, _BLOCK = 1 << 16, 1 << 20
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
-_HEAD_LIMIT = 1 << 20
+#: A header beyond this is an error, never passed over.
+_HEAD_LIMIT = 256 << 20
 _PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
@@ -124,12 +125,16 @@ def _read(member: _Member, with_payload: bool) -> tuple | None:
     """(page, type, refers, payload bytes, digest, payload) of a member that is a WARC record, else None."""
     chunks = iter(member)
     try:
-        head = b""
-        while b"\r\n\r\n" not in head:
+        head, stop = bytearray(), -1
+        while stop < 0:
+            seen = len(head)
             head += next(chunks)
-            if len(head) >= 5 and not head.startswith(b"WARC/") or len(head) > _HEAD_LIMIT:
+            if len(head) >= 5 and not head.startswith(b"WARC/"):
                 return None
-        lines, _, rest = head.partition(b"\r\n\r\n")
+            stop = head.find(b"\r\n\r\n", max(seen - 3, 0))
+            if (len(head) if stop < 0 else stop) > _HEAD_LIMIT:
+                raise RuntimeError(f"the header of the WARC record at byte {member.at} is over {_HEAD_LIMIT} bytes")
+        lines, rest = bytes(head[:stop]), bytes(head[stop + 4 :])
         fields = dict(x.split(": ", 1) for x in lines.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
         left = int(fields["Content-Length"])
         while b"\r\n\r\n" not in rest[:left] and len(rest) < left:

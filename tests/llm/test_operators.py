@@ -294,6 +294,26 @@ def test_warc_round_trip_in_small_ranges(spark, tmp_path):
     assert warc.archive_and_read(pages.limit(0), folder=str(tmp_path / "e")).count() == 0
 
 
+def test_warc_large_pages_across_blocks_and_long_urls(tmp_path):
+    """A page that inflates to a whole chunk is read wherever its header is cut by a block's end; so is a url over 1 MiB."""
+    body = b"the same line again\n" * 105_000
+    member = warc.record("7", "http://host/page", body, None)
+    at = tmp_path / "x.warc.gz"
+    for before in range(1, 420):
+        at.write_bytes(bytes((1 << 20) - before) + member)
+        assert [(r[0], r[3]) for r in warc.scan(str(at), 0, at.stat().st_size)] == [(7, len(body))], before
+    at.write_bytes(warc.record("8", "http://host/" + "ab" * (1 << 20), b"x", None))
+    assert [(r[0], r[3]) for r in warc.scan(str(at), 0, at.stat().st_size)] == [(8, 1)]
+
+
+def test_warc_oversize_header_is_an_error(tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "_HEAD_LIMIT", 1000)
+    at = tmp_path / "x.warc.gz"
+    at.write_bytes(warc.record("8", "http://host/" + "a" * 2000, b"x", None))
+    with pytest.raises(RuntimeError):
+        list(warc.scan(str(at), 0, at.stat().st_size))
+
+
 def _same(a, b):
     norm = lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, float) else v
     return sorted(tuple(map(norm, r)) for r in a if r) == sorted(tuple(map(norm, r)) for r in b) if None not in {x for r in b for x in r} else sorted(str(tuple(map(norm, r))) for r in a) == sorted(str(tuple(map(norm, r))) for r in b)
