@@ -30,11 +30,33 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, the one with the least doc_id."""
-    classes = near_dedup.near_duplicates(docs.select("doc_id", "text"))
-    gone = classes.filter(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    kept = docs.join(written(gone, "duplicates"), "doc_id", "left_anti")
-    return kept.dropDuplicates(["doc_id"]).select(docs.columns)
+    """One document of each class of near duplicates, the one with the least doc_id; every row without doc_id.
+
+    A document is a doc_id and a text: rows of one doc_id whose texts differ are looked at apart, the least md5 first. Rows
+    that share both are one document, the row that is least by its columns in order.
+    """
+    known = docs.filter("doc_id is not null")
+    mark = free_name(docs, "print")
+    node = free_name(docs, "node")
+    prints = known.select("doc_id", F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")).alias(mark))
+    first = prints.groupBy("doc_id").agg(F.min(mark).alias("first"), F.max(mark).alias("last"))
+    several = written(first.filter("first <> last").select("doc_id", "first"), "several")
+    further = written(prints.join(several, "doc_id").filter(F.col(mark) != F.col("first")).select("doc_id", mark).distinct(), "further")
+    # Further texts of a doc_id get numbers below all ids; too small an id for that is an overflow error.
+    least = known.agg(F.least(F.min("doc_id"), F.lit(0)).cast("long")).first()[0] or 0
+    further = written(further.withColumn(node, F.lit(least) - 1 - F.monotonically_increasing_id()), "further")
+
+    named = known.withColumn(mark, F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
+    named = named.join(further, ["doc_id", mark], "left").withColumn(node, F.coalesce(node, "doc_id"))
+    classes = written(near_dedup.near_duplicates(named.select(F.col(node).alias("doc_id"), "text")).select("doc_id", "class_id"), "classes")
+    own = classes.select(F.col("doc_id").alias("n"), "class_id").join(further.select(F.col(node).alias("n"), F.col("doc_id"), mark), "n", "left")
+    order = F.struct(F.coalesce("doc_id", "n").alias("id"), F.coalesce(mark, F.lit("")).alias("print"), "n")
+    stay = own.groupBy("class_id").agg(F.min(order).alias("best")).select(F.col("best.n").alias("n"))
+    gone = classes.select(F.col("doc_id").alias("n")).distinct().join(stay, "n", "left_anti").withColumnRenamed("n", node)
+    kept = named.join(written(gone, "duplicates"), node, "left_anti")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = kept.groupBy(node).agg(F.min(row).alias("row")).select("row.*")
+    return kept.unionByName(docs.filter("doc_id is null"))
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -329,6 +329,18 @@ def test_query_equals_sql(spark, name):
     assert _same([tuple(r) for r in queries.queries()[name](spark, SF).select(columns).collect()], want)
 
 
+def test_near_dedup_stage_keeps_rows_without_or_with_a_shared_id(spark):
+    sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
+    import corpus_pipeline as p
+
+    text = [" ".join(f"{w}{k}x{i}" for i in range(60)) for k, w in enumerate(("red", "blue", "green", "grey"))]
+    rows = [(1, text[0], "a"), (2, text[0], "b"), (2, text[1], "c"), (3, text[2], "e"), (3, text[2], "d"), (4, text[2] + " end", "f"), (5, "", "g"), (None, text[3], "h"), (None, text[3], "i"), (None, text[0], "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = [(1, text[0], "a"), (2, text[1], "c"), (3, text[2], "d"), (5, "", "g"), *rows[-3:]]
+    for dealt in (docs.coalesce(1), docs.repartition(5)):
+        assert sorted(map(str, p.one_of_each(spark, dealt, SF).select("doc_id", "text", "source").collect())) == sorted(str(r) for r in spark.createDataFrame(want, docs.schema).collect())
+
+
 def test_pipeline_against_brute_force(spark):
     sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
     import corpus_pipeline as p
