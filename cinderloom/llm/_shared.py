@@ -19,11 +19,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A folder of our own is made only where the session names none (local tests).
+    A folder of our own is made only in local mode, where the session names none (tests); a cluster without
+    that setting is an error, since executors could not see the driver's folders.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
@@ -39,6 +42,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, what: str) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed and sorted by ``key``: joins on it shuffle the other side only."""
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{what}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", new_path(spark, what)).saveAsTable(name)
+    return spark.table(name)
+
+
 def crc_mod(spark_column: str, n: int) -> str:
     """SQL for crc32 of an id as text, modulo n; a null id counts as the text ''."""
     return f"crc32(cast(coalesce(cast({spark_column} as string), '') as binary)) % {n}"
@@ -59,8 +70,10 @@ def append_columns(df: DataFrame, source: str, fields: list[T.StructField], make
     """All columns of ``df`` and ``fields``, computed from the values of the column ``source`` by Arrow batch.
 
     ``make`` runs once a task and returns the function of a list of values. Arrow carries the other
-    columns through untouched, so nothing is joined back and no row is shuffled.
+    columns through untouched, so nothing is joined back and no row is shuffled. A new column whose name
+    ``df`` has already gets underscores until it has not (free_name).
     """
+    fields = [T.StructField(free_name(df, f.name), f.dataType) for f in fields]
     schema = T.StructType([*df.schema.fields, *fields])
     arrow = to_arrow_schema(schema)
     at = df.columns.index(source)

@@ -61,17 +61,32 @@ class Words(NamedTuple):
     blobs: list[bytes]
 
 
+def _pieces(low: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about BATCH_BYTES that cut no word in two."""
+    at = 0
+    while at < len(low):
+        end = min(at + BATCH_BYTES, len(low))
+        while end < len(low) and _IS_WORD[low[end - 1]]:
+            gap = np.flatnonzero(_IS_WORD[low[end : end + BATCH_BYTES]] == 0)
+            end = end + int(gap[0]) + 1 if len(gap) else min(end + BATCH_BYTES, len(low))
+        yield at, end
+        at = end
+
+
 def cut(blobs: list[bytes]) -> Words:
-    data = b"\x00".join(blobs) + b"\x00"
-    lengths = np.fromiter((len(b) + 1 for b in blobs), dtype=np.int64, count=len(blobs))
-    bounds = np.concatenate(([0], np.cumsum(lengths)))
-    low = _LOWER[np.frombuffer(data, dtype=np.uint8)]
-    edge = np.diff(_IS_WORD[low], prepend=np.int8(0), append=np.int8(0))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _power_tables(len(data))
-    total = np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(data)])
-    before = np.where(starts > 0, total[starts - 1], np.uint64(0))
-    hashes = mix((total[ends - 1] - before) * down[starts] + (ends - starts).astype(np.uint64))
+    """Words of the texts. Work space is some 40 bytes a byte of BATCH_BYTES (of a longer word), however long a text is."""
+    low = _LOWER[np.frombuffer(b"\x00".join(blobs) + b"\x00", dtype=np.uint8)]
+    bounds = np.concatenate(([0], np.cumsum(np.fromiter((len(b) + 1 for b in blobs), dtype=np.int64, count=len(blobs)))))
+    found = []
+    for at, end in _pieces(low):
+        piece = low[at:end]
+        edge = np.diff(_IS_WORD[piece], prepend=np.int8(0), append=np.int8(0))
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        up, down = _power_tables(len(piece))
+        total = np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[: len(piece)])
+        before = np.where(starts > 0, total[starts - 1], np.uint64(0))
+        found.append((mix((total[ends - 1] - before) * down[starts] + (ends - starts).astype(np.uint64)), starts + at, ends + at))
+    hashes, starts, ends = found[0] if len(found) == 1 else (np.concatenate(x) for x in zip(*found, strict=True))
     return Words(hashes, starts, ends, np.searchsorted(starts, bounds), bounds[:-1], blobs)
 
 

@@ -6,7 +6,7 @@ of maxima of the counts. Steps:
 1. BagMinHash: for each shingle, Poisson processes over its discretised weight (its count) emit points
    (arrival time, component). The weight axis is cut into [0,1), [1,2), [2,4), [4,8)...; each interval has
    a process of its own, seeded by shingle and interval, and a count that ends inside an interval keeps
-   those points whose halvings lead below it. The least arrival time of each component is the signature,
+   those points whose halvings lead below it. The point of least arrival time of each component is the signature,
    and two signatures agree in a component with probability equal to the weighted Jaccard. Points come in
    order of time, so a process is followed only until the largest minimum seen: about one point a shingle.
 2. Copies with equal words are one node from here on, and each node is dealt to BANDS buckets.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cinderloom.llm import _words
-from cinderloom.llm._shared import written
+from cinderloom.llm._shared import bucketed, written
 
 SHINGLE = 5
 BANDS, ROWS = 32, 5
@@ -41,6 +41,8 @@ SLACK = 4.5
 SIZE = BANDS * ROWS
 #: Components of the longer signature of the few nodes that hubs leave unsettled, and those looked at first.
 SKETCHED, FIRST = 2048, 256
+#: Pairs of one hub that one task verifies.
+HUB_PAIRS = 512
 #: Texts sketched at once: 4 MB of arrival times.
 SKETCH_TEXTS = 256
 _U = np.uint64
@@ -67,11 +69,14 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def bag_min_hash(bags: list[tuple[np.ndarray, np.ndarray]], size: int = SIZE) -> np.ndarray:
-    """Signatures (texts x size) as the bits of the least arrival times; rows of empty bags stay at infinity."""
+    """Signatures (texts x size): the hash of the point that came first in each component; rows of empty bags are 0.
+
+    Only whole numbers leave this function: times, which pass through a logarithm, might differ in a last bit between processors.
+    """
     n = len(bags)
-    best = np.full(n * size, np.inf)
+    best, winner = np.full(n * size, np.inf), np.zeros(n * size, dtype=np.uint64)
     if not n:
-        return best.view(np.uint64).reshape(0, size)
+        return winner.reshape(0, size)
     text = np.repeat(np.arange(n), [len(b[0]) for b in bags])
     shingle = np.concatenate([b[0] for b in bags])
     count = np.concatenate([b[1] for b in bags]).astype(np.int64)
@@ -106,7 +111,10 @@ def bag_min_hash(bags: list[tuple[np.ndarray, np.ndarray]], size: int = SIZE) ->
             spot = spot + ((g >> _U(32)).astype(np.int64) * width[own] >> 32)
             inside = spot < count[own]
             component = ((g & _U(0xFFFFFFFF)) * _U(size) >> _U(32)).astype(np.int64)
-            np.minimum.at(best, (text[own] * size + component)[inside], times[ok][inside])
+            cell, at_time = (text[own] * size + component)[inside], times[ok][inside]
+            np.minimum.at(best, cell, at_time)
+            first = best[cell] == at_time
+            winner[cell[first]] = g[inside][first]
             live, t, at = live[ok[:, -1]], times[ok[:, -1], -1], at + more
         short = np.flatnonzero(np.isinf(best.reshape(n, size)).any(axis=1) & (total > 0))
         if not len(short):
@@ -114,7 +122,7 @@ def bag_min_hash(bags: list[tuple[np.ndarray, np.ndarray]], size: int = SIZE) ->
         keep = np.isin(text, short)
         text, seed, level, width, count, rate, time = (x[keep] for x in (text, seed, level, width, count, rate, time))
         limit[short] *= 3.0
-    return best.view(np.uint64).reshape(n, size)
+    return winner.reshape(n, size)
 
 
 def _band_keys(signature: np.ndarray) -> np.ndarray:
@@ -162,7 +170,8 @@ def _sketches(nodes: DataFrame, texts: DataFrame) -> DataFrame:
                 signature = bag_min_hash(bags, SKETCHED)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(bags)), _longs(_sketch(signature), np.array([len(b[0]) == 0 for b in bags]))], names=["node", "bits"])
 
-    return written(texts.join(nodes, "node").select("node", "text").mapInArrow(run, "node long, bits array<long>").filter(F.size("bits") > 0), "sketches")
+    made = texts.join(nodes.hint("merge"), "node").select("node", "text").mapInArrow(run, "node long, bits array<long>").filter(F.size("bits") > 0)
+    return bucketed(made, "node", "sketches")
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -197,19 +206,28 @@ def _sequence_prints(words: _words.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Those pairs (a, b) whose bags have a weighted Jaccard of ``threshold`` or more; ``texts`` is (node, text)."""
-    both = pairs.join(texts.withColumnRenamed("node", "b").withColumnRenamed("text", "tb"), "b")
-    both = both.join(texts.withColumnRenamed("node", "a").withColumnRenamed("text", "ta"), "a").select("a", "b", "ta", "tb")
+    """Those pairs (a, b) whose bags have a weighted Jaccard of ``threshold`` or more; ``texts`` is (node, text), bucketed by node.
+
+    The text of ``b`` goes to each of its pairs. That of ``a``, a hub with many, goes once to every HUB_PAIRS of them: a hub of
+    any fame is dealt to as many tasks as it has work for. Joins are by merging at every size, so plans do not change as tables grow.
+    """
+    pairs = written(pairs, "pairs")
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("salts"))
+    own = pairs.join(hubs.hint("merge"), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+    own = own.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+    hubs = hubs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
+    hubs = hubs.select("a", "ta", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    both = own.join(hubs.hint("merge"), ["a", "salt"]).select("a", "b", "ta", "tb")
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: OrderedDict[str, tuple] = OrderedDict()  # hubs come again and again
+        kept: OrderedDict[str, tuple] = OrderedDict()  # a hub's pairs come one after the other
 
         def bag(text: str) -> tuple:
             if text in kept:
                 kept.move_to_end(text)
             else:
                 kept[text] = shingle_bags(next(_words.batches([text]))[1])[0]
-                if len(kept) > 64:
+                if len(kept) > 8:
                     kept.popitem(last=False)
             return kept[text]
 
@@ -287,7 +305,7 @@ def _stars(met: DataFrame, root: DataFrame | None, threshold: float) -> DataFram
         left = placed.join(_hubs(placed).select("key", "hub_r"), "key").filter("r <> hub_r").drop("hub_r")
         hubs = _hubs(left)
     pairs = placed.join(hubs, "key").filter((F.col("r") != F.col("hub_r")) & (F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n")))
-    return pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    return pairs.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def _unsettled(met: DataFrame, root: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -298,8 +316,9 @@ def _unsettled(met: DataFrame, root: DataFrame, texts: DataFrame, threshold: flo
     right = placed.join(left.select("key").distinct(), "key", "left_semi").select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"))
     left, right = written(left, "left"), written(right, "right")
     bits = _sketches(right.select(F.col("b").alias("node")).distinct(), texts)
-    left = left.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("xa")), "a")
-    right = right.join(bits.select(F.col("node").alias("b"), F.col("bits").alias("xb")), "b")
+
+    def sketched(side: DataFrame, node: str, name: str, part: Column) -> DataFrame:
+        return side.join(bits.select(F.col("node").alias(node), part.alias(name)).hint("merge"), node)
 
     def differ(x: Column, y: Column) -> Column:
         """Unequal components in two longs."""
@@ -313,11 +332,16 @@ def _unsettled(met: DataFrame, root: DataFrame, texts: DataFrame, threshold: flo
         p = (1 - threshold) * 15 / 16
         return n * p + SLACK * (n * p * (1 - p)) ** 0.5
 
+    # The first words of the sketches go into the buckets; the rest meets only pairs that pass those, each once.
+    first = F.slice("bits", 1, FIRST // 16)
+    left, right = sketched(left, "a", "xa", first), sketched(right, "b", "xb", first)
     some = sum((differ(F.col("xa")[i], F.col("xb")[i]) for i in range(FIRST // 16)), F.lit(0))
+    close = (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (some <= bound(FIRST))
+    rest = left.join(right.hint("merge"), (left["key"] == right["key"]) & close)
+    rest = written(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "close")
+    rest = sketched(sketched(rest, "a", "xa", F.col("bits")), "b", "xb", F.col("bits"))
     all_of = F.aggregate(F.zip_with("xa", "xb", differ), F.lit(0), lambda s, x: s + x)
-    close = (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (some <= bound(FIRST)) & (all_of <= bound(SKETCHED))
-    rest = left.join(right, (left["key"] == right["key"]) & close)
-    return rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return rest.filter(all_of <= bound(SKETCHED)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
@@ -337,15 +361,17 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
 
 def _classes(signed: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     worded = signed.filter("n > 0 and node is not null")
-    copies = worded.groupBy("f1", "f2").agg(F.min("node").alias("rep"))
-    member = written(worded.select("node", "f1", "f2").join(copies, ["f1", "f2"]).select("node", "rep").distinct(), "copies")
-    reps = worded.join(copies, ["f1", "f2"]).filter("node = rep").dropDuplicates(["f1", "f2"])
-    reps = written(reps.select("node", "n", "bands"), "representatives")
+    # One shuffle of band keys: the least node of each word sequence, with its keys.
+    first = F.min(F.struct("node", "n", "bands")).alias("rep")
+    copies = written(worded.groupBy("f1", "f2").agg(first).select("f1", "f2", "rep.*"), "copies")
+    reps = copies.select("node", "n", "bands")
+    member = worded.select("node", "f1", "f2").join(copies.select("f1", "f2", F.col("node").alias("rep")), ["f1", "f2"])
+    member = written(member.select("node", "rep").distinct(), "members")
 
     met = written(_buckets(reps), "buckets")
     # Whole texts are shuffled once, here: what follows joins the texts of nodes that share a bucket, and no others.
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(met.select("node").distinct(), "node", "left_semi")
-    texts = written(texts, "texts")
+    texts = bucketed(texts, "node", "texts")
     root = None
     for _ in range(STAR_ROUNDS):
         found = written(verified(_stars(met, root, threshold), texts, threshold), "links")
