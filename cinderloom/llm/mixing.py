@@ -1,13 +1,15 @@
 """Mixing sources to target weights by Pareto order sampling (operator 5, DataFrame functions only).
 
 A source with weight w shall give target words. Its ratio target / size is split into whole copies,
-which every document gets for certain, and a fraction, which is each document's inclusion probability for
-one copy more. Those copies go to the documents of least Pareto rank, (U / (1-U)) / (p / (1-p)), where U is
-a number from a hash of the document. They are taken in that order, each where its words still fit what the whole
-copies leave missing. So a source gives at most its target, short of it by less than the words of any document that was left out.
-
-The order is never gathered: words are summed in BINS bins of rank for each source, the bin where the
-sum crosses is found from those sums, and only that bin's documents are put in order. The first document that does not fit
+which every document gets for certain, and a fraction f. One copy more is a sample of unequal probabilities: a document's inclusion
+probability is p = f + min(f, 1 - f) (B - b) / m, where b is the bit length of its size, B the mean of b over the source's words and
+m the greatest b. So short documents are repeated rather than long ones, p stays in [0, 1], and since the deviations
+sum to 0 over words, the words expected are just those the whole copies leave missing. The copies go to the documents of least Pareto
+rank, (U / (1-U)) / (p / (1-p)), where U is a number from a hash of the document: in that order, each where its words still
+fit. The sample's size is fixed in words: a source gives at most its target, short of it by less than the words of any document left out.
+
+The order is never gathered: words are summed in BLOCKS x BLOCKS bins of rank for each source, the block and in it the bin where the
+sum crosses are found from those sums, and only that bin's documents are put in order. The first document that does not fit
 ends the round; the next one does the same with the documents beyond it that fit the smaller gap, until none is left.
 """
 
@@ -20,9 +22,8 @@ from cinderloom.llm._shared import written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
-BINS = 65536
-#: Documents of a source that may fill what its cut leaves, in the SQL of queries.py only; here there is no bound.
-FILL = 200
+#: Bins of a source: BLOCKS blocks of BLOCKS bins.
+BLOCKS = 256
 #: Per-source rows that a broadcast may have (some 100 bytes each).
 BROADCAST_ROWS = 100_000
 SEED = "mix-1"
@@ -59,13 +60,24 @@ def _unit(key: str) -> Column:
     return (F.conv(head, 16, 10).cast("double") + 0.5) / 4503599627370496.0
 
 
+def bits(size: Column) -> Column:
+    """Bit length of a size: whole numbers, so that their sums have no order."""
+    return F.length(F.bin(size)).cast("long")
+
+
 def _ranked(slim: DataFrame) -> DataFrame:
-    """Whole copies and, where the fraction is not 0, the Pareto rank."""
+    """Whole copies and, where the inclusion probability is not 0, the Pareto rank and its bin.
+
+    Bins are of the rank times the fraction's odds, brought back to (0, 1): about U, so they fill evenly at any fraction.
+    """
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    s = slim.withColumn("whole", F.floor(ratio).cast("long")).withColumn("p", ratio - F.floor(ratio))
+    s = slim.withColumn("whole", F.floor(ratio).cast("long")).withColumn("f", ratio - F.floor(ratio))
+    tilt = (F.col("bit_words") / F.col("source_size") - bits(F.col("size"))) / F.col("most_bits")
+    s = s.withColumn("p", F.col("f") + F.least(F.col("f"), 1 - F.col("f")) * tilt)
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    s = s.withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), odds))
-    return s.withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("long"))
+    s = s.withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), F.when(F.col("p") < 1, odds).otherwise(0.0)))
+    even = F.col("rank") * F.col("f") / (1 - F.col("f"))
+    return s.withColumn("bin", F.least(F.floor(even / (1 + even) * BLOCKS * BLOCKS), F.lit(BLOCKS * BLOCKS - 1)).cast("long"))
 
 
 def plan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, DataFrame]:
@@ -75,39 +87,53 @@ def plan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: st
     """
     slim = docs.select(F.col(key).alias("doc"), F.col(source).alias("source"), words(text).alias("size"), _unit(key).alias("u"))
     slim = written(slim, "sizes")
-    sources = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
-    sources = written(sources.withColumnRenamed("source", "s"), "sources")
-    pool = _ranked(_joined(slim, sources)).filter("rank is not null").select("source", "doc", "size", "rank", "bin")
+    b = bits(F.col("size"))
+    sums = written(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(b * F.col("size")).alias("bit_words"), F.max(b).alias("most_bits")), "sums")
+    sources = targets(sums.select("source", "source_size"), weights).withColumnRenamed("source", "s")
+    sources = written(sources.join(sums.drop("source_size"), F.col("source").eqNullSafe(F.col("s"))).drop("source"), "sources")
+    few = _few(sources)
+    pool = _ranked(_joined(slim, sources, few)).filter("rank is not null").select("source", "doc", "size", "rank", "bin")
     missing = F.when(F.col("source_size") > 0, F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")).otherwise(0.0)
     doc = slim.schema["doc"].dataType
     state = sources.select("s", missing.alias("gap"), F.lit(None).cast("double").alias("from_rank"), F.lit(None).cast(doc).alias("from_doc"))
-    rounds = written(_round(pool, state), "round")
+    rounds = written(_round(pool, state, few), "round")
     found = rounds
     while True:
         # No document is shorter than a word.
         state = found.filter("rank is not null and left >= 1").select("s", F.col("left").alias("gap"), F.col("rank").alias("from_rank"), F.col("doc").alias("from_doc"))
         if state.isEmpty():
             break
-        pool = written(_beyond(pool, state).select("source", "doc", "size", "rank", "bin"), "beyond")
-        found = written(_round(pool, state), "round")
+        pool = written(_beyond(pool, state, few).select("source", "doc", "size", "rank", "bin"), "beyond")
+        found = written(_round(pool, state, few), "round")
         rounds = rounds.unionByName(found)
     lists = rounds.groupBy(F.col("s").alias("ls")).agg(F.collect_list(F.struct("gap", "from_rank", "from_doc", "rank", "doc")).alias("rounds"))
     return slim, written(sources.join(lists, F.col("s").eqNullSafe(F.col("ls")), "left").drop("ls"), "cuts")
 
 
-def _beyond(pool: DataFrame, state: DataFrame) -> DataFrame:
+def _beyond(pool: DataFrame, state: DataFrame, few: bool) -> DataFrame:
     """Documents beyond the last that did not fit which fit their source's gap."""
-    return _joined(pool, state).filter((F.col("size") <= F.col("gap")) & _after(F.col("from_rank"), F.col("from_doc")))
+    return _joined(pool, state, few).filter((F.col("size") <= F.col("gap")) & _after(F.col("from_rank"), F.col("from_doc")))
 
 
-def _round(pool: DataFrame, state: DataFrame) -> DataFrame:
+def _crossing(sums: DataFrame, start: DataFrame, few: bool) -> DataFrame:
+    """(s, at, before) where words in order of ``at``, on from those of ``start``, first exceed the gap. At most BLOCKS rows a source
+    go through the window."""
+    some = sums.groupBy("s", "gap", "at").agg(F.sum("words").alias("words")).withColumnRenamed("s", "source")
+    upto = F.col("before") + F.sum("words").over(Window.partitionBy("s").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    over = _joined(some, start, few).withColumn("upto", upto).filter("upto > gap")
+    return over.groupBy("s").agg(F.min(F.struct("at", (F.col("upto") - F.col("words")).alias("before"))).alias("x")).select("s", "x.at", "x.before")
+
+
+def _round(pool: DataFrame, state: DataFrame, few: bool) -> DataFrame:
     """``state`` with the first document (rank, doc) that does not fit, null where all do, and the words ``left`` before it."""
-    beyond = _beyond(pool, state)
-    bins = beyond.groupBy("s", "bin").agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))
-    upto = F.sum("words").over(Window.partitionBy("s").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-    crossed = bins.withColumn("upto", upto).filter("upto > gap")
-    crossed = crossed.groupBy(F.col("s").alias("cs")).agg(F.min("bin").alias("cb"), F.min(F.col("upto") - F.col("words")).alias("before"))
-    edge = beyond.join(crossed, F.col("s").eqNullSafe(F.col("cs")) & (F.col("bin") == F.col("cb")))
+    beyond = _beyond(pool, state, few)
+    sums = written(beyond.groupBy("s", "gap", "bin").agg(F.sum("size").alias("words")), "bins")
+    zero = state.select("s", F.lit(0).cast("long").alias("before"))
+    block = _crossing(sums.withColumn("at", F.floor(F.col("bin") / BLOCKS)), zero, few)
+    inside = _joined(sums.withColumnRenamed("s", "source"), block.withColumnRenamed("at", "block"), few)
+    crossed = _crossing(inside.filter(F.floor(F.col("bin") / BLOCKS) == F.col("block")).select("s", "gap", F.col("bin").alias("at"), "words"), block.select("s", "before"), few)
+    crossed = written(crossed.select(F.col("s").alias("cs"), F.col("at").alias("cb"), "before"), "crossed")
+    edge = beyond.join(F.broadcast(crossed) if few else crossed, F.col("s").eqNullSafe(F.col("cs")) & (F.col("bin") == F.col("cb")))
     order = Window.partitionBy("s").orderBy("rank", F.col("doc").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, 0)
     edge = edge.withColumn("upto", F.col("before") + F.sum("size").over(order))
     fits = F.col("upto") <= F.col("gap")
@@ -132,15 +158,19 @@ def _before(rank: Column, doc: Column) -> Column:
     return rank.isNull() | (F.col("rank") < rank) | ((F.col("rank") == rank) & earlier)
 
 
-def _joined(docs: DataFrame, sources: DataFrame) -> DataFrame:
-    """Documents with their source's row: broadcast while sources are few, else a join that AQE may split."""
-    few = sources.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def _few(sources: DataFrame) -> bool:
+    """Whether there are few enough rows of sources to broadcast."""
+    return sources.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def _joined(docs: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
+    """Documents with their source's row: broadcast while sources are ``few``, else a join that AQE may split."""
     return docs.join(F.broadcast(sources) if few else sources, F.col("source").eqNullSafe(F.col("s")))
 
 
 def decided(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     """``rows`` (doc, source, size, u and others) with their source's row and ``n_copies``."""
-    r = _ranked(_joined(rows, cuts))
+    r = _ranked(_joined(rows, cuts, _few(cuts)))
     taken = F.exists("rounds", lambda x: (F.col("size") <= x["gap"]) & _after(x["from_rank"], x["from_doc"]) & _before(x["rank"], x["doc"]))
     more = F.when(F.col("rank").isNotNull() & taken, 1).otherwise(0)
     return r.withColumn("n_copies", F.col("whole") + more)

@@ -113,15 +113,17 @@ with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, '')
      t6 as (select source s, source_size, case when share is null then cap else least(cap, share * w) end target from t5),
      r0 as (select d.*, source_size, target, case when source_size > 0 then target / source_size else 0.0::double end ratio
             from d join t6 on d.source is not distinct from s),
-     r1 as (select *, cast(floor(ratio) as bigint) whole, ratio - floor(ratio) p from r0),
-     r2 as (select *, case when p > 0 and size > 0 then (u / (1 - u)) / (p / (1 - p)) end rnk, target - whole * source_size missing from r1),
+     bw as (select source bs, cast(sum(size * length(bin(size))) as bigint) bit_words, max(length(bin(size))) most_bits from d group by 1),
+     r1 as (select r0.*, cast(floor(ratio) as bigint) whole, (ratio - floor(ratio)) + least(ratio - floor(ratio), 1 - (ratio - floor(ratio))) *
+                   ((cast(bit_words as double) / source_size - length(bin(size))) / most_bits) p from r0 join bw on source is not distinct from bs),
+     r2 as (select *, case when p > 0 and size > 0 then case when p < 1 then (u / (1 - u)) / (p / (1 - p)) else 0.0::double end end rnk, target - whole * source_size missing from r1),
      c as (select *, sum(size) over (partition by source order by rnk, doc_id nulls first, size rows unbounded preceding) upto from r2 where rnk is not null),
      g as (select source gs, first(missing) - coalesce(max(case when upto <= missing then upto end), 0) gap from c group by 1),
      nx as (select source, gap, doc_id, size, row_number() over (partition by source order by rnk, doc_id nulls first, size) k
             from c join g on source is not distinct from gs where upto > missing and size <= gap),
      ls as (select source ls, list_reduce(list_prepend({{'l': first(gap), 'p': []::bigint[], 's': 0::bigint, 'd': 0::bigint}}, list({{'l': 0::double, 'p': []::bigint[], 's': size, 'd': doc_id}} order by k)),
                    lambda a, x: {{'l': case when x.s <= a.l then a.l - x.s else a.l end, 'p': case when x.s <= a.l then list_append(a.p, x.d) else a.p end, 's': 0::bigint, 'd': 0::bigint}}).p fill
-            from nx where k <= {mixing.FILL} group by 1)
+            from nx group by 1)
 select r2.doc_id, r2.size, r2.source_size, r2.target,
        cast(r2.size * (r2.whole + case when c.upto <= c.missing or (c.upto > c.missing and list_contains(fill, r2.doc_id)) then 1 else 0 end) as bigint) taken
 from r2 left join c on c.doc_id = r2.doc_id left join ls on r2.source is not distinct from ls
