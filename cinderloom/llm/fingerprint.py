@@ -5,8 +5,9 @@ fingerprint is the sum of those vectors, each coordinate modulo a power of two.
 fingerprints in any order of paragraphs, and paragraphs are added to or taken from a fingerprint without the text.
 
 The vector has three parts: EXACT words of 32 bits of the paragraph's SHA-256 (equality), the number of the
-paragraph's pieces (runs of up to two words), and LANES coordinates that sum a sign for each piece. The signs
-make sums of alike texts alike: squared distances of the last part estimate how many pieces differ.
+paragraph's pieces, and LANES coordinates that sum a sign for each piece. The signs
+make sums of alike texts alike: squared distances of the last part estimate how many pieces differ. A piece ends where its
+last word's own last character says so, so words put in or taken out change the pieces around them and no others.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ PAIRS = 31
 LANES = 2 * PAIRS
 _MASK = (1 << 31) | 1
 #: Hex digits of a lane and of the number of pieces in the written fingerprint.
-LANE_DIGITS, COUNT_DIGITS = 4, 8
-PIECE = r"\S+(?:\s+\S+)?"
+LANE_DIGITS, COUNT_DIGITS = 8, 8
+#: Up to seven words that end in one of these letters (about half of all words) and one that does not; else a word alone.
+PIECE = r"(?:\S++(?<=[adnosty])\s++){0,7}\S++(?<![adnosty])|\S++"
 
 
 def _hex(x: Column, digits: int) -> Column:
@@ -41,14 +43,14 @@ def _sums(pieces: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _written_form() -> Column:
-    """The sums as hex digits: EXACT words, the number of pieces, the lanes modulo 2**16."""
+    """The sums as hex digits: EXACT words, the number of pieces, the lanes modulo 2**32."""
     exact = [_hex(F.coalesce(F.col(f"e{i}"), F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF)), 8) for i in range(EXACT)]
     lanes = []
     for j in range(PAIRS):
         packed = F.coalesce(F.col(f"l{j}"), F.lit(0))
         for half in (packed.bitwiseAND(F.lit((1 << 31) - 1)), F.shiftrightunsigned(packed, 31)):
             # Bits 0 and 1 stand for signs -1 and +1.
-            lanes.append(_hex((2 * half - F.col("n")).bitwiseAND(F.lit(0xFFFF)), LANE_DIGITS))
+            lanes.append(_hex((2 * half - F.col("n")).bitwiseAND(F.lit(0xFFFFFFFF)), LANE_DIGITS))
     return F.concat(*exact, _hex(F.col("n").bitwiseAND(F.lit(0xFFFFFFFF)), COUNT_DIGITS), *lanes)
 
 
@@ -62,19 +64,19 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text") -> DataF
 
 def _lanes(fingerprint: Column) -> Column:
     start = 8 * EXACT + COUNT_DIGITS
-    return F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda i: F.conv(F.substring(fingerprint, F.lit(start + 1) + i * LANE_DIGITS, F.lit(LANE_DIGITS)), 16, 10).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda i: F.conv(F.substring(fingerprint, F.lit(start + 1) + i * LANE_DIGITS, F.lit(LANE_DIGITS)), 16, 10).cast("long"))
 
 
 def _signed(x: Column) -> Column:
-    """A lane or a difference of lanes as the number in -32768..32767 that it is modulo 2**16."""
-    return (F.pmod(x + F.lit(32768), F.lit(65536)) - 32768).cast("double")
+    """A lane or a difference of lanes as the number in -2**31..2**31 - 1 that it is modulo 2**32."""
+    return (F.pmod(x + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)).cast("double")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Likeness of two fingerprints, 0 to 1: 1 - |a-b|^2 / (|a|^2 + |b|^2), estimated from the lanes.
 
     Equal fingerprints have 1 (two empty texts too); one empty text and one that is not have 0. The standard error
-    is about a tenth of the distance from 1. Lanes of a text are read right up to a sum of 32,767.
+    is about a tenth of the distance from 1. Lanes of a text are read right up to 2**31 pieces.
     """
     pairs = F.arrays_zip(_lanes(a).alias("x"), _lanes(b).alias("y"))
     apart = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + _signed(p["x"] - p["y"]) * _signed(p["x"] - p["y"]))

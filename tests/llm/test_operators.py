@@ -180,9 +180,12 @@ def test_mixing_fills_behind_a_long_document(spark):
     for source in "ab":
         own = [got[i] for i, _, s in rows if s == source]
         whole = int(own[0].target / own[0].source_size)
-        p, left, want = own[0].target / own[0].source_size - whole, own[0].target - whole * own[0].source_size, {}
-        for r in sorted(own, key=lambda r: (unit(r.doc_id) / (1 - unit(r.doc_id)) / (p / (1 - p)), r.doc_id) if p else 0):
-            more = p > 0 and r.size <= left
+        f, left, want = own[0].target / own[0].source_size - whole, own[0].target - whole * own[0].source_size, {}
+        bits = {r.doc_id: r.size.bit_length() for r in own}
+        mean = sum(bits[r.doc_id] * r.size for r in own) / own[0].source_size
+        p = {i: f + min(f, 1 - f) * (mean - b) / max(bits.values()) for i, b in bits.items()}
+        for r in sorted(own, key=lambda r: (unit(r.doc_id) / (1 - unit(r.doc_id)) / (p[r.doc_id] / (1 - p[r.doc_id])), r.doc_id)):
+            more = r.size <= left
             left -= r.size * more
             want[r.doc_id] = r.size * (whole + more)
         assert {r.doc_id: r.taken for r in own} == want
@@ -191,6 +194,17 @@ def test_mixing_fills_behind_a_long_document(spark):
     assert kept == {i: r.taken for i, r in got.items() if r.taken}
 
 
+def test_mixing_draws_with_unequal_probabilities(spark):
+    """How often documents of each size get a copy more, over many like sources, follows their inclusion probabilities."""
+    rows = [(s * 60 + i, "w " * (4, 8, 16, 32)[i % 4], f"s{s:04d}") for s in range(150) for i in range(60)]
+    m = mixing.decided(*mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string"))).toPandas()
+    m["third"], m["extra"] = m.source.str[1:].astype(int) % 3, m.n_copies - m.whole
+    by = m.groupby(["third", "size"]).agg(p=("p", "mean"), got=("extra", "mean"), many=("p", "nunique"))
+    assert (by.groupby("third").p.nunique() == 4).all() and ((by.p - by.got).abs() < 0.1).all()
+    for _, g in by.reset_index().groupby("third"):
+        assert g.sort_values("size").got.is_monotonic_decreasing
+
+
 def test_mixing_takes_what_it_should(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     m = mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").toPandas()
@@ -203,6 +217,16 @@ def test_mixing_takes_what_it_should(spark, odd, empty):
     assert kept.columns == ["doc_id", "text", "score", "source", "size", "source_size", "target", "taken"]
 
 
+def brute_pieces(line):
+    """Words up to one that does not end in one of the letters, eight at most, else the first word alone."""
+    found, out, i = list(re.finditer(r"[^ \t\n\x0b\f\r]+", line)), [], 0
+    while i < len(found):
+        last = next((j for j in range(i, min(i + 8, len(found))) if found[j][0][-1] not in "adnosty"), i)
+        out.append(line[found[i].start() : found[last].end()])
+        i = last + 1
+    return out
+
+
 def brute_print(text):
     import xxhash
 
@@ -210,12 +234,12 @@ def brute_print(text):
     for p in (text or "").split("\n"):
         h = hashlib.sha256(p.encode()).hexdigest()
         exact = [(e + int(h[8 * i : 8 * i + 8], 16)) % 2**32 for i, e in enumerate(exact)]
-        for piece in re.findall(r"[^ \t\n\x0b\f\r]+(?:[ \t\n\x0b\f\r]+[^ \t\n\x0b\f\r]+)?", p):
+        for piece in brute_pieces(p):
             x, n = xxhash.xxh64(piece.encode(), seed=42).intdigest(), n + 1
             for j in range(fingerprint.PAIRS):
                 lanes[2 * j] += 2 * (x >> j & 1) - 1
                 lanes[2 * j + 1] += 2 * (x >> (j + 31) & 1) - 1
-    return ("".join(f"{e:08X}" for e in exact) + f"{n:08X}" + "".join(f"{v % 65536:04X}" for v in lanes)).lower()
+    return ("".join(f"{e:08X}" for e in exact) + f"{n:08X}" + "".join(f"{v % 2**32:08X}" for v in lanes)).lower()
 
 
 def test_fingerprints_against_brute_force(spark, odd, empty):
@@ -231,6 +255,17 @@ def test_fingerprints_against_brute_force(spark, odd, empty):
     assert fingerprint.fingerprint_documents(odd).count() == 7 and fingerprint.fingerprint_documents(empty).count() == 0
 
 
+def test_fingerprints_of_shifted_and_long_texts(spark):
+    """A word in front of a one-line text leaves it alike; so are texts of over 32,767 equal pieces."""
+    rng = np.random.default_rng(2)
+    line = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(400))
+    rows = [(1, line), (2, "zzz " + line), (3, "one two three four " * 70_000), (4, "one two three four " * 69_000)]
+    p = {r.k: r.fingerprint for r in fingerprint.fingerprints(spark.createDataFrame(rows, "k int, t string"), ["k"], "t").collect()}
+    one = spark.createDataFrame([(p[1], p[2], p[3], p[4])], "a string, b string, c string, d string")
+    r = one.select(fingerprint.likeness(F.col("a"), F.col("b")).alias("x"), fingerprint.likeness(F.col("c"), F.col("d")).alias("y"), fingerprint.likeness(F.col("a"), F.col("c")).alias("z")).first()
+    assert r.x > 0.95 and r.y > 0.95 and r.z < 0.3
+
+
 def test_fingerprints_add_and_take_away(spark):
     df = spark.createDataFrame([(1, "a b c\nd e"), (2, "d e\na b c"), (3, "a b c"), (4, "d e")], "k int, t string")
     p = {r.k: r.fingerprint for r in fingerprint.fingerprints(df, ["k"], "t").collect()}
