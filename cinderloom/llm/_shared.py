@@ -63,26 +63,26 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-Compute = Callable[[list], list[pa.Array]]
+Compute = Callable[..., list[pa.Array]]
 
 
-def append_columns(df: DataFrame, source: str, fields: list[T.StructField], make: Callable[[], Compute]) -> DataFrame:
-    """All columns of ``df`` and ``fields``, computed from the values of the column ``source`` by Arrow batch.
+def append_columns(df: DataFrame, source: str, fields: list[T.StructField], make: Callable[[], Compute], also: list[str] | tuple = ()) -> DataFrame:
+    """All columns of ``df`` and ``fields``, computed from the values of the column ``source`` (and of those in ``also``) by Arrow batch.
 
-    ``make`` runs once a task and returns the function of a list of values. Arrow carries the other
+    ``make`` runs once a task and returns the function of a list of values for each of these columns. Arrow carries the other
     columns through untouched, so nothing is joined back and no row is shuffled. A new column whose name
     ``df`` has already gets underscores until it has not (free_name).
     """
     fields = [T.StructField(free_name(df, f.name), f.dataType) for f in fields]
     schema = T.StructType([*df.schema.fields, *fields])
     arrow = to_arrow_schema(schema)
-    at = df.columns.index(source)
+    at = [df.columns.index(c) for c in (source, *also)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
             if batch.num_rows:
-                new = compute(batch.column(at).to_pylist())
+                new = compute(*[batch.column(i).to_pylist() for i in at])
                 arrays = [*batch.columns, *new]
                 arrays = [a if a.type == f.type else a.cast(f.type) for a, f in zip(arrays, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=arrow.names)

@@ -64,13 +64,11 @@ def parse(rendered: str) -> list[tuple[str, str, int, int]] | None:
 
 def render(role: str, text: str) -> tuple[str, int, int]:
     """One turn, and where its content starts and ends in it."""
-    r, t = role, text
-    for _ in range(3):
+    for r, t in ((role, text), (_escape_role(role), escape(text))):
         piece = f"{START}{r}\n{t}{END}\n"
         back = parse(piece)
         if back is not None and len(back) == 1 and back[0][:2] == (role, text):
             return piece, back[0][2], back[0][3]
-        r, t = _escape_role(role), escape(text)
     raise AssertionError("escaping did not make the round trip whole")
 
 

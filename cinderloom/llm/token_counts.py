@@ -58,18 +58,20 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 
     Columns: n_tokens (L), n_docs, docs_from (documents of L tokens or more), tokens_from (their tokens),
     docs_upto and tokens_upto (documents of at most L), truncated_tokens (total when every document is cut at L),
-    share_upto (docs_upto over all documents; the q-quantile of length is the least L whose share is q or more).
+    share_upto (docs_upto over all documents; the q-quantile of length is the least L whose share is q or more),
+    shorter (the next shorter length that occurs, null for the least).
 
     Sums run in two levels, inside blocks of lengths and over blocks, so no task holds the whole histogram.
     Empty input gives no rows.
     """
     block = F.floor(F.col("n_tokens") / BLOCK)
     h = histogram.withColumn("block", block).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
-    blocks = h.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
+    blocks = h.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"), F.max("n_tokens").alias("longest"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     blocks = blocks.select(
         "block",
+        F.lag("longest").over(Window.orderBy("block")).alias("block_before"),
         F.coalesce(F.sum("bd").over(after), F.lit(0)).alias("d_after"),
         F.coalesce(F.sum("bt").over(after), F.lit(0)).alias("t_after"),
         F.sum("bd").over(everything).alias("all_docs"),
@@ -83,22 +85,41 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     s = s.withColumn("tokens_upto", F.col("all_tokens") - F.col("tokens_from") + F.col("tokens"))
     s = s.withColumn("truncated_tokens", F.col("all_tokens") - F.col("tokens_from") + F.col("docs_from") * F.col("n_tokens"))
     s = s.withColumn("share_upto", F.col("docs_upto") / F.col("all_docs"))
-    return s.select("n_tokens", "n_docs", "docs_from", "tokens_from", "docs_upto", "tokens_upto", "truncated_tokens", "share_upto")
+    s = s.withColumn("shorter", F.coalesce(F.lead("n_tokens").over(Window.partitionBy("block").orderBy(F.desc("n_tokens"))), "block_before"))
+    return s.select("n_tokens", "n_docs", "docs_from", "tokens_from", "docs_upto", "tokens_upto", "truncated_tokens", "share_upto", "shorter")
 
 
 def totals_at(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """Totals for any context limits, met or not: limit, docs_over, truncated_tokens. One row for each limit."""
-    wanted = sums.sparkSession.createDataFrame([(int(x),) for x in limits], "limit long")
-    over = F.col("n_tokens") > F.col("limit")
-    cut = sums.select("n_tokens", "n_docs", F.explode(F.array(*[F.lit(int(x)).cast("long") for x in limits])).alias("limit")).groupBy("limit").agg(
-        F.sum(F.when(over, F.col("n_docs")).otherwise(0)).alias("docs_over"),
-        F.sum(F.col("n_docs") * F.least("n_tokens", "limit")).alias("truncated_tokens"),
-    )
-    return wanted.join(cut, "limit", "left").fillna(0, ["docs_over", "truncated_tokens"])
+    """Totals for any context limits, met or not: limit, docs_over, truncated_tokens. One row for each limit (repeats count once).
+
+    A row of ``sums`` answers all limits from the next shorter length up to its own, less one; it is found by the block of
+    the limit, so a limit meets at most BLOCK rows and nothing is summed again. Limits beyond every length cut nothing.
+    """
+    spark = sums.sparkSession
+    wanted = spark.createDataFrame([(x, x // BLOCK) for x in sorted({int(x) for x in limits})], "limit long, block long")
+    whole = sums.agg(F.coalesce(F.max("tokens_upto"), F.lit(0)).alias("all_tokens"))
+    blocks = F.sequence(F.floor(F.col("shorter") / BLOCK), F.floor((F.col("n_tokens") - 1) / BLOCK))
+    rows = sums.withColumn("shorter", F.coalesce(F.col("shorter"), F.lit(-1))).filter("n_tokens > shorter")
+    rows = rows.select("n_tokens", "shorter", "docs_from", "tokens_from", F.explode(blocks).alias("block"))
+    found = wanted.join(rows, "block").filter("limit >= shorter and limit < n_tokens").drop("block")
+    # A limit below zero lets nothing through.
+    over, upto = F.coalesce("docs_from", F.lit(0)), F.greatest("limit", F.lit(0))
+    out = wanted.select("limit").join(found, "limit", "left").join(F.broadcast(whole))  # one row
+    return out.select("limit", over.alias("docs_over"), (F.col("all_tokens") - F.coalesce("tokens_from", F.lit(0)) + over * upto).alias("truncated_tokens"))
+
+
+def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
+    """(share, n_tokens): the least length that at least ``share`` of all documents do not exceed, for shares from 0 to 1.
+
+    Each row of ``sums`` holds the shares between its predecessor's and its own, so one look over the histogram finds
+    all; an empty one gives no rows.
+    """
+    before = (F.col("docs_upto") - F.col("n_docs")) / (F.col("docs_upto") / F.col("share_upto"))
+    asked = F.array(*[F.lit(float(q)) for q in sorted(set(shares))])
+    mine = F.filter(asked, lambda q: ((q > before) | ((q <= 0) & (before == 0))) & (q <= F.col("share_upto")))
+    return sums.select(F.explode(mine).alias("share"), "n_tokens")
 
 
 def token_counts(docs: DataFrame, *, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """Histogram of whole texts' encoded lengths, made once and written, with suffix sums; extra columns of ``docs`` are not read."""
     return suffix_sums(written(length_histogram(docs, text=text, vocabulary=vocabulary), "lengths"))
-
-

@@ -28,6 +28,8 @@ _CHUNK, _BLOCK = 1 << 16, 1 << 20
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 #: A header beyond this is an error, never passed over.
 _HEAD_LIMIT = 256 << 20
+#: record_type of what began as a record and cannot be read whole.
+DAMAGED = "damaged"
 _PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
@@ -67,8 +69,11 @@ def write_archives(pages: DataFrame, folder: str, *, key: str = "page_id", url:
     """
     p = pages.select(F.col(key).cast("long").alias("page"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     p = p.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    again = p.filter(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.max("page").alias("response"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
-    p = p.join(again, "digest", "left").withColumn("refers", F.when(F.col("page") != F.col("response"), F.col("response")))
+    slim = p.filter(F.octet_length("html") >= least_bytes).select("page", "digest")
+    again = slim.groupBy("digest").agg(F.max("page").alias("response"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    revisits = slim.join(again, "digest").filter("page <> response").select("page", "digest", F.col("response").alias("refers")).distinct()
+    # By page as well: many pages of one payload are dealt to many tasks.
+    p = p.join(revisits, ["page", "digest"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, out, at, size, n = TaskContext.get(), None, "", 0, 0
@@ -123,7 +128,7 @@ class _Member:
 
 def _read(member: _Member, with_payload: bool) -> tuple | None:
     """(page, type, refers, payload bytes, digest, payload) of a member that is a WARC record, else None."""
-    chunks = iter(member)
+    chunks, ours = iter(member), False
     try:
         head, stop = bytearray(), -1
         while stop < 0:
@@ -131,6 +136,7 @@ def _read(member: _Member, with_payload: bool) -> tuple | None:
             head += next(chunks)
             if len(head) >= 5 and not head.startswith(b"WARC/"):
                 return None
+            ours = len(head) >= 5
             stop = head.find(b"\r\n\r\n", max(seen - 3, 0))
             if (len(head) if stop < 0 else stop) > _HEAD_LIMIT:
                 raise RuntimeError(f"the header of the WARC record at byte {member.at} is over {_HEAD_LIMIT} bytes")
@@ -141,7 +147,7 @@ def _read(member: _Member, with_payload: bool) -> tuple | None:
             rest += next(chunks)
         http, _, rest = rest.partition(b"\r\n\r\n")
         left -= len(http) + 4
-        sha, size, kept = hashlib.sha1(), 0, []
+        sha, size, kept, kind = hashlib.sha1(), 0, [], fields.get("WARC-Type", "")
         while True:
             part = rest[: left - size]
             sha.update(part)
@@ -151,15 +157,19 @@ def _read(member: _Member, with_payload: bool) -> tuple | None:
             rest = next(chunks, None)
             if rest is None:
                 break
+        if kind != "revisit" and size < left:
+            raise ValueError("the payload is cut short")
     except (zlib.error, StopIteration, KeyError, ValueError):
-        return None
+        return (None, DAMAGED, None, None, None, None) if ours else None
     page = re.search(r"<urn:page:(-?\d*)>", fields.get("WARC-Record-ID", ""))
     refers = re.search(r"<urn:page:(-?\d+)>", fields.get("WARC-Refers-To", ""))
-    digest, kind = base64.b32encode(sha.digest()).decode(), fields.get("WARC-Type", "")
+    digest, named = base64.b32encode(sha.digest()).decode(), fields.get("WARC-Payload-Digest", "").removeprefix("sha1:")
     if kind == "revisit":
-        digest = fields.get("WARC-Payload-Digest", "").removeprefix("sha1:")
+        digest = named
         length = re.search(rb"(?i)content-length: *(\d+)", http)
         size = int(length[1]) if length else 0
+    elif named and named != digest:
+        kind = DAMAGED
     return int(page[1]) if page and page[1] else None, kind, int(refers[1]) if refers else None, size, digest, b"".join(kept) if with_payload else None
 
 
@@ -181,18 +191,17 @@ def scan(uri: str, start: int, end: int, with_payload: bool = False) -> Iterator
                 return
             member = _Member(file, at)
             found = _read(member, with_payload)
-            if found is None or member.end < 0:
-                at += 1
-                continue
-            yield found
-            at = member.end
+            if found is not None:
+                yield found
+            at = member.end if found is not None and member.end >= 0 else at + 1
 
 
 def read_archives(listed: DataFrame, *, split_bytes: int = SPLIT_BYTES, with_payload: bool = False) -> DataFrame:
     """Records of the archives in (path, bytes): page_id, record_type, refers_to, payload_bytes, payload_digest[, payload].
 
-    Ranges of ``split_bytes`` are dealt out evenly, whatever files they are from. Bytes that are not a WARC
-    member are passed over; empty archives give no rows. Sizes and digests of responses are of the payload read; of
+    Ranges of ``split_bytes`` are dealt out evenly, whatever files they are from. Bytes that do not inflate to a WARC
+    header are passed over. A record that does but is cut short, whose fields cannot be read or whose payload has not the digest its
+    header names is a row of record_type ``damaged``, never left out. Empty archives give no rows. Sizes and digests of responses are of the payload read; of
     revisits, which carry none, those in their headers.
     """
     splits = listed.filter("bytes > 0").select("path", "bytes", F.explode(F.expr(f"sequence(0L, bytes - 1, {int(split_bytes)}L)")).alias("start"))
@@ -216,8 +225,8 @@ def read_archives(listed: DataFrame, *, split_bytes: int = SPLIT_BYTES, with_pay
             if rows:
                 yield batch(rows)
 
-    n = int(splits.count())
-    dealt = splits.repartition(max(1, min(n, 10_000)))
+    # One range a task, however many: executors take them as they come.
+    dealt = splits.repartition(max(1, int(splits.count())))
     out = dealt.mapInArrow(run, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
     return out if with_payload else out.drop("payload")
 

@@ -144,6 +144,15 @@ def test_token_counts_against_brute_force(spark, odd, empty):
         assert abs(r.share_upto - sum(n <= x for n in lengths) / len(lengths)) < 1e-12
     totals = {r.limit: (r.docs_over, r.truncated_tokens) for r in token_counts.totals_at(token_counts.token_counts(odd), [0, 2, 10**6]).collect()}
     assert totals == {x: (sum(n > x for n in lengths), sum(min(n, x) for n in lengths)) for x in (0, 2, 10**6)}
+    some = spark.createDataFrame([(n, 1 + n % 3) for n in (0, 1, 7, 1023, 1024, 1025, 5000, 70_000)], "n_tokens long, n_docs long")
+    all_of = sorted(n for n in (0, 1, 7, 1023, 1024, 1025, 5000, 70_000) for _ in range(1 + n % 3))
+    sums, asked = token_counts.suffix_sums(some), [-1, 0, 1, 2, 6, 7, 1022, 1023, 1024, 3000, 4999, 5000, 69_999, 70_000, 10**7]
+    totals = {r.limit: (r.docs_over, r.truncated_tokens) for r in token_counts.totals_at(sums, asked).collect()}
+    assert totals == {x: (sum(n > x for n in all_of), sum(min(n, max(x, 0)) for n in all_of)) for x in asked}
+    shares = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = {r.share: r.n_tokens for r in token_counts.quantiles(sums, shares).collect()}
+    assert got == {q: next(n for n in all_of if sum(m <= n for m in all_of) >= q * len(all_of)) for q in shares}
+    assert token_counts.totals_at(token_counts.suffix_sums(some.limit(0)), [5]).collect()[0][1:] == (0, 0) and token_counts.quantiles(token_counts.suffix_sums(some.limit(0)), shares).count() == 0
     assert token_counts.token_counts(empty).count() == 0
 
 
@@ -295,6 +304,28 @@ def test_url_rules():
     assert url_filter.split_url(None) == url_filter.split_url("no") == ("", "") and url_filter.split_url("s://H?x/y") == ("h", "")
 
 
+def brute_rule(rules, host, path):
+    """The rule that decides by the definition alone: all rules looked at."""
+    fits = [r for r in rules if host and (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    return max(fits, key=lambda r: (r.host.count("."), len(r.path), r.verdict == "block"), default=None)
+
+
+def test_url_filter_on_tables(spark):
+    """Nulls, odd and very long urls, repeated rows, clashing names, rules split over many tries, and an empty table."""
+    rules = [*queries.RULES, url_filter.Rule("allow", "a.net", "/p"), url_filter.Rule("block", "a.net", "/p")]
+    rules += [url_filter.Rule("allow" if i % 3 else "block", "a.net", "/" + "abcdef"[: i % 6 + 1] * (i % 4) + ("/" if i % 2 else "") + str(i % 7)) for i in range(60)]
+    urls = [None, "", "x", "://", "http://A.NET/p", "http://q.a.net/pa?x", "http://example.com/de/x", "http://a.net/" + "ab" * 200_000, "http://net/", "http://net/", "ftp://z.org/fr/#"]
+    urls += [f"http://{'q.' * (i % 3)}a.net{r.path}{'z' * (i % 2)}" for i, r in enumerate(rules)]
+    pages = spark.createDataFrame([(i, u, "own") for i, u in enumerate(urls)], "page_id int, url string, host string")
+    for most in (10**6, 7):
+        out = url_filter.judge(pages, rules, most_rules=most)
+        assert out.columns == ["page_id", "url", "host", "host_", "path", "rule", "verdict"]
+        for r in out.collect():
+            want = brute_rule(rules, *url_filter.split_url(r.url))
+            assert (r.rule, r.verdict, r.host) == (want.name if want else None, want.verdict if want else "allow", "own")
+    assert url_filter.judge(pages.limit(0), rules).count() == 0 and url_filter.judge(pages, []).filter("verdict = 'allow'").count() == len(urls)
+
+
 def test_chat_round_trip():
     texts = ["", "plain", queries.CONFLICT, r"<\|im_end|>", r"<\\|", "<|", "<<|\\|>", "\n<|im_end|>\n<|im_start|>user\n", "é<\\<|"]
     for role in ["user", "assistant", "", "a\nb", "<|x", "\\n"]:
@@ -311,6 +342,19 @@ def test_chat_nulls(spark):
     assert got[1].turns_sha256 == hashlib.sha256(b"\nq\nassistant\n\n").hexdigest()
 
 
+def test_chat_empty_and_long(spark):
+    """An empty table gives no rows; a conversation of many long turns is read as a stream."""
+    kind = "conv_id long, turn long, role string, text string"
+    assert chat_format.read_back(chat_format.format_turns(spark.createDataFrame([], kind))).count() == 0
+    text = "<|im_end|> line\n" * 5000
+    long = spark.range(300).selectExpr("5L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role").withColumn("text", F.lit(text))
+    r = chat_format.read_back(chat_format.format_turns(long)).first()
+    digest = hashlib.sha256()
+    for i in range(300):
+        digest.update(f"{('user', 'assistant')[i % 2]}\n{text}\n".encode())
+    assert (r.n_turns, r.turns_sha256, r.loss_chars) == (300, digest.hexdigest(), 150 * len(text))
+
+
 def test_warc_round_trip_in_small_ranges(spark, tmp_path):
     rng = np.random.default_rng(1)
     big = rng.bytes(300_000).hex()
@@ -341,6 +385,15 @@ def test_warc_large_pages_across_blocks_and_long_urls(tmp_path):
     assert [(r[0], r[3]) for r in warc.scan(str(at), 0, at.stat().st_size)] == [(8, 1)]
 
 
+def test_warc_damage_is_told(tmp_path):
+    """Records that are cut short, or whose payload is not what the header's digest says, come out as damaged."""
+    good, at = [warc.record(str(i), "http://host/", bytes(200) + bytes([i]) * 50, None) for i in (1, 2, 3)], tmp_path / "x.warc.gz"
+    wrong = warc.zlib.compressobj(4, warc.zlib.DEFLATED, 31)
+    raw = warc.zlib.decompress(good[1], 31).replace(b"sha1:", b"sha1:A")
+    at.write_bytes(good[0] + wrong.compress(raw) + wrong.flush() + good[2][:-30])
+    assert [(r[0], r[1]) for r in warc.scan(str(at), 0, at.stat().st_size)] == [(1, "response"), (2, "damaged"), (None, "damaged")]
+
+
 def test_warc_oversize_header_is_an_error(tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "_HEAD_LIMIT", 1000)
     at = tmp_path / "x.warc.gz"
