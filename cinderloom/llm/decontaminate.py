@@ -4,13 +4,14 @@ The normalised words of all benchmark items go into one generalised suffix autom
 words stream through it; at each word the automaton holds the longest run of words ending there
 that some item contains. A run of ``window`` words or more (or a whole item that is shorter) makes
 its words hits. Before streaming, runs of words that no match can touch are skipped: every match of
-L words is made of item ``SEED``-grams, so positions outside long enough runs of seeds cannot match.
-That is lossless and vectorised; the automaton alone decides what is a hit.
+L words is made of item ``SEED``-grams (shorter ones where the window is), so positions outside long enough runs of seeds cannot match.
+That is lossless and vectorised; the automaton alone decides what is a hit, on words compared letter by letter.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -20,11 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cinderloom.llm import _words
-from cinderloom.llm._shared import append_columns
+from cinderloom.llm._shared import append_columns, written
 
 SEED = 4
-#: Words of all items together that one automaton may hold (some 300 bytes of memory a word).
+#: Words of all items together that one automaton may hold (some 300 bytes of memory a word); more are looked for automaton after automaton.
 MAX_ITEM_WORDS = 2_000_000
+#: Characters that count as one word when items are dealt to automata.
+WORD_CHARS = 4
 
 
 class SuffixAutomaton:
@@ -126,6 +129,8 @@ class Matcher(NamedTuple):
     """What each task needs: the automaton and the seeds that find where it has work."""
 
     automaton: SuffixAutomaton
+    words: dict[int, bytes]  # the word of each hash in the items
+    seed: int  # words of a seed
     seeds: np.ndarray
     least: int  # words of the shortest match that is made of seeds
     tiny: list[tuple[int, np.ndarray]]  # (words, hashes) of items too short for a seed
@@ -139,19 +144,20 @@ def _bitmap(values: np.ndarray) -> np.ndarray:
 
 
 def build(items: list[tuple[str, str | None]], window: int) -> Matcher:
-    cut = []
+    cut, known, seed = [], {}, min(SEED, window)
     for name, text in items:
         for _, words in _words.batches([text]):
+            blob = words.blobs[0].lower()
+            for h, a, b in zip(words.hashes.tolist(), words.starts.tolist(), words.ends.tolist(), strict=True):
+                if known.setdefault(h, blob[a:b]) != blob[a:b]:
+                    raise ValueError(f"{known[h]!r} and {blob[a:b]!r} have one hash")
             cut.append((name, words.hashes))
-    total = sum(len(h) for _, h in cut)
-    if total > MAX_ITEM_WORDS:
-        raise ValueError(f"the benchmark has {total} words; one automaton holds {MAX_ITEM_WORDS}: split the items")
     cut = [(name, h) for name, h in cut if len(h)]
-    long = [h for _, h in cut if len(h) >= SEED]
-    seeds = np.unique(np.concatenate([_words.grams(h, SEED) for h in long] or [np.empty(0, np.uint64)]))
-    tiny = [(n, np.unique(np.concatenate(hs))) for n in range(1, SEED) if (hs := [_words.grams(h, n) for _, h in cut if len(h) == n])]
+    long = [h for _, h in cut if len(h) >= seed]
+    seeds = np.unique(np.concatenate([_words.grams(h, seed) for h in long] or [np.empty(0, np.uint64)]))
+    tiny = [(n, np.unique(np.concatenate(hs))) for n in range(1, seed) if (hs := [_words.grams(h, n) for _, h in cut if len(h) == n])]
     least = min([window, *(len(h) for h in long)])
-    return Matcher(SuffixAutomaton([(n, h.tolist()) for n, h in cut], window), seeds, least, tiny, _bitmap(seeds))
+    return Matcher(SuffixAutomaton([(n, h.tolist()) for n, h in cut], window), known, seed, seeds, least, tiny, _bitmap(seeds))
 
 
 def _inside(first: np.ndarray, positions: np.ndarray, n: int) -> np.ndarray:
@@ -164,15 +170,15 @@ def _stretches(m: Matcher, words: _words.Words) -> list[tuple[int, int]]:
     """Word ranges, each inside one text, that hold every possible match."""
     ranges = []
     if len(m.seeds):
-        g = _words.grams(words.hashes, SEED)
+        g = _words.grams(words.hashes, m.seed)
         near = np.flatnonzero(m.bitmap[g >> np.uint64(42)])
         at = np.searchsorted(m.seeds, g[near])
         near = near[m.seeds[np.minimum(at, len(m.seeds) - 1)] == g[near]]
-        near = _inside(words.first, near, SEED)
+        near = _inside(words.first, near, m.seed)
         if len(near):
             text = np.searchsorted(words.first, near, side="right")
             new = np.flatnonzero(np.concatenate(([True], (np.diff(near) != 1) | (np.diff(text) != 0))))
-            starts, ends = near[new], near[np.concatenate((new[1:], [len(near)])) - 1] + SEED
+            starts, ends = near[new], near[np.concatenate((new[1:], [len(near)])) - 1] + m.seed
             keep = ends - starts >= m.least
             ranges += zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)
     for n, known in m.tiny:
@@ -190,82 +196,142 @@ def _stretches(m: Matcher, words: _words.Words) -> list[tuple[int, int]]:
     return merged
 
 
-def _hits(m: Matcher, words: _words.Words) -> tuple[np.ndarray, dict[int, set[int]], dict[int, list[tuple[int, int]]]]:
-    """A mark for each word, and by text the items found and the hit word ranges."""
-    marks = np.zeros(len(words.hashes), dtype=np.int64)
-    items: dict[int, set[int]] = {}
+def _same_words(m: Matcher, words: _words.Words, s: int, e: int) -> list[int]:
+    """Hashes of words s to e, -1 where the word is not the item word of that hash."""
+    text = int(np.searchsorted(words.first, s, side="right")) - 1
+    at, blob = int(words.at[text]), words.blobs[text]
+    spans = zip(words.hashes[s:e].tolist(), (words.starts[s:e] - at).tolist(), (words.ends[s:e] - at).tolist(), strict=True)
+    return [h if m.words.get(h) == blob[a:b].lower() else -1 for h, a, b in spans]
+
+
+def _hits(m: Matcher, words: _words.Words) -> tuple[dict[int, set[str]], dict[int, list[tuple[int, int]]]]:
+    """By text the items found, and the hit word ranges in order, apart from each other and counted from the text's first word."""
+    items: dict[int, set[str]] = {}
     spans: dict[int, list[tuple[int, int]]] = {}
     for s, e in _stretches(m, words):
-        windows, found = m.automaton.stream(words.hashes[s:e].tolist())
-        if not windows:
-            continue
-        text = int(np.searchsorted(words.first, s, side="right")) - 1
-        items.setdefault(text, set()).update(found)
-        out = spans.setdefault(text, [])
-        for a, b in sorted(windows):
-            marks[s + a : s + b] = 1
-            if out and s + a <= out[-1][1]:
-                out[-1] = (out[-1][0], max(out[-1][1], s + b))
-            else:
-                out.append((s + a, s + b))
-    return marks, items, spans
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, max_span: int = 10, max_coverage: float = 0.5, clean: bool = True, prefix: str = "") -> DataFrame:
+        windows, found = m.automaton.stream(_same_words(m, words, s, e))
+        if windows:
+            text = int(np.searchsorted(words.first, s, side="right")) - 1
+            items.setdefault(text, set()).update(m.automaton.names[x] for x in found)
+            s -= int(words.first[text])
+            spans.setdefault(text, []).extend((s + a, s + b) for a, b in windows)
+    return items, {text: _merged(found) for text, found in spans.items()}
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _shards(items: DataFrame, window: int, most_words: int) -> Iterator[Matcher]:
+    """An automaton for each share of the items; the driver holds one share at a time."""
+    chars = items.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
+    n = max(1, -(-chars // (WORD_CHARS * most_words)))
+    dealt = items.distinct().withColumn("shard", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
+    for k in range(n):
+        yield build([(r.i, r.t) for r in dealt.filter(F.col("shard") == k).drop("shard").collect()], window)
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, max_span: int = 10, max_coverage: float = 0.5, clean: bool = True, prefix: str = "", most_words: int = MAX_ITEM_WORDS) -> DataFrame:
     """Every row of ``docs`` with what of it is benchmark text, all its columns kept.
 
     New columns: ``n_words``, ``n_hit`` (words inside an occurrence of a window), ``n_items`` and
     ``items_sha256`` (items with occurring windows), ``contaminated``; and with ``clean`` also
     ``clean_text`` (the text without the hit spans of ``max_span`` words or more) and ``dropped`` (more than
-    ``max_coverage`` of its words are hits: not worth keeping). ``prefix`` goes before these names.
+    ``max_coverage`` of its words are hits: not worth keeping). ``prefix`` goes before these names; one that is taken gets
+    underscores (free_name).
+
+    Items of more than about ``most_words`` words are dealt to several automata (an item of its own beyond that to one); documents stream
+    through one after the other, what was found is written between them and put together in the end. Nothing is left out.
 
     Defined cases: a null or empty text has no words and no hits; null or wordless items match
     nothing; a null item_id counts as ''; an item given twice counts once for each different id; an
-    empty benchmark leaves all documents clean; empty ``docs`` give no rows. Very long texts stream.
-    The benchmark is collected under MAX_ITEM_WORDS (an error beyond it) and broadcast.
+    empty benchmark leaves all documents clean; empty ``docs`` give no rows; repeated rows and ids are looked at each. Words of very long
+    texts are cut in pieces; memory is a few times the text.
     """
-    spark = docs.sparkSession
-    picked = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t"))
-    size = picked.agg(F.sum(F.length("t").cast("long"))).first()[0] or 0
-    if size > 40 * MAX_ITEM_WORDS:
-        raise ValueError(f"the benchmark has {size} characters, too many for one automaton: split the items")
-    shared = spark.sparkContext.broadcast(build([(r.i, r.t) for r in picked.distinct().collect()], window))
+    picked = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t")).filter("t is not null")
     names = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType())]
     if clean:
         names += [("clean_text", T.StringType()), ("dropped", T.BooleanType())]
+    matchers, columns, found = _shards(picked, window, most_words), docs.columns, []
+    m, after = next(matchers), next(matchers, None)
+    while after is not None:
+        fields = [T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
+        docs = written(append_columns(docs, text, fields, _finding(docs, m), also=found), "found")
+        found = docs.columns[-2:]
+        m, after = after, next(matchers, None)
+    fields = [T.StructField(prefix + n, t) for n, t in names]
+    out = append_columns(docs, text, fields, _reporting(docs, m, clean, max_span, max_coverage), also=found)
+    return out.select(*[F.col(f"`{c}`") for c in columns], *[F.col(f"`{c}`") for c in out.columns[-len(names) :]])
+
+
+def _together(i: int, mine: tuple[dict, dict], spans: list | None, items: list | None) -> tuple[list[tuple[int, int]], set[str]]:
+    """Spans and items of a text with those that earlier automata found."""
+    own, found = list(mine[1].get(i, ())), set(mine[0].get(i, ()))
+    if spans is not None:
+        own = _merged([*own, *zip(spans[::2], spans[1::2], strict=True)])
+        found.update(items)
+    return own, found
+
+
+def _finding(docs: DataFrame, m: Matcher):
+    shared = docs.sparkSession.sparkContext.broadcast(m)  # MAX_ITEM_WORDS
+
+    def make():
+        def compute(texts: list, spans: list | None = None, items: list | None = None) -> list[pa.Array]:
+            a, b = [], []
+            for first, words in _words.batches(texts):
+                mine = _hits(shared.value, words)
+                for i in range(len(words.blobs)):
+                    own, found = _together(i, mine, spans and spans[first + i], items and items[first + i])
+                    a.append([x for span in own for x in span])
+                    b.append(sorted(found))
+            return [pa.array(a, pa.list_(pa.int64())), pa.array(b, pa.list_(pa.string()))]
+
+        return compute
+
+    return make
+
+
+def _reporting(docs: DataFrame, m: Matcher, clean: bool, max_span: int, max_coverage: float):
+    shared = docs.sparkSession.sparkContext.broadcast(m)  # MAX_ITEM_WORDS
+    kinds = [T.LongType, T.LongType, T.LongType, T.StringType, T.BooleanType] + ([T.StringType, T.BooleanType] if clean else [])
 
     def make():
-        m = shared.value
         nothing = hashlib.sha256(b"").hexdigest()
 
-        def compute(texts: list) -> list[pa.Array]:
-            columns: list[list] = [[] for _ in names]
+        def compute(texts: list, spans: list | None = None, items: list | None = None) -> list[pa.Array]:
+            columns: list[list] = [[] for _ in kinds]
             for first, words in _words.batches(texts):
-                marks, items_of, spans_of = _hits(m, words)
-                totals = np.concatenate(([0], np.cumsum(marks)))
-                n_words, n_hit = np.diff(words.first), totals[words.first[1:]] - totals[words.first[:-1]]
+                mine = _hits(shared.value, words)
                 for i, blob in enumerate(words.blobs):
-                    found = sorted({m.automaton.names[x] for x in items_of.get(i, ())})
-                    digest = hashlib.sha256(",".join(found).encode()).hexdigest() if found else nothing
-                    row = [int(n_words[i]), int(n_hit[i]), len(found), digest, bool(n_hit[i])]
+                    own, found = _together(i, mine, spans and spans[first + i], items and items[first + i])
+                    n, n_hit = int(words.first[i + 1] - words.first[i]), sum(b - a for a, b in own)
+                    digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest() if found else nothing
+                    row = [n, n_hit, len(found), digest, n_hit > 0]
                     if clean:
-                        row += [texts[first + i], False] if not n_hit[i] else [_cut_out(blob, words, i, spans_of[i], max_span), bool(n_hit[i] > max_coverage * n_words[i])]
+                        row += [_cut_out(blob, words, i, own, max_span), n_hit > max_coverage * n] if n_hit else [texts[first + i], False]
                     for column, value in zip(columns, row, strict=True):
                         column.append(value)
-            return [pa.array(c, type=_ARROW[type(t)]) for c, (_, t) in zip(columns, names, strict=True)]
+            return [pa.array(c, type=_ARROW[k]) for c, k in zip(columns, kinds, strict=True)]
 
         return compute
 
-    return append_columns(docs, text, [T.StructField(prefix + n, t) for n, t in names], make)
+    return make
 
 
 _ARROW = {T.LongType: pa.int64(), T.StringType: pa.string(), T.BooleanType: pa.bool_()}
 
 
 def _cut_out(blob: bytes, words: _words.Words, i: int, spans: list[tuple[int, int]], max_span: int) -> str:
-    at, kept, done = int(words.at[i]), [], 0
+    at, own, kept, done = int(words.at[i]), int(words.first[i]), [], 0
     for a, b in spans:
         if b - a >= max_span:
-            kept.append(blob[done : int(words.starts[a]) - at])
-            done = int(words.ends[b - 1]) - at
+            kept.append(blob[done : int(words.starts[own + a]) - at])
+            done = int(words.ends[own + b - 1]) - at
     return b"".join([*kept, blob[done:]]).decode("utf-8", "surrogatepass")

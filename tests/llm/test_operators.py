@@ -71,6 +71,21 @@ def test_decontaminate_against_brute_force(spark):
         assert r.contaminated == (hit > 0) and (hit or r.clean_text == r.text)
 
 
+@pytest.mark.parametrize("window", [1, 2, 3, 6])
+def test_decontaminate_with_small_windows_and_many_automata(spark, window):
+    """Windows shorter than a seed, items dealt to many automata, repeated rows, clashing names, null ids."""
+    rng = np.random.default_rng(window)
+    items = [(str(i), " ".join(rng.choice(list("abcdefgh"), n))) for i, n in enumerate([12, 7, 5, 3, 2, 1, 9])] + [(None, "A b c d e f g h"), ("z", None)]
+    docs = [(i, " ".join(rng.choice(list("abcdefghijklmnop"), 30))) for i in range(20)] + [(1, "a b"), (1, "a b"), (None, "a b c d e f g h a")]
+    table = spark.createDataFrame([(*d, "own") for d in docs], "doc_id long, text string, n_hit string")
+    for most in (10**6, 3):
+        out = decontaminate.decontaminate(table, spark.createDataFrame(items, "item_id string, text string"), window=window, most_words=most)
+        assert out.columns[:5] == ["doc_id", "text", "n_hit", "n_words", "n_hit_"] and out.count() == len(docs)
+        for r in out.collect():
+            n, hit, found = brute_hits(r.text, [(i or "", t) for i, t in items], window)
+            assert (r.n_words, r.n_hit_, r.n_items) == (n, hit, len(found)) and r.items_sha256 == hashlib.sha256(",".join(found).encode()).hexdigest()
+
+
 def test_decontaminate_cuts_whole_spans(spark, odd, empty):
     passage = " ".join(f"w{i}" for i in range(12))
     docs = spark.createDataFrame([(1, f"before {passage.upper()}, after it all of this stays here as it was and more"), (2, passage)], "doc_id long, text string")
@@ -156,13 +171,68 @@ def test_token_counts_against_brute_force(spark, odd, empty):
     assert token_counts.token_counts(empty).count() == 0
 
 
+def brute_grams(text):
+    """Counts of hashed pairs and triples, character by character."""
+    chars, out = [ord(c) if c.isalpha() else 32 for c in f" {text.lower()} "], Counter()
+    for i in range(len(chars) - 1):
+        if chars[i : i + 2] != [32, 32]:
+            out[((chars[i] * 0x9E3779B1 + chars[i + 1]) * 0x27D4EB2F) % 2**32 >> 20] += 1
+        if i + 2 < len(chars) and chars[i + 1] != 32:
+            out[((((chars[i] * 0x9E3779B1 + chars[i + 1]) * 0x85EBCA77) + chars[i + 2]) * 0xC2B2AE3D) % 2**32 >> 20] += 1
+    return out
+
+
+def test_language_id_against_brute_force(monkeypatch):
+    """Counts over seams, letters of every plane, and cosines and labels as the definition has them."""
+    texts = ["Straße ÀÉ x1y", "a", "İstanbul ıI", "\U00030001\U00030002 \U00031350", "\U00020000", "1 2 3", "", None, "ab " * 50]
+    for size in (1 << 20, 7):
+        monkeypatch.setattr(language_id, "_BATCH", size)
+        got, lettered = language_id.counts(texts)
+        for t, row, ok in zip(texts, got, lettered, strict=True):
+            want = brute_grams(t or "") if t and any(c.isalpha() for c in t) else Counter()
+            assert {i: n for i, n in enumerate(row.tolist()) if n} == want and ok == bool(want)
+    rng, rows = np.random.default_rng(1), []
+    for name, letters in (("x", "abcde"), ("y", "fghij")):
+        for _ in range(40):
+            tf = language_id.counts([" ".join("".join(rng.choice(list(letters), 4)) for _ in range(30))])[0][0]
+            at = np.flatnonzero(tf)
+            rows.append((name, at, tf[at]))
+    model = language_id.train(rows, [])
+    tests = ["abc bcd cde aabb", "fgh hij jjig", "xyz", "abc fgh"]
+    for t, name, score in zip(tests, *model.predict(tests)[:2], strict=True):
+        v = np.zeros(language_id.DIMS)
+        for i, n in brute_grams(t).items():
+            v[i] = np.log1p(n) * model.idf[i]
+        cosines = [float(v @ c) / float(np.sqrt(v @ v)) for c in model.centroids]
+        assert abs(score - max(max(cosines), 0)) < 1e-5 and name == model.languages[int(np.argmax(cosines))]
+
+
+def test_language_id_learns_every_language_and_rejects_junk(spark):
+    """Over 100 languages, one held by copies; hex strings and foreign scripts are rejected, short clean texts are not."""
+    rng = np.random.default_rng(4)
+    alphabet = [chr(0x4E00 + i) for i in range(2000)]
+    rows = [(k, f"l{k:03d}", " ".join("".join(rng.choice(alphabet[k * 15 : k * 15 + 15], 3)) for _ in range(20))) for k in range(120) for _ in range(9)]
+    rows += [(-1, "l000", rows[0][2])] * 2000
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language_id.fit(docs, learn=F.lit(True), all_rows=500)
+    assert set(model.languages) == {f"l{k:03d}" for k in range(120)}
+    seen = docs.filter("doc_id >= 0").toPandas()
+    assert (np.array(model.predict(seen.text.tolist())[0]) == seen.lang).mean() > 0.99
+    own = language_id.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), learn=F.lit(True))
+    junk = ["".join(rng.choice(list("0123456789abcdef"), 32)) + " " for _ in range(20)]
+    assert all(own.predict(["".join(junk), "Это русский текст о погоде и природе", " ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 6)) for _ in range(100))])[2])
+    many = own.predict([r.text.split(".")[0] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()])
+    assert np.mean(many[2]) < 0.05
+
+
 def test_language_id_held_out(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = queries.op4_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
     assert (got.lang_pred == got.lang).mean() > 0.98 and got.score.between(0, 1).all() and got.rejected.mean() < 0.02
     model = language_id.fit(docs, learn=F.lit(True))
     names = ("p", "s", "r")
-    assert {r.p for r in language_id.identify(odd.filter("doc_id <= 3"), model, names=names).collect()} == {"und"}
+    got = [r for r in language_id.identify(odd, model).collect()]
+    assert {r.lang_pred for r in got if r.doc_id and r.doc_id <= 3} == {"und"} and len(got) == len(ODD) and len({r.score_ for r in got if r.doc_id == 7}) == 1
     assert language_id.identify(empty, model, names=names).count() == 0
     none = language_id.fit(empty, learn=F.lit(True))
     assert {r.p for r in language_id.identify(odd, none, names=names).collect()} == {"und"}
@@ -284,6 +354,34 @@ def test_fingerprints_add_and_take_away(spark):
     assert (r["sum"], r["left"]) == (p[1], p[3])
 
 
+def test_quality_against_brute_force(spark):
+    """Scores from compressed sizes taken one by one; the curve is where the likelihood is greatest; whole labelled texts are learnt from."""
+    import zstandard
+
+    rng = np.random.default_rng(6)
+    filler = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(6000))
+    mark = {0: "zzyx wwvu ttsr qqpo " * 30, 1: "mmno llkj iihg yyxw " * 30}
+    # What tells the classes apart stands behind 36,000 characters.
+    rows = [(f"k{i}", filler() + mark[i % 2] * 8, i % 2) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [("k0", None)], "doc_id string, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows] + [("k1", 1), (None, 1), ("k2", None), ("no", 0)], "doc_id string, quality int")
+    model = quality.fit(docs, labels, learn=F.lit(True))
+    probe = spark.createDataFrame([(mark[0], 1.0), (mark[1], 1.0), ("", 1.0), (None, 1.0), (mark[1], 1.0)], "text string, score double")
+    got = [r.score_ for r in quality.scored(probe, model).collect()]
+    assert got[0] < 0.5 < got[1] == got[4] and got[2] == got[3]
+    for text, s in zip((mark[0], mark[1], ""), got, strict=False):
+        size = {}
+        for name, raw in (("good", model.good), ("bad", model.bad)):
+            c = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=False, write_checksum=False, write_dict_id=False)
+            size[name] = sum(len(c.compress(text.encode()[i : i + quality.PIECE])) for i in range(0, len(text), quality.PIECE))
+        x = (size["bad"] - size["good"]) / (len(text) + quality.SMALL)
+        assert abs(s - 1 / (1 + np.exp(-(model.curve[0] * x + model.curve[1])))) < 1e-9
+    x, y = np.stack([rng.standard_normal(200), np.ones(200)], 1), (rng.random(200) < 0.7).astype(float)
+    likelihood = lambda c: float(np.sum(np.log(np.where(y == 1, quality._score(x, c), 1 - quality._score(x, c)))))
+    best = quality._logistic(x, y, np.ones(200))
+    assert all(likelihood(best) >= likelihood((best[0] + a, best[1] + b)) - 1e-4 for a in (-0.1, 0, 0.1) for b in (-0.1, 0, 0.1))
+
+
 def test_quality_held_out(spark, odd, empty):
     sf = "/root/testdata/sf0.01"
     got = queries.op7_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
