@@ -72,7 +72,7 @@ def _ranked(slim: DataFrame) -> DataFrame:
     """
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     s = slim.withColumn("whole", F.floor(ratio).cast("long")).withColumn("f", ratio - F.floor(ratio))
-    tilt = (F.col("bit_words") / F.col("source_size") - bits(F.col("size"))) / F.col("most_bits")
+    tilt = (F.col("bit_words") / F.greatest("source_size", F.lit(1)) - bits(F.col("size"))) / F.col("most_bits")
     s = s.withColumn("p", F.col("f") + F.least(F.col("f"), 1 - F.col("f")) * tilt)
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     s = s.withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), F.when(F.col("p") < 1, odds).otherwise(0.0)))
@@ -197,5 +197,5 @@ def mixed(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: s
     kept = docs.drop(*[c for c in docs.columns if c.lower() in ("size", "source_size", "target", "taken")])
     row = F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row")
     slim = kept.select(row, F.col(key).alias("doc"), F.col(source).alias("source"), words(text).alias("size"), _unit(key).alias("u"))
-    return decided(slim, cuts).filter("n_copies > 0").select("row.*", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
+    return decided(slim, cuts).filter("n_copies > 0 and size > 0").select("row.*", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
 

@@ -115,7 +115,7 @@ with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, '')
             from d join t6 on d.source is not distinct from s),
      bw as (select source bs, cast(sum(size * length(bin(size))) as bigint) bit_words, max(length(bin(size))) most_bits from d group by 1),
      r1 as (select r0.*, cast(floor(ratio) as bigint) whole, (ratio - floor(ratio)) + least(ratio - floor(ratio), 1 - (ratio - floor(ratio))) *
-                   ((cast(bit_words as double) / source_size - length(bin(size))) / most_bits) p from r0 join bw on source is not distinct from bs),
+                   ((cast(bit_words as double) / greatest(source_size, 1) - length(bin(size))) / most_bits) p from r0 join bw on source is not distinct from bs),
      r2 as (select *, case when p > 0 and size > 0 then case when p < 1 then (u / (1 - u)) / (p / (1 - p)) else 0.0::double end end rnk, target - whole * source_size missing from r1),
      c as (select *, sum(size) over (partition by source order by rnk, doc_id nulls first, size rows unbounded preceding) upto from r2 where rnk is not null),
      g as (select source gs, first(missing) - coalesce(max(case when upto <= missing then upto end), 0) gap from c group by 1),

@@ -527,6 +527,39 @@ def test_near_dedup_stage_keeps_rows_without_or_with_a_shared_id(spark):
         assert sorted(map(str, p.one_of_each(spark, dealt, SF).select("doc_id", "text", "source").collect())) == sorted(str(r) for r in spark.createDataFrame(want, docs.schema).collect())
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, clashing names and empty tables, stage by stage."""
+    sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
+    import corpus_pipeline as p
+
+    own = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    passage = " ".join(f"w{i}" for i in range(30))
+    odd = [(None, None, None, None, None), (7001, None, "en", "a", 0), (7002, "", None, None, 0), (7003, "x", "en", "a", 1), (7003, "x", "en", "a", 1), (None, passage, None, "a", 9), (7004, passage, "en", "a", 9)]
+    odd += [(7005, "word and another one " * 60_000, "en", "b", 9)]
+    docs = own.unionByName(spark.createDataFrame(odd, own.schema))
+    for c in ("quality_score", "lang_pred", "print", "node", "dc_n_hit", "score"):
+        docs = docs.withColumn(c, F.lit("mine"))
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").schema
+    spark.createDataFrame([(None, passage), (None, None)], item).write.mode("append").parquet(str(tmp_path / "benchmark.parquet"))
+    sf = str(tmp_path)
+    rows = lambda df: sorted(map(str, df.collect()))
+    everything, shared = rows(docs), Counter(rows(docs))
+    good = p.good_quality(spark, docs, sf)
+    assert good.columns == docs.columns and set(rows(good)) <= set(everything) and Counter(rows(good))[[x for x in everything if "7003" in x][0]] in (0, 2)
+    known = p.known_language(spark, docs, sf)
+    assert known.columns == docs.columns and known.filter("text is null or text = ''").count() == 0 and not Counter(rows(known)) - shared
+    single = p.one_of_each(spark, docs, sf)
+    assert single.columns == docs.columns and single.filter("doc_id is null").count() == 2 and single.filter("doc_id = 7003").count() == 1
+    clean = p.no_benchmark(spark, docs, sf)
+    assert clean.columns == docs.columns and clean.filter("text is null").count() == 2 and clean.filter(F.col("text").contains("w1 w2")).count() == 0
+    mix = p.target_mix(spark, docs, sf)
+    assert mix.columns == [*docs.columns, "size", "source_size", "target", "taken"] and mix.filter("text is null or text = '' or taken > 3 * size").count() == 0
+    for _, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
+
+
 def test_pipeline_against_brute_force(spark):
     sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
     import corpus_pipeline as p
