@@ -16,14 +16,24 @@ REJECT_BELOW = 0.5
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier does not find likelier bad than good (score below REJECT_BELOW)."""
+    """Documents that the compression classifier does not find likelier bad than good (score below REJECT_BELOW).
+
+    A null or empty text gets what the curve says of no difference, and stays or goes by that; very long texts are scored whole; repeated
+    rows and ties share a score, so all stay or all go; rows without doc_id are scored, but never learnt from; a
+    column named like the score is kept; an empty table gives no rows. Without labels nothing is told apart and all rows score 0.5 and stay.
+    """
     model = quality.fit(docs, load(spark, sf_dir, "labels"), learn=F.expr(crc_mod("doc_id", 4)) != 2)
     name = free_name(docs, "quality_score")
     return quality.scored(docs, model, name=name).filter(F.col(name) >= REJECT_BELOW).drop(name)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; texts without a letter or far from every language go."""
+    """Documents whose language is recognised; texts without a letter or far from every language go.
+
+    Null and empty texts have no letter and go; very long texts are counted whole; repeated rows share a result; rows without doc_id
+    or lang are judged like others; columns named like the results are kept; an empty table gives no rows. Where no row has a language
+    nothing is recognised and no row stays.
+    """
     model = language_id.fit(docs, learn=F.expr(crc_mod("doc_id", 3)) != 1)
     names = tuple(free_name(docs, n) for n in ("lang_pred", "lang_score", "lang_rejected"))
     return language_id.identify(docs, model, names=names).filter(~F.col(names[2])).drop(*names)
@@ -33,15 +43,17 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, the one with the least doc_id; every row without doc_id.
 
     A document is a doc_id and a text: rows of one doc_id whose texts differ are looked at apart, the least md5 first. Rows
-    that share both are one document, the row that is least by its columns in order.
+    that share both are one document, the row that is least by its columns in order. Null, empty and wordless texts are
+    each a class of its own; very long texts are compared whole; columns of any name are kept; an empty table gives no rows.
     """
     known = docs.filter("doc_id is not null")
     mark = free_name(docs, "print")
     node = free_name(docs, "node")
     prints = known.select("doc_id", F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")).alias(mark))
-    first = prints.groupBy("doc_id").agg(F.min(mark).alias("first"), F.max(mark).alias("last"))
-    several = written(first.filter("first <> last").select("doc_id", "first"), "several")
-    further = written(prints.join(several, "doc_id").filter(F.col(mark) != F.col("first")).select("doc_id", mark).distinct(), "further")
+    first = prints.groupBy("doc_id").agg(F.min(mark).alias("first"), F.max(mark).alias("last"), F.count(F.lit(1)).alias("k"))
+    shared = written(first.filter("k > 1"), "shared")
+    several = shared.filter("first <> last").select("doc_id", "first")
+    further = prints.join(several, "doc_id").filter(F.col(mark) != F.col("first")).select("doc_id", mark).distinct()
     # Further texts of a doc_id get numbers below all ids; too small an id for that is an overflow error.
     least = known.agg(F.least(F.min("doc_id"), F.lit(0)).cast("long")).first()[0] or 0
     further = written(further.withColumn(node, F.lit(least) - 1 - F.monotonically_increasing_id()), "further")
@@ -54,21 +66,39 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay = own.groupBy("class_id").agg(F.min(order).alias("best")).select(F.col("best.n").alias("n"))
     gone = classes.select(F.col("doc_id").alias("n")).distinct().join(stay, "n", "left_anti").withColumnRenamed("n", node)
     kept = named.join(written(gone, "duplicates"), node, "left_anti")
+    # Only rows whose doc_id comes again can repeat a document; the others are not shuffled for it.
+    again = kept.join(shared.select("doc_id"), "doc_id", "left_semi")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    kept = kept.groupBy(node).agg(F.min(row).alias("row")).select("row.*")
-    return kept.unionByName(docs.filter("doc_id is null"))
+    once = again.groupBy(node).agg(F.min(row).alias("row")).select("row.*")
+    alone = kept.join(shared.select("doc_id"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return alone.unionByName(once).unionByName(docs.filter("doc_id is null"))
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their benchmark passages; documents that are mostly benchmark go."""
-    out = decontaminate.decontaminate(docs, load(spark, sf_dir, "benchmark"), prefix="dc_")
-    out = out.filter(~F.col("dc_dropped"))
-    changed = {"text": F.col("dc_clean_text"), "n_chars": F.when(F.col("dc_contaminated"), F.length("dc_clean_text").cast("long")).otherwise(F.col("n_chars"))}
-    return out.withColumns({c: v for c, v in changed.items() if c in docs.columns}).select(docs.columns)
+    """Texts without their benchmark passages; documents that are mostly benchmark go.
+
+    Null and empty texts have no words and stay as they are; very long texts are cut whole; repeated rows are each cut
+    alike, rows without doc_id like others; columns named like the operator's are kept, n_chars of a text that was cut is
+    counted again; an empty table gives no rows, an empty benchmark leaves all as it is.
+    """
+    names = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "clean_text", "dropped")
+    prefix = "dc_"
+    while {f"{prefix}{n}" for n in names} & {c.lower() for c in docs.columns}:
+        prefix += "_"
+    out = decontaminate.decontaminate(docs, load(spark, sf_dir, "benchmark"), prefix=prefix)
+    clean, hit = F.col(f"{prefix}clean_text"), F.col(f"{prefix}contaminated")
+    out = out.filter(~F.col(f"{prefix}dropped"))
+    changed = {"text": clean, "n_chars": F.when(hit, F.length(clean).cast("long")).otherwise(F.col("n_chars"))}
+    return out.withColumns({c: v for c, v in changed.items() if c in docs.columns}).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: rows with the words taken of them (repeats counted) beside the columns of documents."""
+    """The mix of sources: rows with the words taken of them (repeats counted) beside the columns of documents.
+
+    Null, empty and wordless texts have no words and are not taken; a null source is a source, the last; rows without
+    doc_id, and rows that repeat one, share a rank and are taken while each fits; columns named like the results are replaced; an empty
+    table gives no rows. Very long documents are taken whole or not at all.
+    """
     return mixing.mixed(docs)
 
 
