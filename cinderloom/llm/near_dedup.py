@@ -277,7 +277,7 @@ def _buckets(reps: DataFrame) -> DataFrame:
     """
     dealt = reps.select(F.explode("bands").alias("key"), "node", "n")
     sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    met = written(dealt.join(sizes, "key"), "met")
+    met = written(dealt.join(sizes.hint("merge"), "key"), "met")
     fame = met.groupBy("node").agg(F.sum("size").alias("fame"))
     return met.select("key", "node", "n").join(fame, "node")
 
@@ -317,8 +317,8 @@ def _unsettled(met: DataFrame, root: DataFrame, texts: DataFrame, threshold: flo
     left, right = written(left, "left"), written(right, "right")
     bits = _sketches(right.select(F.col("b").alias("node")).distinct(), texts)
 
-    def sketched(side: DataFrame, node: str, name: str, part: Column) -> DataFrame:
-        return side.join(bits.select(F.col("node").alias(node), part.alias(name)).hint("merge"), node)
+    def sketched(side: DataFrame, node: str, name: str) -> DataFrame:
+        return side.join(bits.select(F.col("node").alias(node), F.col("bits").alias(name)).hint("merge"), node)
 
     def differ(x: Column, y: Column) -> Column:
         """Unequal components in two longs."""
@@ -332,16 +332,12 @@ def _unsettled(met: DataFrame, root: DataFrame, texts: DataFrame, threshold: flo
         p = (1 - threshold) * 15 / 16
         return n * p + SLACK * (n * p * (1 - p)) ** 0.5
 
-    # The first words of the sketches go into the buckets; the rest meets only pairs that pass those, each once.
-    first = F.slice("bits", 1, FIRST // 16)
-    left, right = sketched(left, "a", "xa", first), sketched(right, "b", "xb", first)
+    left, right = sketched(left, "a", "xa"), sketched(right, "b", "xb")
     some = sum((differ(F.col("xa")[i], F.col("xb")[i]) for i in range(FIRST // 16)), F.lit(0))
-    close = (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (some <= bound(FIRST))
-    rest = left.join(right.hint("merge"), (left["key"] == right["key"]) & close)
-    rest = written(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "close")
-    rest = sketched(sketched(rest, "a", "xa", F.col("bits")), "b", "xb", F.col("bits"))
     all_of = F.aggregate(F.zip_with("xa", "xb", differ), F.lit(0), lambda s, x: s + x)
-    return rest.filter(all_of <= bound(SKETCHED)).select("a", "b")
+    close = (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (some <= bound(FIRST)) & (all_of <= bound(SKETCHED))
+    rest = left.join(right.hint("merge"), (left["key"] == right["key"]) & close)
+    return rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
