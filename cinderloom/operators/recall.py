@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinderloom.operators.lineage import cut
 from cinderloom.operators.ranking import top_k
 
 MOST_ITEMS = 500
@@ -27,14 +28,20 @@ def similar_items(ratings: DataFrame, k: int = 5) -> DataFrame:
 
 
 def neighbours(ratings: DataFrame, k: int = 50) -> DataFrame:
-    """(user_id, other_id, sim): the k users of highest positive cosine over commonly rated items."""
+    """(user_id, other_id, sim): the k users of highest positive cosine over commonly rated items.
+
+    Each pair of users is made once, with the lesser id first, and mirrored when it is summed; an item's raters meet in a join that AQE splits
+    where one item has many.
+    """
     r = ratings.select("user_id", "item_id", "rating")
     norms = r.groupBy("user_id").agg(F.sqrt(F.sum(F.col("rating") * F.col("rating"))).alias("norm"))
     o = r.select(F.col("user_id").alias("other_id"), "item_id", F.col("rating").alias("other_rating"))
-    dots = r.join(o, "item_id").filter("user_id <> other_id").groupBy("user_id", "other_id").agg(F.sum(F.col("rating") * F.col("other_rating")).alias("dot"))
+    dots = r.join(o, "item_id").filter("user_id < other_id").groupBy("user_id", "other_id").agg(F.sum(F.col("rating") * F.col("other_rating")).alias("dot"))
     s = dots.join(norms, "user_id").join(norms.select(F.col("user_id").alias("other_id"), F.col("norm").alias("other_norm")), "other_id")
     s = s.withColumn("sim", F.round(F.col("dot") / (F.col("norm") * F.col("other_norm")), 9)).filter("sim > 0")
-    return top_k(s.select("user_id", "other_id", "sim"), ["user_id"], k, F.desc("sim"), F.asc("other_id"))
+    both = F.array(F.struct("user_id", "other_id"), F.struct(F.col("other_id").alias("user_id"), F.col("user_id").alias("other_id")))
+    s = s.select(F.explode(both).alias("x"), "sim")
+    return top_k(s.select("x.user_id", "x.other_id", "sim"), ["user_id"], k, F.desc("sim"), F.asc("other_id"))
 
 
 def from_similar_users(ratings: DataFrame, k: int = 50) -> DataFrame:
@@ -99,19 +106,23 @@ def last_value(df: DataFrame, by: list[str], value: Column, *version: str) -> Da
     return df.groupBy(*by).agg(F.max_by(value, F.struct(*version)).alias("value"), F.max(F.struct(*version)).alias("version"))
 
 
-def k_core(ratings: DataFrame, item_least: int, user_least: int, most_rounds: int = 50) -> DataFrame:
-    """Ratings left when items, then users, with too few ratings are dropped again and again until none is."""
-    before, left = -1, ratings.checkpoint() if ratings.sparkSession.sparkContext.getCheckpointDir() else ratings
-    for _ in range(most_rounds):
-        n = left.count()
-        if n == before:
-            break
+def preferences(df: DataFrame, by: list[str], name: str = "name", score: str = "score") -> DataFrame:
+    """(by, name, score): names trimmed and lower-cased, scores finite and above 0, the highest of each name."""
+    s = F.col(score)
+    fine = s.isNotNull() & ~F.isnan(s) & (s > 0) & (s < float("inf")) & F.col(name).isNotNull()
+    p = df.filter(fine).select(*by, F.lower(F.trim(name)).alias("name"), s.alias("score")).filter("name <> ''")
+    return p.groupBy(*by, "name").agg(F.max("score").alias("score"))
+
+
+def k_core(ratings: DataFrame, item_least: int, user_least: int) -> DataFrame:
+    """Ratings left when items, then users, with too few ratings are dropped again and again until none is, however many rounds that takes."""
+    before, left = -1, cut(ratings)
+    while (n := left.count()) != before:
         before = n
         for key, least in (("item_id", item_least), ("user_id", user_least)):
             enough = left.groupBy(key).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= least).select(key)
             left = left.join(enough, key, "left_semi")
-        if ratings.sparkSession.sparkContext.getCheckpointDir():
-            left = left.checkpoint()
+        left = cut(left)
     return left
 
 

@@ -1,113 +1,268 @@
-"""Vector search: exact, hyperplane hashing, clustered, and multi-vector."""
+"""Vector search: exact, hyperplane hashing, clustered, Euclidean hashing, and multi-vector."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderloom.functions.scores import dot
 from cinderloom.operators.ranking import top_k
 
-PLANES, SEED = 16, 42
-#: Queries in one block, vectors in one chunk, and vectors of a fitted sample.
-QUERY_BLOCK, CHUNK, FIT_SAMPLE = 512, 16_384, 20_000
+#: Planes of a table, tables, and the seed of their normals.
+PLANES, TABLES, SEED = 16, 16, 42
+#: Unequal bits beyond the k-th least that a candidate may have, in standard deviations of a pair's count of unequal bits.
+SLACK = 2.0
+#: Queries that are broadcast at most, queries in one block and vectors in one chunk beyond that, and vectors of a fitted sample.
+BROADCAST_QUERIES, QUERY_BLOCK, CHUNK, FIT_SAMPLE = 4096, 4096, 16_384, 20_000
+#: Vectors of a cluster at most, after splits.
+POSTING = 128
+
+Work = Callable[[np.ndarray, np.ndarray, list, np.ndarray, np.ndarray], pd.DataFrame]
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank) of the k highest inner products of each query, itself left out; ties by id.
+def _against(queries: DataFrame, vectors: DataFrame, work: Work, schema: str) -> DataFrame:
+    """``work`` of every query (query_id, q, skip) and every vector (id, v), block by block; widths other than the first query's are left out.
 
-    Queries (query_id, vec) are dealt to blocks and vectors to chunks; a task multiplies one block with one chunk and
-    keeps the best k a query (and what ties with the last), so memory is bounded by block x chunk and nothing passes
-    through the driver.
+    Up to BROADCAST_QUERIES queries are broadcast, and vectors are not shuffled. More are dealt to blocks and vectors
+    to chunks; a task works one block against one chunk, so memory is bounded and nothing passes through the driver.
     """
-    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    n_chunks = max(1, -(-vectors.count() // CHUNK))
+
+    def stacked(ids: pd.Series, rows: pd.Series, width: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        width = len(rows.iloc[0]) if width is None else width
+        ok = rows.map(len).to_numpy() == width
+        return ids.to_numpy()[ok], np.array(rows[ok].tolist()).reshape(int(ok.sum()), width), ok
+
+    if (n := queries.limit(BROADCAST_QUERIES + 1).count()) <= BROADCAST_QUERIES:
+        own = queries.select("query_id", "q", "skip").toPandas()
+        if not n:
+            return vectors.sparkSession.createDataFrame([], schema)
+        ids, q, ok = stacked(own["query_id"], own["q"], None)
+        shared = vectors.sparkSession.sparkContext.broadcast((ids, q, [set(x) for x in own["skip"][ok]]))  # BROADCAST_QUERIES rows
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    got, v, _ = stacked(b["id"], b["v"], shared.value[1].shape[1])
+                    if len(got):
+                        yield work(*shared.value, got, v)
+
+        return vectors.select("id", "v").mapInPandas(run, schema)
+
+    n_blocks, n_chunks = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-vectors.count() // CHUNK))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    q = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block"), upto(n_chunks).alias("chunk"), "query_id", F.col("vec").alias("q"))
-    v = vectors.select(upto(n_blocks).alias("block"), F.pmod(F.xxhash64("id"), F.lit(n_chunks)).alias("chunk"), "id", F.col("vec").alias("v"))
-
-    def best(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if not len(qs) or not len(vs):
-            return empty
-        width = len(qs["q"].iloc[0])
-        qs, vs = qs[qs["q"].map(len) == width], vs[vs["v"].map(len) == width]
-        if not len(vs):
-            return empty
-        ids, own = qs["query_id"].to_numpy(), vs["id"].to_numpy()
-        s = np.array(qs["q"].tolist()) @ np.array(vs["v"].tolist()).T
-        s[ids[:, None] == own[None, :]] = -np.inf
+    left = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block"), upto(n_chunks).alias("chunk"), "query_id", "q", "skip")
+    right = vectors.select(upto(n_blocks).alias("block"), F.pmod(F.xxhash64("id"), F.lit(n_chunks)).alias("chunk"), "id", "v")
+
+    def both(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
+        if len(qs) and len(vs):
+            ids, q, ok = stacked(qs["query_id"], qs["q"], None)
+            got, v, _ = stacked(vs["id"], vs["v"], q.shape[1])
+            if len(got):
+                return work(ids, q, [set(x) for x in qs["skip"][ok]], got, v)
+        return pd.DataFrame()
+
+    return left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(both, schema)
+
+
+def _masked(score: np.ndarray, worst: float, ids: np.ndarray, skip: list, own: np.ndarray) -> np.ndarray:
+    """Scores with the query itself and what it skips set to the worst."""
+    score[ids[:, None] == own[None, :]] = worst
+    for i, out in enumerate(skip):
+        if out:
+            score[i, np.isin(own, list(out))] = worst
+    return score
+
+
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, skip: str | None = None) -> DataFrame:
+    """(query_id, id, score, rank) of the k highest inner products of each query, itself and the ids in its array ``skip`` left out; ties by id.
+
+    Each batch keeps the best k of a query and what ties with the last. Queries are (query_id, vec).
+    """
+
+    def best(ids: np.ndarray, q: np.ndarray, out: list, own: np.ndarray, v: np.ndarray) -> pd.DataFrame:
+        s = _masked(q @ v.T, -np.inf, ids, out, own)
         m = min(k, s.shape[1])
         cut = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
         i, j = np.nonzero((s >= cut[:, None] - 1e-6) & np.isfinite(s))
         return pd.DataFrame({"query_id": ids[i], "id": own[j], "score": s[i, j]})
 
-    found = q.groupBy("block", "chunk").cogroup(v.groupBy("block", "chunk")).applyInPandas(best, "query_id long, id long, score double")
+    skipped = F.coalesce(skip, F.array().cast("array<long>")) if skip else F.array().cast("array<long>")
+    found = _against(queries.select("query_id", F.col("vec").alias("q"), skipped.alias("skip")), vectors.select("id", F.col("vec").alias("v")), best, "query_id long, id long, score double")
     return top_k(found.withColumn("score", F.round("score", 6)), ["query_id"], k, F.desc("score"), F.asc("id"))
 
 
-def planes(dims: int, n: int = PLANES, seed: int = SEED) -> list[list[float]]:
-    return np.random.default_rng(seed).standard_normal((n, dims)).tolist()
+def planes(dims: int, n: int = PLANES, seed: int = SEED) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((n, dims))
 
 
-def with_bucket(vectors: DataFrame, dims: int, n: int = PLANES) -> DataFrame:
-    """Bit i of the bucket is set where the product with plane i is not negative."""
-    bits = [F.when(dot(F.col("vec"), F.array(*[F.lit(x) for x in p])) >= 0, 1 << i).otherwise(0) for i, p in enumerate(planes(dims, n))]
-    total = bits[0]
-    for b in bits[1:]:
-        total = total + b
-    return vectors.withColumn("bucket", total)
+def code(vec: str, dims: int, tables: int = TABLES) -> Column:
+    """Buckets of a vector in each table, four tables to a long: bit i of a table's bucket is set where the product with its plane i is not negative.
 
+    Null where the vector is null or of another width.
+    """
+    normals = planes(dims, PLANES * tables)
+    weights = (np.uint64(1) << np.arange(64, dtype=np.uint64))[: 4 * PLANES]
 
-def lsh_top_k(vectors: DataFrame, queries: DataFrame, dims: int, k: int, n: int = PLANES) -> DataFrame:
-    """(query_id, id, score, rank) of the k highest inner products, as exact_top_k, at any input size.
+    @F.pandas_udf("array<long>")
+    def buckets(rows: pd.Series) -> pd.Series:
+        ok = np.array([r is not None and len(r) == dims for r in rows], dtype=bool)
+        out = np.full(len(rows), None, dtype=object)
+        if ok.any():
+            bits = np.array(rows[ok].tolist()) @ normals.T >= 0
+            longs = (bits.reshape(len(bits), -1, 4 * PLANES) * weights).sum(axis=2, dtype=np.uint64).view(np.int64)
+            for i, x in zip(np.flatnonzero(ok), longs, strict=True):
+                out[i] = x
+        return pd.Series(out)
+
+    return buckets(F.col(vec))
+
+
+def _nearest_codes(found: DataFrame, k: int, tables: int, slack: float) -> DataFrame:
+    """(query_id, id) of those (query_id, id, apart) with at most the k-th least of unequal bits and ``slack`` deviations more."""
+    bits = PLANES * tables
+    last = top_k(found, ["query_id"], k, F.asc("apart"), F.asc("id")).groupBy("query_id").agg(F.max("apart").alias("kth"))
+    room = F.col("kth") + slack * F.sqrt(F.col("kth") * (bits - F.col("kth")) / F.lit(float(bits)))
+    return found.join(last, "query_id").filter(F.col("apart") <= room).select("query_id", "id")
 
-    The query's bucket and those one bit away give a first k-th score (none where they hold fewer than k). Of the other
-    buckets those are searched too whose score bound, from the least and greatest value of each dimension, reaches that score.
-    """
-    order = (["query_id"], k, F.desc("score"), F.asc("id"))
-    v = with_bucket(vectors, dims, n).select("id", "bucket", F.col("vec").alias("v"))
-    probes = F.concat(F.array("bucket"), *[F.array(F.col("bucket").bitwiseXOR(F.lit(1 << i))) for i in range(n)])
-    q = with_bucket(queries, dims, n).select("query_id", F.col("vec").alias("q"), probes.alias("probes"))
 
-    def scored(pairs: DataFrame) -> DataFrame:
-        return pairs.join(v, "bucket").filter("query_id <> id").select("query_id", "id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
+def lsh_candidates(vectors: DataFrame, queries: DataFrame, dims: int, k: int, tables: int = TABLES, slack: float = SLACK) -> DataFrame:
+    """(query_id, id): what is to be scored. All tables' buckets are read together: the share of unequal bits estimates the angle, and
+    candidates are those whose angle may be among the k least. There are always k where there are as many vectors, so nothing falls
+    back to a scan. Codes, 8 bytes for four tables, are compared; vectors are not."""
+    bits = PLANES * tables
 
-    top = top_k(scored(q.select("query_id", "q", F.explode("probes").alias("bucket"))), *order).drop("rank")
-    least = top.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
-    rest = q.join(least, "query_id", "left").crossJoin(bounds(v, dims)).filter(~F.array_contains("probes", F.col("bucket")))
-    widest = F.zip_with(F.zip_with("q", "low", lambda x, y: x * y), F.zip_with("q", "high", lambda x, y: x * y), lambda x, y: F.greatest(x, y))
-    bound = F.aggregate(widest, F.lit(0.0), lambda s, x: s + x)
-    rest = rest.filter(F.col("least").isNull() | (bound >= F.col("least") - 1e-5 * (1 + F.abs("least"))))
-    return top_k(top.unionByName(scored(rest.select("query_id", "q", "bucket"))), *order)
+    def near(ids: np.ndarray, q: np.ndarray, out: list, own: np.ndarray, v: np.ndarray) -> pd.DataFrame:
+        apart = np.zeros((len(ids), len(own)), dtype=np.int32)
+        for j in range(q.shape[1]):
+            apart += np.bitwise_count(q[:, j].view(np.uint64)[:, None] ^ v[:, j].view(np.uint64)[None, :])
+        apart = _masked(apart, bits + 1, ids, out, own)
+        m = min(k, apart.shape[1])
+        kth = np.partition(apart, m - 1, axis=1)[:, m - 1].clip(0, bits)
+        i, j = np.nonzero(apart <= (kth + slack * np.sqrt(kth * (bits - kth) / bits))[:, None])
+        keep = apart[i, j] <= bits
+        return pd.DataFrame({"query_id": ids[i][keep], "id": own[j][keep], "apart": apart[i, j][keep]})
 
+    none = F.array().cast("array<long>").alias("skip")
+    q = queries.select("query_id", code("vec", dims, tables).alias("q"), none).filter("q is not null")
+    v = vectors.select("id", code("vec", dims, tables).alias("v")).filter("v is not null")
+    return _nearest_codes(_against(q, v, near, "query_id long, id long, apart int"), k, tables, slack)
 
-def bounds(v: DataFrame, dims: int) -> DataFrame:
-    """(bucket, low, high): the least and greatest value of each dimension of a bucket's vectors."""
-    low, high = (F.array(*[f(F.col("v")[i].cast("double")) for i in range(dims)]) for f in (F.min, F.max))
-    return v.groupBy("bucket").agg(low.alias("low"), high.alias("high"))
 
+def _scored(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    near = candidates.join(vectors.select("id", F.col("vec").alias("v")), "id").join(queries.select("query_id", F.col("vec").alias("q")), "query_id")
+    return top_k(near.select("query_id", "id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score")), ["query_id"], k, F.desc("score"), F.asc("id"))
 
-def clustered_top_k(vectors: DataFrame, queries: DataFrame, k: int, clusters: int, probes: int) -> DataFrame:
-    """Top k among vectors whose centroid is one of the query's ``probes`` best by inner product.
 
-    Centroids are fitted with k-means on at most FIT_SAMPLE vectors; every vector is assigned and searchable.
+def lsh_top_k(vectors: DataFrame, queries: DataFrame, dims: int, k: int, tables: int = TABLES, slack: float = SLACK) -> DataFrame:
+    """(query_id, id, score, rank) of about the k highest inner products of vectors of one length: those of lsh_candidates(), scored exactly."""
+    return _scored(lsh_candidates(vectors, queries, dims, k, tables, slack), vectors, queries, k)
+
+
+def k_means(rows: np.ndarray, k: int, rounds: int = 10, seed: int = SEED) -> np.ndarray:
+    """Lloyd's centroids from k-means++ starts; an empty cluster keeps its centroid. For a bounded sample."""
+    rng = np.random.default_rng(seed)
+    c = rows[[int(rng.integers(len(rows)))]]
+    far = ((rows - c[0]) ** 2).sum(axis=1)
+    while len(c) < min(k, len(rows)) and far.sum() > 0:
+        c = np.vstack((c, rows[int(rng.choice(len(rows), p=far / far.sum()))]))
+        far = np.minimum(far, ((rows - c[-1]) ** 2).sum(axis=1))
+    for _ in range(rounds):
+        own = _nearest(rows, c)
+        c = np.array([rows[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(len(c))])
+    return c
+
+
+def _nearest(rows: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return ((c * c).sum(axis=1)[None, :] - 2 * rows @ c.T).argmin(axis=1)
+
+
+def _assigned(vectors: DataFrame, c: np.ndarray) -> DataFrame:
+    """(id, vec, cluster): the nearest centroid of each vector."""
+    shared = vectors.sparkSession.sparkContext.broadcast(c)  # FIT_SAMPLE / 8 rows at most
+
+    @F.pandas_udf("long")
+    def nearest(rows: pd.Series) -> pd.Series:
+        return pd.Series(_nearest(np.array(rows.tolist()), shared.value))
+
+    return vectors.select("id", "vec", nearest("vec").alias("cluster"))
+
+
+def clusters(vectors: DataFrame, posting: int = POSTING) -> tuple[np.ndarray, DataFrame]:
+    """Centroids and (id, vec, cluster): one cluster for every half ``posting`` of vectors, those that hold more are split in two, again and again.
+
+    Centroids are fitted on at most FIT_SAMPLE vectors, the least by a hash of their ids, and are at most an eighth as many; all
+    vectors are assigned and searchable. A cluster whose sampled members cannot be told apart stays as it is.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    v = vectors.withColumn("features", array_to_vector("vec"))
-    total = v.count()
-    sample = v.sample(min(1.0, FIT_SAMPLE / max(total, 1)), seed=SEED) if total > FIT_SAMPLE else v
-    model = KMeans(k=clusters, seed=SEED, maxIter=10).fit(sample)
-    own = model.transform(v).select("id", "vec", F.col("prediction").alias("cluster"))
-    centres = F.array(*[F.struct(F.lit(i).alias("cluster"), F.array(*[F.lit(float(x)) for x in c]).alias("c")) for i, c in enumerate(model.clusterCenters())])
-    scored = F.transform(centres, lambda c: F.struct((-dot(F.col("vec"), c["c"])).alias("s"), c["cluster"].alias("cluster")))
-    q = queries.select("query_id", F.col("vec").alias("q"), F.explode(F.slice(F.array_sort(scored), 1, probes)["cluster"]).alias("cluster"))
-    near = q.join(own, "cluster").filter("query_id <> id").select("query_id", "id", F.round(dot(F.col("q"), F.col("vec")), 6).alias("score"))
-    return top_k(near, ["query_id"], k, F.desc("score"), F.asc("id"))
+    total = vectors.count()
+    cut = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, FIT_SAMPLE / max(total, 1)))) if total > FIT_SAMPLE else vectors
+    sample = np.array([r["vec"] for r in cut.select("id", "vec").orderBy("id").collect()])
+    if not len(sample):
+        return np.zeros((0, 1)), vectors.select("id", "vec", F.lit(0).cast("long").alias("cluster"))
+    most = max(1, FIT_SAMPLE // 8)
+    c = k_means(sample, max(1, min(most, -(-2 * total // posting))))
+    while True:
+        own = _assigned(vectors, c)
+        large = [r["cluster"] for r in own.groupBy("cluster").count().filter(F.col("count") > posting).collect()]  # no more than centroids
+        mine, added = _nearest(sample, c), []
+        for j in sorted(large):
+            two = k_means(sample[mine == j], 2) if (mine == j).sum() > 1 else c[:0]
+            if len(two) == 2 and len(c) + len(added) < most:
+                c[j] = two[0]
+                added.append(two[1])
+        if not added:
+            return c, own
+        c = np.vstack((c, *added))
+
+
+def clustered_candidates(vectors: DataFrame, queries: DataFrame, k: int, probes: int, posting: int = POSTING, slack: float = SLACK) -> DataFrame:
+    """(query_id, id): of the vectors in a query's best clusters by inner product with the centroid, those whose codes are near enough to be scored.
+
+    ``probes`` clusters are looked into, twice as many for as long as they hold fewer than k vectors.
+    """
+    c, own = clusters(vectors, posting)
+    dims = c.shape[1]
+    held = np.zeros(max(len(c), 1), dtype=np.int64)
+    for r in own.groupBy("cluster").count().collect():
+        held[r["cluster"]] = r["count"]
+    shared = vectors.sparkSession.sparkContext.broadcast((c, held))
+
+    @F.pandas_udf("array<long>")
+    def probed(rows: pd.Series) -> pd.Series:
+        centres, sizes = shared.value
+        out = []
+        for order in np.argsort(-np.array(rows.tolist()) @ centres.T, axis=1, kind="stable"):
+            n = probes
+            while n < len(order) and sizes[order[:n]].sum() <= k:
+                n *= 2
+            out.append(order[:n])
+        return pd.Series(out)
+
+    v = own.select("id", "cluster", code("vec", dims).alias("v"))
+    q = queries.filter(F.size("vec") == dims).select("query_id", code("vec", dims).alias("q"), F.explode(probed("vec")).alias("cluster"))
+    apart = sum((F.bit_count(F.col("q")[i].bitwiseXOR(F.col("v")[i])) for i in range(TABLES // 4)), F.lit(0))
+    found = q.join(v, "cluster").filter("query_id <> id").select("query_id", "id", apart.alias("apart"))
+    return _nearest_codes(found, k, TABLES, slack)
+
+
+def clustered_top_k(vectors: DataFrame, queries: DataFrame, k: int, probes: int, posting: int = POSTING, slack: float = SLACK) -> DataFrame:
+    """(query_id, id, score, rank) of about the k highest inner products: those of clustered_candidates(), scored exactly."""
+    return _scored(clustered_candidates(vectors, queries, k, probes, posting, slack), vectors, queries, k)
+
+
+def euclidean_near(vectors: DataFrame, point: list[float], k: int, normals: list[list[float]], width: float) -> DataFrame:
+    """(id, distance, rank) of the k nearest to ``point`` among vectors that share a bucket with it in one of the tables; a
+    bucket is the product with the table's normal over ``width``, rounded down."""
+    at = [int(np.floor(np.dot(point, n) / width)) for n in normals]
+    p = F.array(*[F.lit(float(x)) for x in point])
+    shared = [F.floor(dot(F.col("vec"), F.array(*[F.lit(float(x)) for x in n])) / width) == b for n, b in zip(normals, at, strict=True)]
+    near = vectors.filter(F.greatest(*[F.coalesce(s, F.lit(False)) for s in shared]))
+    apart = F.zip_with("vec", p, lambda x, y: (x - y) * (x - y))
+    near = near.select("id", F.round(F.sqrt(F.aggregate(apart, F.lit(0.0), lambda s, x: s + x)), 6).alias("distance"))
+    return top_k(near.withColumn("g", F.lit(0)), ["g"], k, F.asc("distance"), F.asc("id")).drop("g")
 
 
 def max_sim(query: str, bag: str):

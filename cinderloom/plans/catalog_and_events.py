@@ -56,7 +56,7 @@ def s10_catalog_overlay(spark, sf):
 def a3_genre_index(spark, sf):
     avg = T.ratings(spark, sf).groupBy("item_id").agg(F.avg("rating").alias("a"))
     g = T.movies(spark, sf).select("item_id", F.explode("genres").alias("genre")).distinct().join(avg, "item_id", "left").withColumn("avg_rating", F.coalesce("a", F.lit(0.0)))
-    return R.ranked(g, ["genre"], F.desc("avg_rating"), F.asc("item_id")).select("genre", "item_id", "avg_rating", F.col("rank").cast("long").alias("rank"))
+    return R.placed(g, F.desc("avg_rating"), F.asc("item_id"), by=("genre",)).select("genre", "item_id", "avg_rating", F.col("rank").cast("long").alias("rank"))
 
 
 @query("ratings", "select user_id, string_agg(item_id, ',' order by ts, item_id) items, count(*) n from ratings where rating >= 3.5 group by 1")
@@ -67,7 +67,7 @@ def a4_s5_f15_item_sequences(spark, sf):
 
 @query("catalog", "select genre, id, year, row_number() over (partition by genre order by year desc, id) as \"rank\" from catalog")
 def w6_latest(spark, sf):
-    return R.ranked(T.catalog(spark, sf), ["genre"], F.desc("year"), F.asc("id")).select("genre", "id", "year", F.col("rank").cast("long").alias("rank"))
+    return R.placed(T.catalog(spark, sf), F.desc("year"), F.asc("id"), by=("genre",)).select("genre", "id", "year", F.col("rank").cast("long").alias("rank"))
 
 
 @query("ev", f"""select event_id, user_id > 0 and trim(event_id) <> '' valid, {HISTORY} history, cast({WEIGHT} as bigint) weight, {LABEL} label,
@@ -79,8 +79,8 @@ def f1_f7_event_flags(spark, sf):
 @query("ev", "with m as (select min(ts_ms) lo, max(ts_ms) hi from ev) select event_id, ts_ms > 0 and ts_ms >= lo + 86400000 replayed, ts_ms + 86400 * 1000 > hi alive from ev, m")
 def f8_f9_replay(spark, sf):
     e = T.events(spark, sf)
-    m = e.agg(F.min("ts_ms").alias("lo"), F.max("ts_ms").alias("hi")).first()
-    return e.select("event_id", ((F.col("ts_ms") > 0) & (F.col("ts_ms") >= m["lo"] + 86_400_000)).alias("replayed"), E.alive_at(F.lit(m["hi"]), 86_400).alias("alive"))
+    e = e.join(F.broadcast(e.agg(F.min("ts_ms").alias("lo"), F.max("ts_ms").alias("hi"))))  # one row
+    return e.select("event_id", ((F.col("ts_ms") > 0) & (F.col("ts_ms") >= F.col("lo") + 86_400_000)).alias("replayed"), E.alive_at(F.col("hi"), 86_400).alias("alive"))
 
 
 @query("ev", f"select movie_id, metric, w as window_start, count(*) n from (select movie_id, {METRIC} metric, ts_ms // 10000 * 10000 w from ev) where metric is not null group by all")
@@ -154,8 +154,8 @@ def k2_lineage(spark, sf):
 
 @query("ev", """select shard, seq, user_id, event_id from (select user_id % 16 shard, user_id, event_id, row_number() over (partition by user_id % 16 order by ts_ms, event_id) seq from ev)""")
 def k7_u7_shard_log(spark, sf):
-    e = T.events(spark, sf).dropDuplicates(["user_id", "event_id"]).withColumn("shard", F.pmod("user_id", F.lit(16)))
-    return R.ranked(e, ["shard"], F.asc("ts_ms"), F.asc("event_id"), name="seq").select("shard", F.col("seq").cast("long").alias("seq"), "user_id", "event_id")
+    e = T.events(spark, sf).groupBy("user_id", "event_id").agg(F.min("ts_ms").alias("ts_ms")).withColumn("shard", F.pmod("user_id", F.lit(16)))
+    return R.placed(e, F.asc("ts_ms"), F.asc("event_id"), by=("shard",), name="seq").select("shard", F.col("seq").cast("long").alias("seq"), "user_id", "event_id")
 
 
 @query("catalog", "with a as (select score s, id i from catalog order by score desc, id desc limit 1 offset 100) select id, title, cast(c.score as varchar) score, has_more from (select *, count(*) over () > 20 has_more, row_number() over (order by score desc, id desc) r from (select c.* from catalog c, a where c.score < s or (c.score = s and id < i) order by score desc, id desc limit 21) c) c where r <= 20")
@@ -197,8 +197,8 @@ def x1_x2_text_sets(spark, sf):
 @query("ev", "select event_id, session_id, strftime(make_timestamp(ts_ms * 1000), '%Y%m%d') \"day\", cast(ceil((max(ts_ms) over () - ts_ms) / 86400000.0) as bigint) lookback_days from ev")
 def x5_day_buckets(spark, sf):
     e = T.events(spark, sf)
-    hi = e.agg(F.max("ts_ms")).first()[0]
-    return e.select("event_id", "session_id", F.date_format(F.timestamp_millis("ts_ms"), "yyyyMMdd").alias("day"), F.ceil((F.lit(hi) - F.col("ts_ms")) / 86_400_000.0).cast("long").alias("lookback_days"))
+    e = e.join(F.broadcast(e.agg(F.max("ts_ms").alias("hi"))))  # one row
+    return e.select("event_id", "session_id", F.date_format(F.timestamp_millis("ts_ms"), "yyyyMMdd").alias("day"), F.ceil((F.col("hi") - F.col("ts_ms")) / 86_400_000.0).cast("long").alias("lookback_days"))
 
 
 @query("ratings", """with p as (select user_id, ts // 86400 as day, string_agg(item_id, ',' order by ts desc, item_id) items, string_agg(rating, ',' order by ts desc, item_id) rs from ratings group by all),

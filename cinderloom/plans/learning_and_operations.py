@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import math
+
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from cinderloom.functions import events as E
@@ -15,6 +17,8 @@ from cinderloom.sources import tables as T
 
 long = lambda c: F.col(c).cast("long").alias(c)
 DAY = 86_400_000
+#: Chances that a Poisson number of mean 1 is at most 0, 1, 2, ...; further ones are within the hash's step of 1.
+POISSON = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12))
 
 
 @query("ev", f"""with s as (select user_id, ts_ms // {DAY} req, movie_id, {LABEL} label, event_type, ts_ms, event_id from ev where user_id > 0),
@@ -71,12 +75,12 @@ def a13_reward_stats(spark, sf):
 def x18_reward_model(spark, sf):
     """Mean rewards of all, item and first genre, weighted by confidence min(1, n / 3)."""
     r, m = T.ratings(spark, sf), T.movies(spark, sf).select("item_id", F.col("genres")[0].alias("genre"))
-    g = r.agg((F.sum("rating") / F.count(F.lit(1)) / 5.0).alias("m"), F.count(F.lit(1)).alias("n")).first()
+    g = r.agg((F.sum("rating") / F.count(F.lit(1)) / 5.0).alias("m"), F.count(F.lit(1)).alias("n"))
     i = r.groupBy("item_id").agg((F.sum("rating") / F.count(F.lit(1)) / 5.0).alias("im"), F.count(F.lit(1)).alias("inum"))
     ge = r.join(m, "item_id").groupBy("genre").agg((F.sum("rating") / F.count(F.lit(1)) / 5.0).alias("gm"), F.count(F.lit(1)).alias("gnum"))
     conf = lambda w, n: w * F.coalesce(F.least(F.lit(1.0), n / 3.0), F.lit(0.0))
-    j = m.join(i, "item_id", "left").join(ge, "genre", "left")
-    ws = [(conf(0.15, F.lit(g["n"])), F.lit(g["m"])), (conf(0.45, F.col("inum")), F.coalesce("im", F.lit(0.0))), (conf(0.25, F.col("gnum")), F.coalesce("gm", F.lit(0.0)))]
+    j = m.join(i, "item_id", "left").join(ge, "genre", "left").join(F.broadcast(g))  # one row
+    ws = [(conf(0.15, F.col("n")), F.col("m")), (conf(0.45, F.col("inum")), F.coalesce("im", F.lit(0.0))), (conf(0.25, F.col("gnum")), F.coalesce("gm", F.lit(0.0)))]
     score = sum((w * v for w, v in ws), F.lit(0.0)) / sum((w for w, _ in ws), F.lit(0.0))
     return j.select("item_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6).alias("reward"))
 
@@ -99,8 +103,8 @@ def x17_content_overlap(spark, sf):
 def x19_leave_one_out(spark, sf):
     r = T.ratings(spark, sf)
     p = r.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.sum("rating").alias("total"))
-    mean = r.agg(F.avg("rating")).first()[0]
-    return r.join(p, "item_id").select("user_id", "item_id", F.round((F.col("total") - F.col("rating") + 20 * mean) / (F.col("n") - 1 + 20), 6).alias("score"))
+    r = r.join(p, "item_id").join(F.broadcast(r.agg(F.avg("rating").alias("mean"))))  # one row
+    return r.select("user_id", "item_id", F.round((F.col("total") - F.col("rating") + 20 * F.col("mean")) / (F.col("n") - 1 + 20), 6).alias("score"))
 
 
 def _core(n: int) -> str:
@@ -137,10 +141,14 @@ def e2_e6_a15_w23_policy_evaluation(spark, sf):
 def a16_bootstrap(spark, sf):
     """Percentiles of 200 resampled means of ratings by user segment: each row counts a Poisson number of times, from its hash."""
     r = T.ratings(spark, sf).join(T.load(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment")), "user_id")
-    u = (F.pmod(F.xxhash64("user_id", "item_id", "b"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    times = F.when(u < 0.36788, 0).when(u < 0.73576, 1).when(u < 0.91970, 2).when(u < 0.98101, 3).when(u < 0.99634, 4).otherwise(5)
-    b = r.select("segment", "rating", "user_id", "item_id", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("b")).withColumn("k", times)
-    m = b.groupBy("segment", "b").agg((F.sum(F.col("rating") * F.col("k")) / F.sum("k")).alias("m"))
+    def times(b: int) -> Column:
+        u = (F.pmod(F.xxhash64("user_id", "item_id", F.col("g") * 8 + b), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+        return sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
+
+    # Eight resamples of a row are summed side by side, so a row is copied 25 times and partial sums leave each task.
+    sums = [(F.sum(F.col("rating") * times(b)) / F.sum(times(b))).alias(f"m{b}") for b in range(8)]
+    m = r.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(24)))).groupBy("segment", "g").agg(*sums)
+    m = m.select("segment", F.explode(F.array(*[f"m{b}" for b in range(8)])).alias("m"))
     return m.groupBy("segment").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 
@@ -191,12 +199,12 @@ def f14_j10_j11_cold_start(spark, sf):
 def a22_rolling_qps(spark, sf):
     """Requests a second over the last ten seconds; minutes are windowed apart, each with the ten seconds before it."""
     s = T.events(spark, sf).groupBy(F.floor(F.col("ts_ms") / 1000).alias("sec")).agg(F.count(F.lit(1)).alias("n"))
-    first = s.agg(F.min("sec")).first()[0]
+    s = s.join(F.broadcast(s.agg(F.min("sec").alias("first"))))  # one row
     own = F.floor(F.col("sec") / 60)
     both = s.withColumn("part", F.explode(F.array_distinct(F.array(own, F.floor((F.col("sec") + 9) / 60)))))
     w = Window.partitionBy("part").orderBy("sec").rangeBetween(-9, 0)
     q = both.withColumn("window_n", F.sum("n").over(w)).filter(F.col("part") == own)
-    return q.select("sec", "n", "window_n", F.round(F.col("window_n") / F.least(F.lit(10), F.col("sec") - first + 1).cast("double"), 4).alias("qps"))
+    return q.select("sec", "n", "window_n", F.round(F.col("window_n") / F.least(F.lit(10), F.col("sec") - F.col("first") + 1).cast("double"), 4).alias("qps"))
 
 
 @query("ev", """select event_type strategy, count(*) n, round(avg(cast(event_type = 'error' as int)), 9) failure_rate, round(avg(watch_ms), 6) mean_ms, quantile_disc(watch_ms, 0.5) p50, quantile_disc(watch_ms, 0.95) p95, quantile_disc(watch_ms, 0.99) p99,
@@ -256,7 +264,8 @@ def x38_retry_delays(spark, sf):
 @query()
 def x22_x24_a29_ring_shards(spark, sf):
     e = folds.ring_shard(T.events(spark, sf).select("event_id"), "event_id", 16)
-    return e.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    n = e.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    return spark.range(16).select(F.col("id").alias("shard")).join(n, "shard", "left").fillna(0, ["n"])
 
 
 @query()
@@ -314,7 +323,8 @@ def h1_h12_hydrated_users(spark, sf):
 @query("ratings", """with s as (select user_id, list(item_id order by ts desc, item_id) full_list from ratings group by 1)
  select user_id, array_to_string(full_list[1:20], ',') actions, array_to_string(list_sort(list_intersect(full_list[1:20], full_list[11:40])), ',') overlap, len(full_list[1:50]) kept from s""")
 def x34_x35_w26_h10_sequences(spark, sf):
-    s = T.ratings(spark, sf).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("ts")).alias("t"), "item_id"))).alias("s")).select("user_id", F.transform("s", lambda x: x["item_id"]).alias("l"))
+    newest = R.top_k(T.ratings(spark, sf), ["user_id"], 50, F.desc("ts"), F.asc("item_id"))
+    s = newest.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("rank", "item_id"))).alias("s")).select("user_id", F.transform("s", lambda x: x["item_id"]).alias("l"))
     text = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
     return s.select("user_id", text(F.slice("l", 1, 20)).alias("actions"), text(F.array_sort(F.array_intersect(F.slice("l", 1, 20), F.slice("l", 11, 30)))).alias("overlap"), F.size(F.slice("l", 1, 50)).cast("long").alias("kept"))
 

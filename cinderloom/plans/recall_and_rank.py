@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cinderloom.functions import events as E
@@ -45,7 +44,7 @@ def c5_j4_a6_user_similarity(spark, sf):
 @query("ratings", "select item_id, count(*) n, sum(rating) total, avg(rating) mean, row_number() over (order by count(*) desc, item_id) as \"rank\" from ratings group by 1")
 def a14_w24_popularity(spark, sf):
     p = T.ratings(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.sum("rating").alias("total"), F.avg("rating").alias("mean"))
-    return p.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), F.asc("item_id"))).cast("long"))
+    return R.placed(p, F.desc("n"), F.asc("item_id")).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("ratings movies", """with h as (select distinct user_id, genre from ratings join (select item_id, unnest(genres) genre from movies) g using (item_id) where rating >= 3.5)
@@ -73,8 +72,7 @@ def c2_u3_u5_u8_genre_history(spark, sf):
     liked = r.filter("rating >= 4.5").join(g, "item_id").select("user_id", "genre").distinct()
     top = avg.orderBy(F.desc("a"), "item_id").limit(100).select("item_id")
     lists = top.union(m.orderBy(F.desc("year"), "item_id").limit(100).select("item_id")).distinct().agg(F.collect_list("item_id").alias("items"))
-    items = lists.first()["items"]  # at most 200 ids
-    everyone = r.select("user_id").distinct().select("user_id", F.explode(F.array(*[F.lit(i) for i in items])).alias("item_id"))
+    everyone = r.select("user_id").distinct().join(F.broadcast(lists)).select("user_id", F.explode("items").alias("item_id"))  # one row of 200 ids
     c = liked.join(best, "genre").select("user_id", "item_id").union(everyone).distinct()
     return c.join(r.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti").withColumn("score", F.lit(0.5))
 
@@ -85,10 +83,10 @@ TREND = f"""hi as (select max(ts_ms) hi from ev), win as (select w, weight, movi
 
 def _windows(spark, sf, spans):
     e = T.events(spark, sf).filter("movie_id > 0")
-    hi = e.agg(F.max("ts_ms")).first()[0]
+    e = e.join(F.broadcast(e.agg(F.max("ts_ms").alias("hi"))))  # one row
     named = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.lit(float(x)).alias("weight"), F.lit(int(s)).alias("span")) for w, x, s in spans]))
-    c = e.select("*", named.alias("t")).filter(F.col("ts_ms") > F.lit(hi) - F.col("t.span")).groupBy("t.w", "t.weight", "movie_id").agg(F.sum(E.engagement_weight()).alias("s")).filter("s > 0")
-    return R.ranked(c, ["w"], F.desc("s"), F.asc("movie_id"))
+    c = e.select("*", named.alias("t")).filter(F.col("ts_ms") > F.col("hi") - F.col("t.span")).groupBy("t.w", "t.weight", "movie_id").agg(F.sum(E.engagement_weight()).alias("s")).filter("s > 0")
+    return R.placed(c, F.desc("s"), F.asc("movie_id"), by=("w",))
 
 
 SPANS = [("last_hour", 1.0, 3_600_000), ("last_day", 0.6, 86_400_000), ("last_month", 0.4, 2_592_000_000)]
@@ -109,7 +107,7 @@ def c7_cold_start(spark, sf):
 @query("ev", f"with {POP} select item_id, n, 1.0::double / r score from pop")
 def c3_popularity(spark, sf):
     p = T.events(spark, sf).filter("movie_id > 0").groupBy(F.col("movie_id").alias("item_id")).agg(F.count(F.lit(1)).alias("n"))
-    return p.withColumn("score", 1.0 / F.row_number().over(Window.orderBy(F.desc("n"), F.asc("item_id")))).select("item_id", "n", "score")
+    return R.placed(p, F.desc("n"), F.asc("item_id")).select("item_id", "n", (1.0 / F.col("rank")).alias("score"))
 
 
 RECENT = """rec as (select user_id, item_id, row_number() over (partition by user_id order by ts, item_id) - 1 i from (select *, row_number() over (partition by user_id order by ts desc, item_id desc) k from ratings) where k <= 3)"""
@@ -189,7 +187,7 @@ def v3_v4_lsh_top_k(spark, sf):
 @query()
 def v5_v7_clustered_top_k(spark, sf):
     v = T.vectors(spark, sf)
-    return V.clustered_top_k(v, _queries(v), 10, 32, 22).select("query_id", "id", "score", long("rank"))
+    return V.clustered_top_k(v, _queries(v), 10, 44).select("query_id", "id", "score", long("rank"))
 
 
 @query("vectors", """with c as (select label, list(vec order by id)[1:3] qs from vectors group by 1)
@@ -228,9 +226,9 @@ ARMS = """st as (select movie_id item_id, count(*) impressions, count(*) filter
 def _arms(spark, sf):
     e = T.events(spark, sf).filter("movie_id > 0")
     st = e.groupBy(F.col("movie_id").alias("item_id")).agg(F.count(F.lit(1)).alias("impressions"), F.count_if(F.col("event_type") == "click").alias("clicks"))
-    t = st.agg(F.sum("impressions").alias("total"), F.max("impressions").alias("top")).first()
-    return st.select("item_id", "impressions", "clicks", F.lit(t["total"]).alias("total"), (F.col("impressions") / F.lit(float(t["top"]))).alias("rel"), (F.col("clicks") / F.col("impressions")).alias("con"),
-                     (F.log1p("impressions") / F.log1p(F.lit(t["top"]))).alias("pop"), (F.col("item_id") % 7 == 0).alias("cold"))
+    st = st.join(F.broadcast(st.agg(F.sum("impressions").alias("total"), F.max("impressions").alias("top"))))  # one row
+    return st.select("item_id", "impressions", "clicks", "total", (F.col("impressions") / F.col("top").cast("double")).alias("rel"), (F.col("clicks") / F.col("impressions")).alias("con"),
+                     (F.log1p("impressions") / F.log1p("top")).alias("pop"), (F.col("item_id") % 7 == 0).alias("cold"))
 
 
 SIG = lambda x: f"(1.0 / (1.0 + exp(-({x}))))"
@@ -276,9 +274,9 @@ def w12_diversity(spark, sf):
  select slate, round(greatest(0, sum(case when kr <= 10 then r else 0 end) - sum(case when kp <= 10 then r else 0 end)), 6) regret from k group by 1""")
 def a33_w10_regret(spark, sf):
     t = _scored(spark, sf).select((F.col("item_id") % 5).alias("slate"), "item_id", F.round("prediction", 6).alias("p"), F.round("reward", 6).alias("r"))
-    t = R.ranked(R.ranked(t, ["slate"], F.desc("p"), F.asc("item_id"), name="kp"), ["slate"], F.desc("r"), F.asc("item_id"), name="kr")
-    best, own = F.sum(F.when(F.col("kr") <= 10, F.col("r")).otherwise(0.0)), F.sum(F.when(F.col("kp") <= 10, F.col("r")).otherwise(0.0))
-    return t.groupBy("slate").agg(F.round(F.greatest(F.lit(0.0), best - own), 6).alias("regret"))
+    best = R.top_k(t, ["slate"], 10, F.desc("r"), F.asc("item_id")).groupBy("slate").agg(F.sum("r").alias("best"))
+    own = R.top_k(t, ["slate"], 10, F.desc("p"), F.asc("item_id")).groupBy("slate").agg(F.sum("r").alias("own"))
+    return best.join(own, "slate").select("slate", F.round(F.greatest(F.lit(0.0), F.col("best") - F.col("own")), 6).alias("regret"))
 
 
 @query("ev", f"""with {SCORED}, t as (select item_id % 5 slate, item_id, round(prediction, 6) p, round(reward, 6) r from sd), k as (select *, row_number() over (partition by slate order by p desc, item_id) i from t)
@@ -295,5 +293,5 @@ def a32_z8_concordance(spark, sf):
 def w13_p4_policy_rerank(spark, sf):
     raw = 0.4 * F.col("posterior") + 0.3 * F.col("reward") + 0.1 * F.col("bonus") + 0.05 * F.log1p("impressions")
     t = _scored(spark, sf).select("item_id", F.round(raw, 6).alias("raw"), F.round("prediction", 6).alias("fin"))
-    m = t.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).first()
-    return t.select("item_id", F.round(0.9 * F.col("fin") + 0.1 * (F.col("raw") - m["lo"]) / (m["hi"] - m["lo"]), 6).alias("adjusted"))
+    t = t.join(F.broadcast(t.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"))))  # one row
+    return t.select("item_id", F.round(0.9 * F.col("fin") + 0.1 * (F.col("raw") - F.col("lo")) / (F.col("hi") - F.col("lo")), 6).alias("adjusted"))

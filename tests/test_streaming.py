@@ -42,3 +42,59 @@ def test_recent_movies(spark, sf, tmp_path):
     for r in recall.recent_items(kept, 3).orderBy(F.desc("rank")).collect():
         want.setdefault(r.user_id, []).append(str(r.item_id))
     assert got == {u: ",".join(m) for u, m in want.items()}
+
+
+def _run(df, tmp_path, name, mode="update"):
+    df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination(180)
+    return df.sparkSession.table(name)
+
+
+def test_user_vectors_and_bias(spark, sf, tmp_path):
+    """Streamed vectors and biases end where the batch forms do."""
+    from cinderloom.plans import QUERIES
+
+    e, s = _stream(spark, sf, tmp_path)
+    s = s.filter("event_id <> 'end'")
+    last: dict = {}
+    for r in _run(features.user_vectors(s, ttl_ms=10**15), tmp_path, "vectors").collect():
+        last[r.user_id] = r.vector
+    want: dict = {}
+    for r in QUERIES["v18_t4_x32_user_vectors"](spark, sf).collect():
+        want.setdefault(r.user_id, [0.0] * 16)[r.dim] = r.x
+    assert {u: [round(x, 6) for x in v] for u, v in last.items()} == want
+    got = {r.movie_id: r.bias for r in _run(features.item_bias(s, ttl_ms=10**15), tmp_path, "biases").collect()}
+    batch = {r.movie_id: r.bias for r in QUERIES["t12_item_bias"](spark, sf).collect()}
+    assert got.keys() == batch.keys() and all(abs(got[m] - b) < 1e-6 for m, b in batch.items())
+
+
+def test_sessions_and_replay(spark, sf, tmp_path):
+    from cinderloom.plans import QUERIES
+
+    _, s = _stream(spark, sf, tmp_path)
+    s = s.filter("event_id <> 'end'")
+    got: dict = {}
+    for r in _run(features.session_features(features.timed(s)), tmp_path, "sessions").collect():
+        got[r.user_id, r.session_id] = f"eventCount={r.events},clicks={r.clicks},watches={r.watches},likes={r.likes},searches={r.searches},engagement={r.engagement},lastMovie={r.last_movie},lastType={r.last_type}"
+    assert got == {(r.user_id, r.session_id): r.features for r in QUERIES["t5_a11_p2_session_features"](spark, sf).collect()}
+    q = features.replayed(features.recent_movies(s, ttl_ms=10**15), str(tmp_path / "replay"))
+    q.awaitTermination(180)
+    assert q.exception() is None and sum(p.numInputRows for p in q.recentProgress) > 0
+
+
+def test_idle_state_goes(spark, tmp_path):
+    """A list idle for longer than its time starts again; one event later than the last is passed over."""
+    rows = [(1, "a", 10, 1000), (1, "b", 11, 1500), (1, "c", 12, 900), (1, "d", 13, 9000), (2, "e", 14, 1000)]
+    for i, r in enumerate(rows):
+        spark.createDataFrame([(r[1], r[0], r[2], "click", 0, r[3], "s")], SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    s = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in/*"))
+    got = {r.user_id: r.movies for r in _run(features.recent_movies(s, ttl_ms=5000), tmp_path, "idle").collect()}
+    assert got == {1: "13", 2: "14"}
+
+
+def test_two_stage_lists(spark):
+    """Partial lists by bucket and their merge are the list of all movies."""
+    rows = [(w, m, (m * 37 + w) % 11) for w in range(3) for m in range(-150, 151)]
+    scores = spark.createDataFrame(rows, "window_start long, movie_id long, score long")
+    got = {(r.window_start, r["rank"]): r.movie_id for r in features.merged_tops(features.partial_tops(scores, 20, 17), 20).collect()}
+    want = {(w, k + 1): m for w in range(3) for k, (_, m) in enumerate(sorted((-s, m) for v, m, s in rows if v == w)[:20])}
+    assert got == want
