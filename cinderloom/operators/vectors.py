@@ -265,6 +265,21 @@ def euclidean_near(vectors: DataFrame, point: list[float], k: int, normals: list
     return top_k(near.withColumn("g", F.lit(0)), ["g"], k, F.asc("distance"), F.asc("id")).drop("g")
 
 
+def max_sim_pairs(queries: DataFrame, bags: DataFrame) -> DataFrame:
+    """(query_id, id, score): MaxSim of every query (query_id, qbag) with every other bag (id, bag).
+
+    Up to BROADCAST_QUERIES queries are broadcast; more are dealt to blocks, which all bags meet.
+    """
+    n = queries.limit(BROADCAST_QUERIES + 1).count()
+    if n <= BROADCAST_QUERIES:
+        pairs = bags.join(F.broadcast(queries), F.col("query_id") != F.col("id"))  # the stated queries
+    else:
+        blocks = -(-queries.count() // QUERY_BLOCK)
+        dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        pairs = bags.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "block").filter("query_id <> id")
+    return pairs.select("query_id", "id", max_sim("qbag", "bag").alias("score"))
+
+
 def max_sim(query: str, bag: str):
     """Sum over the query's vectors of their highest product with a vector of the bag."""
     best = F.transform(F.col(query), lambda x: F.array_max(F.transform(F.col(bag), lambda y: dot(x, y))))
