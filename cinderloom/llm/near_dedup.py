@@ -366,7 +366,8 @@ def _classes(signed: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
 
     met = written(_buckets(reps), "buckets")
     # Whole texts are shuffled once, here: what follows joins the texts of nodes that share a bucket, and no others.
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(met.select("node").distinct(), "node", "left_semi")
+    # By merging at every size: what meets in buckets grows with the documents.
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(met.select("node").distinct().hint("merge"), "node", "left_semi")
     texts = bucketed(texts, "node", "texts")
     root = None
     for _ in range(STAR_ROUNDS):
