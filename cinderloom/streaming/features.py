@@ -94,7 +94,7 @@ Step = Callable[[tuple | None, pd.DataFrame], tuple]
 def _kept(events: DataFrame, key: str, columns: list[str], step: Step, show: Callable[[object, tuple], dict], out: str, state: str, ttl_ms: int) -> DataFrame:
     """``show`` of each key after each micro-batch, from a state that ``step`` makes of the one before (None: none) and the batch's rows in order.
 
-    State that was not written for ``ttl_ms`` of processing time is removed; none is ever read after that.
+    State is removed when the watermark is ``ttl_ms`` beyond the last event that wrote it; none is ever read after that.
     """
 
     def run(own: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
@@ -104,10 +104,11 @@ def _kept(events: DataFrame, key: str, columns: list[str], step: Step, show: Cal
         rows = pd.concat(list(batches)).sort_values(["ts_ms", "event_id"])
         made = step(held.get if held.exists else None, rows)
         held.update(made)
-        held.setTimeoutDuration(ttl_ms)
+        held.setTimeoutTimestamp(max(int(rows["ts_ms"].max()) + ttl_ms, held.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({c: [v] for c, v in {key: own[0], **show(own[0], made)}.items()})
 
-    return events.select(key, "event_id", "ts_ms", *columns).groupBy(key).applyInPandasWithState(run, out, state, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    kept = timed(events.select(key, "event_id", "ts_ms", *columns))
+    return kept.groupBy(key).applyInPandasWithState(run, out, state, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def recent_movies(events: DataFrame, k: int = 3, ttl_ms: int = TTL_MS) -> DataFrame:
