@@ -157,9 +157,11 @@ def test_ranks_over_ranges(spark):
 
 
 def test_k_core_of_a_long_chain(spark):
-    """A chain of 120 users and items falls apart one link a round, which takes more than 50 rounds."""
-    rows = [(u, i) for u in range(60) for i in (u, u + 1)]
-    assert recall.k_core(spark.createDataFrame(rows, "user_id long, item_id long"), 2, 2).count() == 0
+    """A chain that hangs on a core of two users and two items falls away one link a round, over 50 rounds long."""
+    core = [(u, i) for u in (-1, -2) for i in (0, -1)]
+    chain = [(u, i) for u in range(52) for i in (u, u + 1)]
+    left = recall.k_core(spark.createDataFrame(core + chain, "user_id long, item_id long").coalesce(1), 2, 2)
+    assert sorted((r.user_id, r.item_id) for r in left.collect()) == sorted(core)
 
 
 def test_preferences(spark):
