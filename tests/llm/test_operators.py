@@ -126,6 +126,26 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == brute_classes(docs)
 
 
+def test_near_duplicates_recall_at_the_threshold(spark):
+    """Of pairs whose likeness is barely over 0.8 (to 0.85) at least 0.9 are found; of those under it none."""
+    rng, docs, over, under = np.random.default_rng(12), [], 0, 0
+    for k in range(400):
+        base = [f"{k}w{x}" for x in rng.integers(10_000, size=200)]
+        copy = list(base)
+        for at in rng.choice(np.arange(5, 195), 4 + k % 2, replace=False):
+            copy[at] = f"{k}new{at}"
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    likeness = {}
+    for k in range(400):
+        a, b = bag(docs[2 * k][1]), bag(docs[2 * k + 1][1])
+        likeness[k] = (a & b).total() / (a | b).total()
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    near = [k for k, x in likeness.items() if 0.8 <= x <= 0.85]
+    found = sum(got[2 * k + 1] == 2 * k for k in near)
+    assert len(near) > 50 and found >= 0.9 * len(near)
+    assert all(got[2 * k + 1] == 2 * k + 1 for k, x in likeness.items() if x < 0.8)
+
+
 def test_near_duplicates_odd_inputs(odd, empty):
     got = [(r.doc_id, r.class_id) for r in near_dedup.near_duplicates(odd).collect()]
     assert sorted(got, key=str) == sorted([(i, i) for i, _ in ODD], key=str)
