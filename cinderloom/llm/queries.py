@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderloom.llm import chat_format, decontaminate, fingerprint, language_id, mixing, near_dedup, quality, token_counts, url_filter, warc
+from cinderloom.llm import chat_format, decontaminate, fingerprint, language_id, mixing, near_dedup, periodic_runs, quality, simhash, spelling, token_counts, url_filter, warc
 from cinderloom.llm._shared import crc_mod, load
 
 RULES = [
@@ -73,8 +73,53 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs whose crc32 with their doc_id 97 divides lose a letter before they are counted; a null doc_id counts as ''."""
+    runs = spelling.occurrences(load(spark, sf_dir, "documents"))
+    h, word = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("word")).cast("binary")), F.col("word")
+    at = (h % F.length(word)).cast("int")
+    cut = F.concat(F.substring(word, F.lit(1), at), F.substring(word, at + 2, F.length(word)))
+    words = spelling.vocabulary(runs.select(F.when(h % 97 == 0, cut).otherwise(word).alias("word")))
+    return spelling.spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """Every document whose crc32(doc_id) 10 divides says the words from some place on again and again; rows without doc_id stay as they are."""
+    d = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary"))).withColumn("g", F.floor(F.col("h") / 10))
+    d = d.withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)))
+    d = d.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    d = d.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    loop = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), times)), F.lit(1), F.col("n") - F.col("a"))
+    said = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), loop), " ")
+    return d.select("doc_id", F.coalesce(said, F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.periodic_runs(looped(load(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", *[r[x].cast("string") for x in ("start", "length", "period")])), "\n", "")
+    out = out.withColumn("best", best).withColumn("lines", F.concat(lines, F.when(F.size("runs") > 0, "\n").otherwise("")))
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.s")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.p")).alias("period"),
+        F.expr("1000 * best.length div -best.p").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.simhash_components(load(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_decontaminate, op2_near_dedup, op3_token_counts, op4_language_id, op5_mixing, op6_fingerprint, op7_quality, op8_url_filter, op9_chat_format, op10_warc)
+    own = (op1_decontaminate, op2_near_dedup, op3_token_counts, op4_language_id, op5_mixing, op6_fingerprint, op7_quality, op8_url_filter, op9_chat_format, op10_warc, op11_spelling, op12_periodic_runs, op13_simhash)
     return {f.__name__: f for f in own}
 
 
@@ -161,6 +206,32 @@ from q
 """
 
 
+#: One bit of a crc32 at a time, for the 256 values of a byte; letters beyond ASCII become single bytes, by which DuckDB counts edits.
+_BYTE = "i"
+for _ in range(8):
+    _BYTE = f"xor(({_BYTE}) >> 1, 3988292384 * (({_BYTE}) & 1))"
+_LATIN = "".join(map(chr, range(0xC0, 0x100)))
+_SINGLE = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.islower() and c != "'")[:64]
+
+_OP11 = rf"""
+with recursive crc as (select list(v order by i) t from (select i, {_BYTE} v from (select cast(range as bigint) i from range(256)))),
+     d as (select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')), '{_UPPER}', '{_LOWER}') r from documents),
+     o as (select coalesce(cast(doc_id as varchar), '') || ':' || r x, r, count(*) k from d where length(r) >= 5 group by all),
+     b as (select r, k, t, hex(encode(x)) hx from o, crc),
+     h as (select r, k, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(length(hx) // 2), lambda i: cast('0x' || substr(hx, cast(2 * i + 1 as int), 2) as bigint))),
+                  lambda c, y: xor(c >> 8, t[cast((xor(c, y) & 255) + 1 as int)]))) h from b),
+     c as (select case when h % 97 = 0 then substr(r, 1, cast(h % length(r) as int)) || substr(r, cast(h % length(r) + 2 as int)) else r end word, k from h),
+     w as (select word, cast(sum(k) as bigint) n, translate(word, '{_LATIN}', '{_SINGLE}') s from c where length(word) >= 5 group by word having sum(k) >= 3),
+     near as (select a.word, a.n, b.word other, b.n k from w a join w b on length(b.s) between length(a.s) - 1 and length(a.s) + 1 and levenshtein(a.s, b.s) = 1),
+     best as (select word, n, count(*) n_near, max(k) top from near group by 1, 2),
+     forms as (select best.word, case when top >= 2 * best.n then min(other) end form, case when top >= 2 * best.n then top end form_n, n_near
+               from best join near on best.word = near.word and k = top group by best.word, top, best.n, n_near),
+     walk(word, spot) as (select word, form from forms where form is not null union all select walk.word, form from walk join forms on spot = forms.word where form is not null),
+     roots as (select word, spot root from walk where not exists (select 1 from forms where forms.word = spot and form is not null))
+select w.word, form, coalesce(root, w.word) root, n, coalesce(n_near, 0) n_near, form_n from w left join forms on w.word = forms.word left join roots on w.word = roots.word
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that SQL can express; the others are tested against brute force in tests/llm."""
-    return {"op1_decontaminate": _OP1, "op5_mixing": _OP5, "op8_url_filter": _OP8, "op9_chat_format": _OP9, "op10_warc": _OP10}
+    return {"op1_decontaminate": _OP1, "op5_mixing": _OP5, "op8_url_filter": _OP8, "op9_chat_format": _OP9, "op10_warc": _OP10, "op11_spelling": _OP11}
