@@ -1,7 +1,8 @@
-"""Vector search: exact, hyperplane hashing, clustered, Euclidean hashing, and multi-vector."""
+"""Vector search: exact, hyperplane hashing, Euclidean hashing, and multi-vector. The clustered index is in inverted_file."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,16 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderloom.functions.scores import dot
+from cinderloom.operators.inverted_file import products
+from cinderloom.operators.lineage import written
 from cinderloom.operators.ranking import top_k
 
 #: Planes of a table, tables, and the seed of their normals.
 PLANES, TABLES, SEED = 16, 16, 42
-#: Unequal bits beyond the k-th least that a candidate may have, in standard deviations of a pair's count of unequal bits.
-SLACK = 2.0
-#: Queries that are broadcast at most, queries in one block and vectors in one chunk beyond that, and vectors of a fitted sample.
-BROADCAST_QUERIES, QUERY_BLOCK, CHUNK, FIT_SAMPLE = 4096, 4096, 16_384, 20_000
-#: Vectors of a cluster at most, after splits.
-POSTING = 128
+#: Buckets of a table that a query probes, and the probability with which a settled query meets a vector as good as its k-th.
+PROBES, SURE = 17, 0.9
+#: Queries that are broadcast at most, queries in one block and vectors in one chunk beyond that.
+BROADCAST_QUERIES, QUERY_BLOCK, CHUNK = 4096, 4096, 16_384
 
 Work = Callable[[np.ndarray, np.ndarray, list, np.ndarray, np.ndarray], pd.DataFrame]
 
@@ -99,158 +100,100 @@ def planes(dims: int, n: int = PLANES, seed: int = SEED) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((n, dims))
 
 
-def code(vec: str, dims: int, tables: int = TABLES) -> Column:
-    """Buckets of a vector in each table, four tables to a long: bit i of a table's bucket is set where the product with its plane i is not negative.
-
-    Null where the vector is null or of another width.
-    """
-    normals = planes(dims, PLANES * tables)
-    weights = (np.uint64(1) << np.arange(64, dtype=np.uint64))[: 4 * PLANES]
-
-    @F.pandas_udf("array<long>")
-    def buckets(rows: pd.Series) -> pd.Series:
-        ok = np.array([r is not None and len(r) == dims for r in rows], dtype=bool)
-        out = np.full(len(rows), None, dtype=object)
-        if ok.any():
-            bits = np.array(rows[ok].tolist()) @ normals.T >= 0
-            longs = (bits.reshape(len(bits), -1, 4 * PLANES) * weights).sum(axis=2, dtype=np.uint64).view(np.int64)
-            for i, x in zip(np.flatnonzero(ok), longs, strict=True):
-                out[i] = x
-        return pd.Series(out)
-
-    return buckets(F.col(vec))
-
-
-def _nearest_codes(found: DataFrame, k: int, tables: int, slack: float) -> DataFrame:
-    """(query_id, id) of those (query_id, id, apart) with at most the k-th least of unequal bits and ``slack`` deviations more."""
-    bits = PLANES * tables
-    last = top_k(found, ["query_id"], k, F.asc("apart"), F.asc("id")).groupBy("query_id").agg(F.max("apart").alias("kth"))
-    room = F.col("kth") + slack * F.sqrt(F.col("kth") * (bits - F.col("kth")) / F.lit(float(bits)))
-    return found.join(last, "query_id").filter(F.col("apart") <= room).select("query_id", "id")
-
-
-def lsh_candidates(vectors: DataFrame, queries: DataFrame, dims: int, k: int, tables: int = TABLES, slack: float = SLACK) -> DataFrame:
-    """(query_id, id): what is to be scored. All tables' buckets are read together: the share of unequal bits estimates the angle, and
-    candidates are those whose angle may be among the k least. There are always k where there are as many vectors, so nothing falls
-    back to a scan. Codes, 8 bytes for four tables, are compared; vectors are not."""
-    bits = PLANES * tables
-
-    def near(ids: np.ndarray, q: np.ndarray, out: list, own: np.ndarray, v: np.ndarray) -> pd.DataFrame:
-        apart = np.zeros((len(ids), len(own)), dtype=np.int32)
-        for j in range(q.shape[1]):
-            apart += np.bitwise_count(q[:, j].view(np.uint64)[:, None] ^ v[:, j].view(np.uint64)[None, :])
-        apart = _masked(apart, bits + 1, ids, out, own)
-        m = min(k, apart.shape[1])
-        kth = np.partition(apart, m - 1, axis=1)[:, m - 1].clip(0, bits)
-        i, j = np.nonzero(apart <= (kth + slack * np.sqrt(kth * (bits - kth) / bits))[:, None])
-        keep = apart[i, j] <= bits
-        return pd.DataFrame({"query_id": ids[i][keep], "id": own[j][keep], "apart": apart[i, j][keep]})
-
-    none = F.array().cast("array<long>").alias("skip")
-    q = queries.select("query_id", code("vec", dims, tables).alias("q"), none).filter("q is not null")
-    v = vectors.select("id", code("vec", dims, tables).alias("v")).filter("v is not null")
-    return _nearest_codes(_against(q, v, near, "query_id long, id long, apart int"), k, tables, slack)
+def _signs(rows: np.ndarray, normals: np.ndarray, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """Products with the planes of each table, and the table's bucket: bit i is set where the product with plane i is not negative."""
+    x = (rows @ normals.T).reshape(len(rows), tables, PLANES)
+    return x, ((x >= 0) << np.arange(PLANES)).sum(axis=2)
 
 
-def _scored(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    near = candidates.join(vectors.select("id", F.col("vec").alias("v")), "id").join(queries.select("query_id", F.col("vec").alias("q")), "query_id")
-    return top_k(near.select("query_id", "id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score")), ["query_id"], k, F.desc("score"), F.asc("id"))
-
-
-def lsh_top_k(vectors: DataFrame, queries: DataFrame, dims: int, k: int, tables: int = TABLES, slack: float = SLACK) -> DataFrame:
-    """(query_id, id, score, rank) of about the k highest inner products of vectors of one length: those of lsh_candidates(), scored exactly."""
-    return _scored(lsh_candidates(vectors, queries, dims, k, tables, slack), vectors, queries, k)
+def buckets(vectors: DataFrame, dims: int, tables: int = TABLES) -> DataFrame:
+    """(key, id): a row for each table's bucket of each vector (id, vec) of the given width; others are left out."""
+    normals = planes(dims, PLANES * tables)
 
+    @F.pandas_udf("array<int>")
+    def keys(rows: pd.Series) -> pd.Series:
+        found = _signs(np.stack(rows.to_numpy()), normals, tables)[1] if len(rows) else np.empty((0, tables))
+        return pd.Series(list((found + (np.arange(tables) << PLANES)).astype(np.int32)))
 
-def k_means(rows: np.ndarray, k: int, rounds: int = 10, seed: int = SEED) -> np.ndarray:
-    """Lloyd's centroids from k-means++ starts; an empty cluster keeps its centroid. For a bounded sample."""
-    rng = np.random.default_rng(seed)
-    c = rows[[int(rng.integers(len(rows)))]]
-    far = ((rows - c[0]) ** 2).sum(axis=1)
-    while len(c) < min(k, len(rows)) and far.sum() > 0:
-        c = np.vstack((c, rows[int(rng.choice(len(rows), p=far / far.sum()))]))
-        far = np.minimum(far, ((rows - c[-1]) ** 2).sum(axis=1))
-    for _ in range(rounds):
-        own = _nearest(rows, c)
-        c = np.array([rows[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(len(c))])
-    return c
+    return vectors.filter(F.size("vec") == dims).select("id", F.explode(keys("vec")).alias("key")).select("key", "id")
 
 
-def _nearest(rows: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return ((c * c).sum(axis=1)[None, :] - 2 * rows @ c.T).argmin(axis=1)
+def _flip_sets(margins: np.ndarray, probes: int) -> list[tuple[int, ...]]:
+    """The ``probes`` sets of planes of least summed margin, the empty one first: single planes and pairs."""
+    order = np.argsort(margins, kind="stable")
+    sets = [(0.0, ())] + [(margins[i], (int(i),)) for i in order] + [(margins[i] + margins[j], (int(i), int(j))) for n, i in enumerate(order) for j in order[n + 1 :]]
+    return [s for _, s in sorted(sets, key=lambda x: x[0])[:probes]]
 
 
-def _assigned(vectors: DataFrame, c: np.ndarray) -> DataFrame:
-    """(id, vec, cluster): the nearest centroid of each vector."""
-    shared = vectors.sparkSession.sparkContext.broadcast(c)  # FIT_SAMPLE / 8 rows at most
+def probed_buckets(queries: DataFrame, dims: int, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+    """(key, query_id): of each table the query's own bucket and those whose planes it lies nearest to."""
+    normals = planes(dims, PLANES * tables)
 
-    @F.pandas_udf("long")
-    def nearest(rows: pd.Series) -> pd.Series:
-        return pd.Series(_nearest(np.array(rows.tolist()), shared.value))
+    @F.pandas_udf("array<int>")
+    def keys(rows: pd.Series) -> pd.Series:
+        out = []
+        for x, own in zip(*_signs(np.stack(rows.to_numpy()), normals, tables), strict=True) if len(rows) else ():
+            out.append(np.array([int(own[t]) ^ sum(1 << i for i in flips) | t << PLANES for t in range(tables) for flips in _flip_sets(x[t] ** 2, probes)], dtype=np.int32))
+        return pd.Series(out)
 
-    return vectors.select("id", "vec", nearest("vec").alias("cluster"))
+    return queries.filter(F.size("vec") == dims).select("query_id", F.explode(keys("vec")).alias("key")).select("key", "query_id")
 
 
-def clusters(vectors: DataFrame, posting: int = POSTING) -> tuple[np.ndarray, DataFrame]:
-    """Centroids and (id, vec, cluster): one cluster for every half ``posting`` of vectors, those that hold more are split in two, again and again.
+def sure_to_meet(dims: int, tables: int = TABLES, probes: int = PROBES):
+    """A function of columns (vec, cosine): the probability that a vector at that cosine to ``vec`` is in one of its probed buckets.
 
-    Centroids are fitted on at most FIT_SAMPLE vectors, the least by a hash of their ids, and are at most an eighth as many; all
-    vectors are assigned and searchable. A cluster whose sampled members cannot be told apart stays as it is.
+    For a vector of one length at cosine s the product with a plane that the query has margin m to is normal, of mean s m and variance
+    1 - s^2, so it keeps the plane's side with probability Phi(|m| s / sqrt(1 - s^2)).
     """
-    total = vectors.count()
-    cut = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, FIT_SAMPLE / max(total, 1)))) if total > FIT_SAMPLE else vectors
-    sample = np.array([r["vec"] for r in cut.select("id", "vec").orderBy("id").collect()])
-    if not len(sample):
-        return np.zeros((0, 1)), vectors.select("id", "vec", F.lit(0).cast("long").alias("cluster"))
-    most = max(1, FIT_SAMPLE // 8)
-    c = k_means(sample, max(1, min(most, -(-2 * total // posting))))
-    while True:
-        own = _assigned(vectors, c)
-        large = [r["cluster"] for r in own.groupBy("cluster").count().filter(F.col("count") > posting).collect()]  # no more than centroids
-        mine, added = _nearest(sample, c), []
-        for j in sorted(large):
-            two = k_means(sample[mine == j], 2) if (mine == j).sum() > 1 else c[:0]
-            if len(two) == 2 and len(c) + len(added) < most:
-                c[j] = two[0]
-                added.append(two[1])
-        if not added:
-            return c, own
-        c = np.vstack((c, *added))
-
-
-def clustered_candidates(vectors: DataFrame, queries: DataFrame, k: int, probes: int, posting: int = POSTING, slack: float = SLACK) -> DataFrame:
-    """(query_id, id): of the vectors in a query's best clusters by inner product with the centroid, those whose codes are near enough to be scored.
-
-    ``probes`` clusters are looked into, twice as many for as long as they hold fewer than k vectors.
-    """
-    c, own = clusters(vectors, posting)
-    dims = c.shape[1]
-    held = np.zeros(max(len(c), 1), dtype=np.int64)
-    for r in own.groupBy("cluster").count().collect():
-        held[r["cluster"]] = r["count"]
-    shared = vectors.sparkSession.sparkContext.broadcast((c, held))
-
-    @F.pandas_udf("array<long>")
-    def probed(rows: pd.Series) -> pd.Series:
-        centres, sizes = shared.value
+    normals = planes(dims, PLANES * tables)
+
+    @F.pandas_udf("double")
+    def sure(vecs: pd.Series, cosines: pd.Series) -> pd.Series:
         out = []
-        for order in np.argsort(-np.array(rows.tolist()) @ centres.T, axis=1, kind="stable"):
-            n = probes
-            while n < len(order) and sizes[order[:n]].sum() <= k:
-                n *= 2
-            out.append(order[:n])
+        for q, s in zip(vecs, cosines, strict=True):
+            if s is None or not s > 0:
+                out.append(0.0)
+                continue
+            x = np.abs(normals @ (np.asarray(q) / np.linalg.norm(q))).reshape(tables, PLANES)
+            side = np.array([[0.5 * math.erfc(-m * s / math.sqrt(2 * max(1e-12, 1 - s * s))) for m in row] for row in x])
+            missed = 1.0
+            for t in range(tables):
+                own = side[t].prod()
+                missed *= 1 - min(1.0, sum(own * math.prod((1 - side[t][i]) / max(side[t][i], 1e-300) for i in flips) for flips in _flip_sets(x[t] ** 2, probes)))
+            out.append(1 - missed)
         return pd.Series(out)
 
-    v = own.select("id", "cluster", code("vec", dims).alias("v"))
-    q = queries.filter(F.size("vec") == dims).select("query_id", code("vec", dims).alias("q"), F.explode(probed("vec")).alias("cluster"))
-    apart = sum((F.bit_count(F.col("q")[i].bitwiseXOR(F.col("v")[i])) for i in range(TABLES // 4)), F.lit(0))
-    found = q.join(v, "cluster").filter("query_id <> id").select("query_id", "id", apart.alias("apart"))
-    return _nearest_codes(found, k, TABLES, slack)
+    return sure
 
 
-def clustered_top_k(vectors: DataFrame, queries: DataFrame, k: int, probes: int, posting: int = POSTING, slack: float = SLACK) -> DataFrame:
-    """(query_id, id, score, rank) of about the k highest inner products: those of clustered_candidates(), scored exactly."""
-    return _scored(clustered_candidates(vectors, queries, k, probes, posting, slack), vectors, queries, k)
+def lsh_search(vectors: DataFrame, queries: DataFrame, dims: int, k: int, tables: int = TABLES, probes: int = PROBES, sure: float = SURE) -> tuple[DataFrame, DataFrame]:
+    """((query_id, id, score, rank), (query_id, touched, settled)): about the k highest inner products of vectors of one length.
+
+    Vectors are dealt to buckets and meet the queries that probe them in an equi-join; those met are scored exactly. A query is settled if it has
+    k of them and a vector as good as the k-th would be met with probability ``sure`` or more, so of its true k at least that share is
+    expected. The others, which hashing cannot serve, are searched exactly.
+    """
+    own = written(queries.filter(F.size("vec") == dims).select("query_id", "vec"), "queries")
+    pairs = buckets(vectors, dims, tables).join(probed_buckets(own, dims, tables, probes), "key").filter("id <> query_id").select("id", "query_id")
+    pairs = written(pairs.distinct(), "met")
+    scored = products(pairs, vectors.select("id", "vec"), ["id"], own, ["id"], k)
+    top = written(top_k(scored.withColumn("score", F.round("score", 6)), ["query_id"], k, F.desc("score"), F.asc("id")), "found")
+    last = top.filter(F.col("rank") == k).select("query_id", F.col("score").alias("last"))
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    longest = vectors.filter(F.size("vec") == dims).agg(F.max(norm).alias("longest"))
+    held = own.join(last, "query_id", "left").join(F.broadcast(longest))  # one row
+    cosine = F.when(F.col("last").isNotNull(), F.least(F.col("last") / (norm * F.col("longest")), F.lit(1.0)))
+    met = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("touched"))
+    state = held.select("query_id", "vec", F.coalesce(sure_to_meet(dims, tables, probes)("vec", F.coalesce(cosine, F.lit(0.0))) >= sure, F.lit(False)).alias("settled"))
+    state = written(state.join(met, "query_id", "left").withColumn("touched", F.coalesce("touched", F.lit(0))), "state")
+    rest = state.filter(~F.col("settled")).select("query_id", "vec")
+    found = top.join(state.filter("settled").select("query_id"), "query_id", "left_semi").unionByName(exact_top_k(vectors, rest, k).select(top.columns))
+    return found, state.select("query_id", "touched", "settled")
+
+
+def lsh_top_k(vectors: DataFrame, queries: DataFrame, dims: int, k: int, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+    """(query_id, id, score, rank): the rows of lsh_search()."""
+    return lsh_search(vectors, queries, dims, k, tables, probes)[0]
 
 
 def euclidean_near(vectors: DataFrame, point: list[float], k: int, normals: list[list[float]], width: float) -> DataFrame:

@@ -89,31 +89,6 @@ def test_fnv_known_values(spark):
     assert {r.w: r.h for r in df.collect()} == {w: want(w) for w in words}
 
 
-def _recall(spark, v, dims, k=10):
-    """Recall and share of rows scored of both indexes with the registered parameters, against the exact search."""
-    q = v.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vec")
-    exact = {(r.query_id, r.id) for r in vectors.exact_top_k(v, q, k).collect()}
-    rows, n, out = v.count(), q.count(), []
-    for top, scored in ((vectors.lsh_top_k(v, q, dims, k), vectors.lsh_candidates(v, q, dims, k)), (vectors.clustered_top_k(v, q, k, 44), vectors.clustered_candidates(v, q, k, 44))):
-        got = [(r.query_id, r.id) for r in top.collect()]
-        assert len(got) == len(set(got)) == len(exact)
-        out.append((len(set(got) & exact) / len(exact), scored.count() / (rows * n)))
-    return out
-
-
-def test_vector_indexes_against_exact(spark):
-    """Recall of 0.9 and a fifth of the rows scored at most, on the given vectors (which have no clusters) and on a mixture."""
-    from cinderloom.sources import tables
-
-    rng = np.random.default_rng(5)
-    centres = rng.standard_normal((60, 64))
-    x = centres[rng.integers(60, size=6000)] + 0.4 * rng.standard_normal((6000, 64))
-    mixture = spark.createDataFrame([(i, y) for i, y in enumerate((x / np.linalg.norm(x, axis=1, keepdims=True)).tolist())], "id long, vec array<double>")
-    for v in (tables.vectors(spark, "/root/testdata/sf0.1"), mixture):
-        for recall_, share in _recall(spark, v, 64):
-            assert recall_ >= 0.9 and share <= 0.2, (recall_, share)
-
-
 def test_vector_search_against_brute_force(spark, monkeypatch):
     """Exact search in blocks and broadcast, with what a query skips; few, narrow and repeated vectors; empty tables."""
     rng = np.random.default_rng(8)
@@ -129,18 +104,8 @@ def test_vector_search_against_brute_force(spark, monkeypatch):
         for r in vectors.exact_top_k(v, q, 4, skip="skip").orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append((-r.score, r.id))
         assert got == want
-    assert vectors.exact_top_k(v, q.limit(0), 4).count() == 0 and vectors.lsh_top_k(v.limit(0), q, 5, 4).count() == 0 and vectors.clustered_top_k(v.limit(0), q, 4, 2).count() == 0
-    assert vectors.lsh_top_k(v, q, 5, 4).count() == vectors.clustered_top_k(v.filter("id <> 500"), q, 4, 1, posting=8).count() == 36
-
-
-def test_clusters_are_split_until_they_fit(spark):
-    rng = np.random.default_rng(3)
-    v = spark.createDataFrame([(i, x) for i, x in enumerate(np.concatenate((rng.standard_normal((700, 4)) * 0.01 + 5, rng.standard_normal((40, 4)))).tolist())], "id long, vec array<double>")
-    c, own = vectors.clusters(v, posting=64)
-    sizes = [r["count"] for r in own.groupBy("cluster").count().collect()]
-    assert sum(sizes) == 740 and max(sizes) <= 64 and len(c) >= len(sizes)
-    for r in own.limit(50).collect():
-        assert ((c - np.array(r.vec)) ** 2).sum(axis=1).argmin() == r.cluster
+    assert vectors.exact_top_k(v, q.limit(0), 4).count() == 0 and vectors.lsh_top_k(v.limit(0), q, 5, 4).count() == 0
+    assert vectors.lsh_top_k(v, q, 5, 4).count() == 36
 
 
 def test_ranks_over_ranges(spark):
