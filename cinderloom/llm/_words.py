@@ -7,6 +7,7 @@ one and whole batches are cut and hashed without a Python loop over words.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -19,28 +20,13 @@ _IS_WORD[0x30:0x3A] = 1
 _IS_WORD[0x61:0x7B] = 1
 _IS_WORD[0x80:] = 1
 
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+_BYTE, _PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA0761D6478BD642F)
 #: Bytes worked on at once; a longer text is a batch of its own.
 BATCH_BYTES = 1 << 20
 #: Texts worked on at once, however short: what is kept of each text, not its bytes, fills memory then.
 BATCH_TEXTS = 2048
 
-_powers = {"n": 0}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _powers["n"] < n:
-        size = max(n, BATCH_BYTES + 4096)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            table = np.full(size, base, dtype=np.uint64)
-            table[0] = 1
-            _powers[name] = np.multiply.accumulate(table)
-        _powers["n"] = size
-    return _powers["up"], _powers["down"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64): equal in, equal out; nearby values end far apart."""
     x = x ^ (x >> np.uint64(30))
@@ -73,8 +59,34 @@ def _pieces(low: np.ndarray) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def _hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word: the sum of a mixed number for each byte and its place in the word. Unlike a polynomial modulo a power
+    of two it has no structure by which different words would meet."""
+    if not len(starts):
+        return np.empty(0, dtype=np.uint64)
+    size = ends - starts
+    first = np.concatenate(([0], np.cumsum(size)[:-1]))
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    letters = low[np.repeat(starts, size) + place].astype(np.uint64)
+    each = mix((letters + np.uint64(1)) * _BYTE + (place.astype(np.uint64) + np.uint64(1)) * _PLACE)
+    return mix(np.add.reduceat(each, first) ^ size.astype(np.uint64) * _STEP)
+
+
+def digests(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of a cryptographic hash of each text's word sequence: its words, lower-cased, with one space after each."""
+    low = _LOWER[np.frombuffer(b"\x00".join(blobs) + b"\x00", dtype=np.uint8)]
+    word = _IS_WORD[low].astype(bool)
+    keep = word.copy()
+    keep[1:] |= word[:-1]
+    bounds = np.concatenate(([0], np.cumsum(np.fromiter((len(b) + 1 for b in blobs), dtype=np.int64, count=len(blobs)))))
+    at = np.concatenate(([0], np.cumsum(keep)))[bounds].tolist()
+    said = np.where(word, low, np.uint8(0x20))[keep].tobytes()
+    both = np.array([np.frombuffer(hashlib.blake2b(said[a:b], digest_size=16).digest(), dtype="<i8") for a, b in zip(at[:-1], at[1:], strict=True)]).reshape(-1, 2)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
+
 def cut(blobs: list[bytes]) -> Words:
-    """Words of the texts. Work space is some 40 bytes a byte of BATCH_BYTES (of a longer word), however long a text is."""
+    """Words of the texts. Work space is some 60 bytes a byte of BATCH_BYTES (of a longer word), however long a text is."""
     low = _LOWER[np.frombuffer(b"\x00".join(blobs) + b"\x00", dtype=np.uint8)]
     bounds = np.concatenate(([0], np.cumsum(np.fromiter((len(b) + 1 for b in blobs), dtype=np.int64, count=len(blobs)))))
     found = []
@@ -82,10 +94,7 @@ def cut(blobs: list[bytes]) -> Words:
         piece = low[at:end]
         edge = np.diff(_IS_WORD[piece], prepend=np.int8(0), append=np.int8(0))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        up, down = _power_tables(len(piece))
-        total = np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[: len(piece)])
-        before = np.where(starts > 0, total[starts - 1], np.uint64(0))
-        found.append((mix((total[ends - 1] - before) * down[starts] + (ends - starts).astype(np.uint64)), starts + at, ends + at))
+        found.append((_hashes(piece, starts, ends), starts + at, ends + at))
     hashes, starts, ends = found[0] if len(found) == 1 else (np.concatenate(x) for x in zip(*found, strict=True))
     return Words(hashes, starts, ends, np.searchsorted(starts, bounds), bounds[:-1], blobs)
 

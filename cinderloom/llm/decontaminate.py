@@ -129,7 +129,7 @@ class Matcher(NamedTuple):
     """What each task needs: the automaton and the seeds that find where it has work."""
 
     automaton: SuffixAutomaton
-    words: dict[int, bytes]  # the word of each hash in the items
+    words: dict[bytes, int]  # the number of each word of the items
     seed: int  # words of a seed
     seeds: np.ndarray
     least: int  # words of the shortest match that is made of seeds
@@ -148,16 +148,14 @@ def build(items: list[tuple[str, str | None]], window: int) -> Matcher:
     for name, text in items:
         for _, words in _words.batches([text]):
             blob = words.blobs[0].lower()
-            for h, a, b in zip(words.hashes.tolist(), words.starts.tolist(), words.ends.tolist(), strict=True):
-                if known.setdefault(h, blob[a:b]) != blob[a:b]:
-                    raise ValueError(f"{known[h]!r} and {blob[a:b]!r} have one hash")
-            cut.append((name, words.hashes))
-    cut = [(name, h) for name, h in cut if len(h)]
-    long = [h for _, h in cut if len(h) >= seed]
+            numbers = [known.setdefault(blob[a:b], len(known)) for a, b in zip(words.starts.tolist(), words.ends.tolist(), strict=True)]
+            cut.append((name, words.hashes, numbers))
+    cut = [x for x in cut if x[2]]
+    long = [h for _, h, _ in cut if len(h) >= seed]
     seeds = np.unique(np.concatenate([_words.grams(h, seed) for h in long] or [np.empty(0, np.uint64)]))
-    tiny = [(n, np.unique(np.concatenate(hs))) for n in range(1, seed) if (hs := [_words.grams(h, n) for _, h in cut if len(h) == n])]
+    tiny = [(n, np.unique(np.concatenate(hs))) for n in range(1, seed) if (hs := [_words.grams(h, n) for _, h, _ in cut if len(h) == n])]
     least = min([window, *(len(h) for h in long)])
-    return Matcher(SuffixAutomaton([(n, h.tolist()) for n, h in cut], window), known, seed, seeds, least, tiny, _bitmap(seeds))
+    return Matcher(SuffixAutomaton([(n, numbers) for n, _, numbers in cut], window), known, seed, seeds, least, tiny, _bitmap(seeds))
 
 
 def _inside(first: np.ndarray, positions: np.ndarray, n: int) -> np.ndarray:
@@ -197,11 +195,11 @@ def _stretches(m: Matcher, words: _words.Words) -> list[tuple[int, int]]:
 
 
 def _same_words(m: Matcher, words: _words.Words, s: int, e: int) -> list[int]:
-    """Hashes of words s to e, -1 where the word is not the item word of that hash."""
+    """Numbers of words s to e, -1 for what is no word of the items: words are compared by their bytes, hashes only tell where to look."""
     text = int(np.searchsorted(words.first, s, side="right")) - 1
     at, blob = int(words.at[text]), words.blobs[text]
-    spans = zip(words.hashes[s:e].tolist(), (words.starts[s:e] - at).tolist(), (words.ends[s:e] - at).tolist(), strict=True)
-    return [h if m.words.get(h) == blob[a:b].lower() else -1 for h, a, b in spans]
+    spans = zip((words.starts[s:e] - at).tolist(), (words.ends[s:e] - at).tolist(), strict=True)
+    return [m.words.get(blob[a:b].lower(), -1) for a, b in spans]
 
 
 def _hits(m: Matcher, words: _words.Words) -> tuple[dict[int, set[str]], dict[int, list[tuple[int, int]]]]:

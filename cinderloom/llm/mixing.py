@@ -54,9 +54,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: in
     return s.select("source", "source_size", target.alias("target"))
 
 
-def _unit(key: str) -> Column:
-    """A number in (0, 1) from the md5 of the seed and the document's key."""
-    head = F.substring(F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 13)
+def _unit(key: str, text: str) -> Column:
+    """A number in (0, 1) from the md5 of the seed and the document's key, or where that is null its text's md5."""
+    own = F.coalesce(F.col(key).cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    head = F.substring(F.md5(F.concat(F.lit(SEED + ":"), own)), 1, 13)
     return (F.conv(head, 16, 10).cast("double") + 0.5) / 4503599627370496.0
 
 
@@ -85,7 +86,7 @@ def plan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: st
 
     A document of a source gets ``whole`` copies, and one more if in one of ``rounds`` it is inside the bounds and fits the gap.
     """
-    slim = docs.select(F.col(key).alias("doc"), F.col(source).alias("source"), words(text).alias("size"), _unit(key).alias("u"))
+    slim = docs.select(F.col(key).alias("doc"), F.col(source).alias("source"), words(text).alias("size"), _unit(key, text).alias("u"))
     slim = written(slim, "sizes")
     b = bits(F.col("size"))
     sums = written(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(b * F.col("size")).alias("bit_words"), F.max(b).alias("most_bits")), "sums")
@@ -180,7 +181,7 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     """One row for each document: doc_id, size, source_size, target (of its source), taken (size x copies).
 
     Defined cases: a null text has size 0 and no copies count; a null source is a source, the last; rows
-    that repeat a doc_id have one rank, and those that fit the gap are cut together by it; a source without words has target 0; empty tables
+    that repeat a doc_id have one rank, and those that fit the gap are cut together by it; rows without doc_id have a rank by their text; a source without words has target 0; empty tables
     give no rows. The same table gives the same rows at every run.
     """
     slim, cuts = plan(docs, key=key, text=text, source=source, weights=weights)
@@ -196,6 +197,6 @@ def mixed(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: s
     _, cuts = plan(docs, key=key, text=text, source=source, weights=weights)
     kept = docs.drop(*[c for c in docs.columns if c.lower() in ("size", "source_size", "target", "taken")])
     row = F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row")
-    slim = kept.select(row, F.col(key).alias("doc"), F.col(source).alias("source"), words(text).alias("size"), _unit(key).alias("u"))
+    slim = kept.select(row, F.col(key).alias("doc"), F.col(source).alias("source"), words(text).alias("size"), _unit(key, text).alias("u"))
     return decided(slim, cuts).filter("n_copies > 0 and size > 0").select("row.*", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
 

@@ -184,7 +184,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 bags = shingle_bags(words)
                 signature = bag_min_hash(bags)
                 size = np.array([int(b[1].sum()) for b in bags], dtype=np.int64)
-                f1, f2 = _sequence_prints(words)
+                f1, f2 = _words.digests(words.blobs)
                 empty = size == 0
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, len(bags)), pa.array(f1), pa.array(f2), pa.array(size), _longs(_band_keys(signature), empty)],
@@ -194,17 +194,6 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _SIGNED)
 
 
-def _sequence_prints(words: _words.Words) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each text's word sequence."""
-    n, out = len(words.first) - 1, []
-    place = np.arange(len(words.hashes), dtype=np.uint64) - np.repeat(words.first[:-1], np.diff(words.first)).astype(np.uint64)
-    for salt in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3):
-        total = np.concatenate(([_U(0)], np.cumsum(_words.mix(words.hashes ^ _words.mix(place + _U(salt))))))
-        out.append((_words.mix((total[words.first[1:]] - total[words.first[:-1]]) ^ _U(salt))).view(np.int64))
-    assert all(len(x) == n for x in out)
-    return out[0], out[1]
-
-
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Those pairs (a, b) whose bags have a weighted Jaccard of ``threshold`` or more; ``texts`` is (node, text), bucketed by node.
 

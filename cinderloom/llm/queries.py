@@ -145,7 +145,7 @@ from dw left join pos using (doc_id) left join its using (doc_id)
 
 _OP5 = rf"""
 with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) size,
-                  (cast(('0x' || substr(md5('{mixing.SEED}:' || coalesce(cast(doc_id as varchar), '')), 1, 13)) as bigint) + 0.5::double) / 4503599627370496.0::double u
+                  (cast(('0x' || substr(md5('{mixing.SEED}:' || coalesce(cast(doc_id as varchar), md5(coalesce(text, '')))), 1, 13)) as bigint) + 0.5::double) / 4503599627370496.0::double u
            from documents),
      t0 as (select source, cast(sum(size) as bigint) source_size from d group by 1),
      t1 as (select *, cast([5, 2, 1][cast((row_number() over (order by source is null, source) - 1) % 3 + 1 as int)] as double) w,

@@ -7,6 +7,7 @@ from each length upwards give totals, quantiles and truncated totals for every c
 from __future__ import annotations
 
 import base64
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,6 +19,9 @@ from cinderloom.llm._shared import append_columns, written
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Word split of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters that the pattern's \s takes, and the least run of them that is cut out before the pattern, whose search goes back over it, sees the text.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_SPACE = 4096
 #: Lengths in one block of the two-level suffix sum.
 BLOCK = 1024
 
@@ -30,6 +34,17 @@ def _encoder(vocabulary: str):
     return tiktoken.Encoding("lengths", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def encoded_length(encoding, text: str) -> int:
+    """Tokens of the whole text. In a long run of white space all but the last character are one piece, at the end of a text all of them: so the
+    pattern cuts, and so they are cut here, before it."""
+    total, at = 0, 0
+    for run in re.finditer(f"[{SPACE}]{{{LONG_SPACE},}}", text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        total += len(encoding.encode_ordinary(text[at : run.start()])) + len(encoding._encode_single_piece(text[run.start() : end]))
+        at = end
+    return total + len(encoding.encode_ordinary(text[at:]))
+
+
 def with_length(docs: DataFrame, *, text: str = "text", name: str = "n_tokens", vocabulary: str = VOCABULARY) -> DataFrame:
     """``docs`` and the encoded length of the whole text; null and empty texts have 0 tokens.
 
@@ -37,10 +52,10 @@ def with_length(docs: DataFrame, *, text: str = "text", name: str = "n_tokens",
     """
 
     def make():
-        encode = _encoder(vocabulary).encode_ordinary
+        encoding = _encoder(vocabulary)
 
         def compute(texts: list) -> list[pa.Array]:
-            return [pa.array([len(encode(t)) if t else 0 for t in texts], pa.int64())]
+            return [pa.array([encoded_length(encoding, t) if t else 0 for t in texts], pa.int64())]
 
         return compute
 

@@ -47,6 +47,58 @@ def test_words_are_the_pattern():
     assert same[0] == same[3] and same[1] == same[2] and same[0] != same[1]
 
 
+def twins():
+    """Two words of 2048 letters that any polynomial hash modulo 2**64 takes for one."""
+    word, swap = "a", {97: 98, 98: 97}
+    for _ in range(11):
+        word += word.translate(swap)
+    return word, word.translate(swap)
+
+
+def test_words_that_polynomials_confuse(spark):
+    """Such words are two in the hashes, in the items of a benchmark, and in near duplicates."""
+    a, b = twins()
+    assert len(set(_words.cut([f"{a} {b}".encode()]).hashes.tolist())) == 2
+    rest = " ".join(f"w{i}" for i in range(9))
+    docs = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{a} {b}"), (4, f"{b} {a}"), (5, f"{b}  {a.upper()}")], "doc_id long, text string")
+    items = spark.createDataFrame([("x", f"{a} {rest}"), ("y", b)], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.decontaminate(docs, items).collect()}
+    assert got == {1: (10, 1), 2: (1, 1), 3: (1, 1), 4: (1, 1), 5: (1, 1)}
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4}
+
+
+def test_sequence_digests():
+    """Equal for equal word sequences, whatever stands between the words; a border of words counts."""
+    texts = ["aB c", "Ab\n\tC!", "", "...", "ab cd", "abc d", "é x", "É x", "a b c d"]
+    one, two = _words.digests([t.encode() for t in texts])
+    both = list(zip(one.tolist(), two.tolist(), strict=True))
+    for i, j in combinations(range(len(texts)), 2):
+        assert (both[i] == both[j]) == (words(texts[i]) == words(texts[j]))
+
+
+def test_tokens_of_long_white_space(monkeypatch):
+    """Runs of white space that the pattern cannot walk through are cut as it would cut them."""
+    encoding = token_counts._encoder(token_counts.VOCABULARY)
+    for text in (" " * 1_000_000, " " * 1_000_000 + "a", "a" + "\n" * 1_000_000 + "\tb"):
+        assert token_counts.encoded_length(encoding, text) > 0
+    monkeypatch.setattr(token_counts, "LONG_SPACE", 3)
+    rng = np.random.default_rng(4)
+    for _ in range(500):
+        text = "".join(rng.choice(["a", "b1", "'s", " ", "  ", "\n", "\t", "\u3000", "\x85", "\x1c", ".", "é", "   ", "\r\n"], int(rng.integers(0, 14))))
+        assert token_counts.encoded_length(encoding, text) == len(encoding.encode_ordinary(text))
+
+
+def test_mixing_without_ids(spark):
+    """A source whose rows have no doc_id comes as near its target as the others."""
+    rows = [(None if i % 3 == 0 else i, f"t{i} " * (1 + i % 7), "abc"[i % 3]) for i in range(3000)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    by = {}
+    for r in out:
+        taken, _ = by.get(round(r.target, 6), (0, 0))
+        by[round(r.target, 6)] = (taken + r.taken, r.target)
+    assert len(by) == 3 and all(0 <= target - taken < 8 for taken, target in by.values())
+
+
 def brute_hits(text, items, window=10):
     w, hit, found = words(text), set(), set()
     for name, item in items:
@@ -535,14 +587,19 @@ def test_query_equals_sql(spark, name):
     assert _same([tuple(r) for r in queries.queries()[name](spark, SF).select(columns).collect()], want)
 
 
-def test_near_dedup_stage_keeps_rows_without_or_with_a_shared_id(spark):
+def test_near_dedup_stage_on_rows_without_or_with_a_shared_id(spark):
     sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
     import corpus_pipeline as p
 
     text = [" ".join(f"{w}{k}x{i}" for i in range(60)) for k, w in enumerate(("red", "blue", "green", "grey"))]
     rows = [(1, text[0], "a"), (2, text[0], "b"), (2, text[1], "c"), (3, text[2], "e"), (3, text[2], "d"), (4, text[2] + " end", "f"), (5, "", "g"), (None, text[3], "h"), (None, text[3], "i"), (None, text[0], "j")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    want = [(1, text[0], "a"), (2, text[1], "c"), (3, text[2], "d"), (5, "", "g"), *rows[-3:]]
+    rows += [(None, None, "k"), (None, None, "l"), (None, "", "m"), (None, text[3] + " end", "n"), (None, text[1] + " end", "o"), (None, "other words", "p")]
+    docs = spark.createDataFrame(rows, docs.schema)
+    # Of rows without doc_id those stay that copy neither each other nor a document with one.
+    want = [(1, text[0], "a"), (2, text[1], "c"), (3, text[2], "d"), (5, "", "g"), (None, None, "k"), (None, "", "m"), (None, "other words", "p")]
+    ends = [("h", text[3]), ("n", text[3] + " end")]
+    want.append((None, *min(ends, key=lambda x: hashlib.md5(x[1].encode()).hexdigest())[::-1]))
     for dealt in (docs.coalesce(1), docs.repartition(5)):
         assert sorted(map(str, p.one_of_each(spark, dealt, SF).select("doc_id", "text", "source").collect())) == sorted(str(r) for r in spark.createDataFrame(want, docs.schema).collect())
 
@@ -571,7 +628,7 @@ def test_stages_on_odd_rows(spark, tmp_path):
     known = p.known_language(spark, docs, sf)
     assert known.columns == docs.columns and known.filter("text is null or text = ''").count() == 0 and not Counter(rows(known)) - shared
     single = p.one_of_each(spark, docs, sf)
-    assert single.columns == docs.columns and single.filter("doc_id is null").count() == 2 and single.filter("doc_id = 7003").count() == 1
+    assert single.columns == docs.columns and single.filter("doc_id is null").count() == 1 and single.filter("doc_id = 7003").count() == 1
     clean = p.no_benchmark(spark, docs, sf)
     assert clean.columns == docs.columns and clean.filter("text is null").count() == 2 and clean.filter(F.col("text").contains("w1 w2")).count() == 0
     mix = p.target_mix(spark, docs, sf)
