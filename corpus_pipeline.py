@@ -40,38 +40,44 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, the one with the least doc_id; every row without doc_id.
+    """One document of each class of near duplicates, the one with the least doc_id; one without doc_id only where none has one.
 
-    A document is a doc_id and a text: rows of one doc_id whose texts differ are looked at apart, the least md5 first. Rows
-    that share both are one document, the row that is least by its columns in order. Null, empty and wordless texts are
-    each a class of its own; very long texts are compared whole; columns of any name are kept; an empty table gives no rows.
+    A document is a doc_id and a text: rows of one doc_id whose texts differ are looked at apart, the least md5 first, and rows
+    without doc_id are documents by their texts. Rows that share both are one document, the row that is least by its columns in order. Null, empty and
+    wordless texts are each a class of its own (of rows without doc_id one null and one empty text stays); very long texts are compared whole; columns of
+    any name are kept; an empty table gives no rows.
     """
-    known = docs.filter("doc_id is not null")
-    mark = free_name(docs, "print")
-    node = free_name(docs, "node")
-    prints = known.select("doc_id", F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")).alias(mark))
+    mark, node = free_name(docs, "print"), free_name(docs, "node")
+    md5 = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")).alias(mark)
+    known, nameless = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
+    prints = known.select("doc_id", md5)
     first = prints.groupBy("doc_id").agg(F.min(mark).alias("first"), F.max(mark).alias("last"), F.count(F.lit(1)).alias("k"))
     shared = written(first.filter("k > 1"), "shared")
     several = shared.filter("first <> last").select("doc_id", "first")
     further = prints.join(several, "doc_id").filter(F.col(mark) != F.col("first")).select("doc_id", mark).distinct()
-    # Further texts of a doc_id get numbers below all ids; too small an id for that is an overflow error.
+    # Further texts of a doc_id and texts without one get numbers below all ids; too small an id for that is an overflow error.
     least = known.agg(F.least(F.min("doc_id"), F.lit(0)).cast("long")).first()[0] or 0
+    further = further.unionByName(nameless.select("doc_id", md5).distinct())
     further = written(further.withColumn(node, F.lit(least) - 1 - F.monotonically_increasing_id()), "further")
 
-    named = known.withColumn(mark, F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
-    named = named.join(further, ["doc_id", mark], "left").withColumn(node, F.coalesce(node, "doc_id"))
-    classes = written(near_dedup.near_duplicates(named.select(F.col(node).alias("doc_id"), "text")).select("doc_id", "class_id"), "classes")
-    own = classes.select(F.col("doc_id").alias("n"), "class_id").join(further.select(F.col(node).alias("n"), F.col("doc_id"), mark), "n", "left")
-    order = F.struct(F.coalesce("doc_id", "n").alias("id"), F.coalesce(mark, F.lit("")).alias("print"), "n")
+    named = known.withColumn(mark, md5).join(further.filter("doc_id is not null"), ["doc_id", mark], "left").withColumn(node, F.coalesce(node, "doc_id"))
+    # A text that a third of the rows without doc_id share is one row of the right side, and AQE may split the left.
+    unnamed = nameless.withColumn(mark, md5).join(further.filter("doc_id is null").select(mark, node), mark)
+    texts = named.select(F.col(node).alias("doc_id"), "text").unionByName(unnamed.groupBy(F.col(node).alias("doc_id")).agg(F.first("text").alias("text")))
+    classes = written(near_dedup.near_duplicates(texts).select("doc_id", "class_id"), "classes")
+    own = classes.select(F.col("doc_id").alias("n"), "class_id").join(further.select(F.col(node).alias("n"), F.col("doc_id"), mark, F.lit(True).alias("more")), "n", "left")
+    # Documents with an id come before those without one.
+    of_text = F.col("more").isNotNull() & F.col("doc_id").isNull()
+    order = F.struct(of_text.alias("nameless"), F.when(~of_text, F.coalesce("doc_id", "n")).alias("id"), F.coalesce(mark, F.lit("")).alias("print"), "n")
     stay = own.groupBy("class_id").agg(F.min(order).alias("best")).select(F.col("best.n").alias("n"))
-    gone = classes.select(F.col("doc_id").alias("n")).distinct().join(stay, "n", "left_anti").withColumnRenamed("n", node)
-    kept = named.join(written(gone, "duplicates"), node, "left_anti")
-    # Only rows whose doc_id comes again can repeat a document; the others are not shuffled for it.
-    again = kept.join(shared.select("doc_id"), "doc_id", "left_semi")
+    gone = written(classes.select(F.col("doc_id").alias("n")).distinct().join(stay, "n", "left_anti").withColumnRenamed("n", node), "duplicates")
+    kept = named.join(gone, node, "left_anti")
+    # Only rows whose doc_id comes again, or that have none, can repeat a document; the others are not shuffled for it.
+    again = kept.join(shared.select("doc_id"), "doc_id", "left_semi").unionByName(unnamed.join(gone, node, "left_anti"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     once = again.groupBy(node).agg(F.min(row).alias("row")).select("row.*")
     alone = kept.join(shared.select("doc_id"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return alone.unionByName(once).unionByName(docs.filter("doc_id is null"))
+    return alone.unionByName(once)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
