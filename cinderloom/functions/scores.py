@@ -71,3 +71,8 @@ def diversity_multiplier(position: Column) -> Column:
 def dot(a: Column, b: Column) -> Column:
     """Inner product of arrays of doubles; null where the lengths differ."""
     return F.when(F.size(a) == F.size(b), F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
+
+
+def packed(features: Column) -> Column:
+    """An array of doubles as one text behind the version of its layout."""
+    return F.concat(F.lit("v2:"), F.array_join(F.transform(features, lambda x: x.cast("string")), ","))

@@ -11,11 +11,12 @@ from cinderloom.operators import folds
 from cinderloom.operators import ranking as R
 from cinderloom.operators import recall as C
 from cinderloom.operators import vectors as V
-from cinderloom.plans.catalog_and_events import LABEL, WEIGHT
-from cinderloom.plans.recall_and_rank import ARMS, CO, _arms, long
+from cinderloom.plans.catalog_and_events import HISTORY, LABEL, WEIGHT
+from cinderloom.plans.recall_and_rank import ARMS, BONUS, CO, OUT, POST, _arms, long
 from cinderloom.plans.registry import query
 from cinderloom.plans.serving_chain import DAY, _listed, _text
 from cinderloom.sources import tables as T
+from cinderloom.streaming import sinks
 
 HOUR = 3_600_000
 RATED = """re as (select event_id, case when event_type = 'error' then 'Rating' else event_type end raw_type, watch_ms, movie_id, user_id, (movie_id % 10 + 1) / 2.0 rating from ev)"""
@@ -204,9 +205,42 @@ def k3_versioned_top(spark, sf):
     return newest.select("key", _text(F.col("l"), "x").alias("top"))
 
 
-@query("ev", f"""with {ARMS} select item_id, 'v2:' || printf('%.6f,%.6f,%.6f,%.6f,%.6f,%.6f,%.6f,%.6f,%.6f', ln(1 + impressions), ln(1 + clicks), rel, con, pop, (clicks + 1.0::double) / (impressions + 4.0::double), 1.0::double / (impressions + 1), case when cold then 1.0::double else 0.0::double end, 1.0::double) packed from arm""")
+#: A double in [0, 1000) of six decimals as text: plain from a thousandth on, below that with an exponent.
+SHORT = lambda x: f"""(case when {x} = 0 or {x} >= 0.001 then cast({x} as varchar) else cast(cast(round({x} * 1e6) as bigint) / (case when {x} >= 0.0001 then 100.0::double when {x} >= 0.00001 then 10.0::double else 1.0::double end) as varchar)
+ || case when {x} >= 0.0001 then 'E-4' when {x} >= 0.00001 then 'E-5' else 'E-6' end end)"""
+
+
+@query("ev", f"""with {ARMS}, f as (select item_id, [1.0::double, {POST}, least(1.0::double, greatest(0.0::double, 0.65 * {POST} + 0.35 * {OUT})), con, {BONUS}, case when cold then 1.0::double else 0.0::double end, ln(1 + impressions), ln(1 + clicks), clicks / (impressions + 1)::double] x from arm),
+ g as (select item_id, list_transform(x, lambda v: round(v, 6)) x from f) select item_id, 'v2:' || {" || ',' || ".join(SHORT(f"x[{i}]") for i in range(1, 10))} packed from g""")
 def p4_packed_features(spark, sf):
-    """Nine features of an item as one text with the version of their order."""
-    c = F.col
-    parts = [F.log1p("impressions"), F.log1p("clicks"), c("rel"), c("con"), c("pop"), (c("clicks") + 1.0) / (c("impressions") + 4.0), 1.0 / (c("impressions") + 1), c("cold").cast("double"), F.lit(1.0)]
-    return _arms(spark, sf).select("item_id", F.concat(F.lit("v2:"), F.format_string(",".join(["%.6f"] * 9), *parts)).alias("packed"))
+    """Nine features as one text with the version of their order: bias, bandit score, estimated reward, online score (here the click rate), exploration
+    bonus, cold start, log impressions, log clicks, smoothed click rate. Rounded to six decimals before they are written, so that both engines write the same."""
+    c, a = F.col, _arms(spark, sf)
+    post = S.posterior_mean(c("rel"), c("clicks"), c("impressions"), c("cold"))
+    reward = S.estimated_reward(post, S.weighted_outcome(c("rel"), c("con"), c("pop"), c("clicks"), c("impressions")))
+    bonus = S.ucb_bonus(c("impressions"), c("total"), c("cold"))
+    x = [F.lit(1.0), post, reward, c("con"), bonus, c("cold").cast("double"), F.log1p("impressions"), F.log1p("clicks"), c("clicks") / (c("impressions") + 1)]
+    return a.select("item_id", S.packed(F.array(*[F.round(v, 6) for v in x])).alias("packed"))
+
+
+@query("ev", f"""with k as (select event_id, unnest(list_concat(['feature:user:' || user_id || ':session:' || session_id], case when {HISTORY} then ['user:' || user_id || ':recent_movies', 'user:' || user_id || ':embedding'] else [] end)) key from ev where user_id > 0)
+ select event_id, string_agg(distinct key, ',' order by key) keys from k group by 1""")
+def k2_event_index(spark, sf):
+    """The reverse index of lineage: the keys that an event wrote."""
+    return sinks.event_keys(_written_keys(T.events(spark, sf)))
+
+
+@query("ev", f"""with k as (select event_id, ts_ms, event_type, unnest(list_concat(['feature:user:' || user_id || ':session:' || session_id], case when {HISTORY} then ['user:' || user_id || ':recent_movies', 'user:' || user_id || ':embedding'] else [] end)) key from ev where user_id > 0)
+ select key, arg_max(event_type, (ts_ms, event_id)) as "value", arg_max(event_id, (ts_ms, event_id)) last_event, max(ts_ms) updated_ms from k group by 1""")
+def k2_last_event(spark, sf):
+    """Of each key the value, the event that wrote it and its time."""
+    last = F.max(F.struct("ts_ms", "event_id", "value")).alias("x")
+    return _written_keys(T.events(spark, sf)).groupBy("key").agg(last).select("key", "x.value", F.col("x.event_id").alias("last_event"), F.col("x.ts_ms").alias("updated_ms"))
+
+
+def _written_keys(e):
+    """(key, ts_ms, event_id, value): what valid events write."""
+    user = F.concat(F.lit("user:"), F.col("user_id").cast("string"))
+    session = F.concat(F.lit("feature:"), user, F.lit(":session:"), F.col("session_id"))
+    history = F.when(E.updates_history(), F.array(F.concat(user, F.lit(":recent_movies")), F.concat(user, F.lit(":embedding")))).otherwise(F.array().cast("array<string>"))
+    return e.filter(E.valid()).select(F.explode(F.concat(F.array(session), history)).alias("key"), "ts_ms", "event_id", F.col("event_type").alias("value"))

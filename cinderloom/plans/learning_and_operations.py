@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cinderloom.functions import events as E
 from cinderloom.operators import folds
 from cinderloom.operators import ranking as R
 from cinderloom.operators import recall as C
+from cinderloom.operators import statistics
+from cinderloom.operators.lineage import cut
 from cinderloom.plans.catalog_and_events import LABEL
 from cinderloom.plans.registry import query
 from cinderloom.sources import tables as T
 
 long = lambda c: F.col(c).cast("long").alias(c)
 DAY = 86_400_000
-#: Chances that a Poisson number of mean 1 is at most 0, 1, 2, ...; further ones are within the hash's step of 1.
-POISSON = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12))
 
 
 @query("ev", f"""with s as (select user_id, ts_ms // {DAY} req, movie_id, {LABEL} label, event_type, ts_ms, event_id from ev where user_id > 0),
@@ -132,24 +130,19 @@ def e2_e6_a15_w23_policy_evaluation(spark, sf):
     h = F.md5(F.format_string("7:%d:%d", "user_id", "item_id"))
     greedy = R.top_k(s, ["user_id"], 10, F.desc("score"), F.asc("item_id")).withColumn("policy", F.lit("greedy"))
     uniform = R.top_k(s, ["user_id"], 10, h.asc(), F.asc("item_id")).withColumn("policy", F.lit("uniform"))
-    e = greedy.union(uniform).groupBy("policy", "user_id").agg(F.sum(F.pow(F.lit(0.9), F.col("rank") - 1) * (F.col("rating") - 3)).alias("ret"), F.count(F.lit(1)).alias("steps"))
-    return e.groupBy("policy").agg(F.count(F.lit(1)).alias("episodes"), F.round(F.avg("ret"), 6).alias("mean_return"), F.round(F.avg("steps"), 6).alias("mean_steps"), F.round(F.stddev_samp("ret") / F.sqrt(F.count(F.lit(1))), 6).alias("se"),
-                                   F.round(F.percentile("ret", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("ret", F.lit(0.975)), 6).alias("high"))
+    e = cut(greedy.union(uniform).groupBy("policy", "user_id").agg(F.sum(F.pow(F.lit(0.9), F.col("rank") - 1) * (F.col("rating") - 3)).alias("ret"), F.count(F.lit(1)).alias("steps")))
+    means = e.groupBy("policy").agg(F.count(F.lit(1)).alias("episodes"), F.round(F.avg("ret"), 6).alias("mean_return"), F.round(F.avg("steps"), 6).alias("mean_steps"), F.round(F.stddev_samp("ret") / F.sqrt(F.count(F.lit(1))), 6).alias("se"))
+    ends = statistics.quantiles(e, ["policy"], "ret", {"low": 0.025, "high": 0.975})
+    return means.join(ends, "policy").select(*means.columns, F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query()
 def a16_bootstrap(spark, sf):
-    """Percentiles of 200 resampled means of ratings by user segment: each row counts a Poisson number of times, from its hash."""
+    """Percentiles of 200 means of ratings by user segment, resampled with replacement, each resample as large as the segment."""
     r = T.ratings(spark, sf).join(T.load(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment")), "user_id")
-    def times(b: int) -> Column:
-        u = (F.pmod(F.xxhash64("user_id", "item_id", F.col("g") * 8 + b), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-        return sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
-
-    # Eight resamples of a row are summed side by side, so a row is copied 25 times and partial sums leave each task.
-    sums = [(F.sum(F.col("rating") * times(b)) / F.sum(times(b))).alias(f"m{b}") for b in range(8)]
-    m = r.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(24)))).groupBy("segment", "g").agg(*sums)
-    m = m.select("segment", F.explode(F.array(*[f"m{b}" for b in range(8)])).alias("m"))
-    return m.groupBy("segment").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    m = statistics.bootstrap_means(r, "segment", ["user_id", "item_id"], "rating", 200, 42)
+    ends = m.groupBy("segment").agg(F.min("draws").alias("draws"), F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))  # 200 rows a segment
+    return ends.select("segment", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "draws")
 
 
 @query("ev", f"""select event_type algorithm, count(*) requests, round(count(*) filter ({LABEL} > 0) / count(*)::double, 9) ctr, round(avg({LABEL} / 3.0::double), 6) reward, count(distinct movie_id) exposed, round(count(distinct movie_id) / (select count(*) from part)::double, 9) coverage from ev group by 1""")

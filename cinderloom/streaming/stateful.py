@@ -234,3 +234,47 @@ def final_tops(partials: DataFrame, k: int, lateness_ms: int = 5_000) -> DataFra
 def trending(events: DataFrame, k: int = 10, window: str = "1 hour", buckets: int = 16, lateness_ms: int = 5_000) -> DataFrame:
     """Both stages: the list of each window of timed events, once, when the watermark has passed its end."""
     return final_tops(partial_tops(events, k, window, buckets), k, lateness_ms)
+
+
+class Experience(StatefulProcessor):
+    """What a user did with one request's items, sent on by a timer ``wait_ms`` after the first event. State has a row for each item."""
+
+    def __init__(self, wait_ms: int):
+        self.wait_ms = wait_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.items = handle.getMapState("items", "movie_id long", "label int, ts_ms long, event_id string, type string, first_ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        started = self.items.exists()
+        for chunk in rows:
+            for movie, *new, kind in zip(*(chunk[c] for c in ("movie_id", "label", "ts_ms", "event_id", "event_type")), strict=True):
+                best, own = (int(new[0]), int(new[1]), new[2], kind), (int(movie),)
+                held = self.items.getValue(own)
+                first = min(held[4], best[1]) if held else best[1]
+                self.items.updateValue(own, (*max(best, tuple(held[:4]) if held else best), first))
+        if not started:
+            self.handle.registerTimer(min(v[4] for _, v in self.items.iterator()) + self.wait_ms)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        found = sorted((v[4], m[0], v[0], v[3]) for m, v in self.items.iterator())
+        self.items.clear()
+        slate = ",".join(f"{m}:{label}:{kind}" for _, m, label, kind in found)
+        yield pd.DataFrame({"user_id": [key[0]], "request_id": [key[1]], "label": [max(x[2] for x in found)], "first_ms": [found[0][0]], "items": [len(found)], "slate": [slate]})
+
+    def close(self) -> None:
+        pass
+
+
+def experience(events: DataFrame, wait_ms: int = DAY_MS) -> DataFrame:
+    """(user_id, request_id, label, first_ms, items, slate) of each request of timed events with a ``request_id``, once, when the watermark is ``wait_ms`` beyond its first event.
+
+    Of an item the greatest label counts, with the type of the event that gave it (the latest of several). Events later than that find the request closed: they are
+    behind the watermark, and Spark drops them.
+    """
+    s = events.filter(E.valid()).withColumn("label", E.training_label())
+    slim = s.select("user_id", F.col("request_id").cast("long").alias("request_id"), F.coalesce("movie_id", F.lit(0)).cast("long").alias("movie_id"), "label", "ts_ms", "event_id", "event_type", "ts")
+    out = "user_id long, request_id long, label int, first_ms long, items long, slate string"
+    return slim.groupBy("user_id", "request_id").transformWithStateInPandas(Experience(wait_ms), out, "Append", "EventTime")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinderloom.functions import events as E
-from cinderloom.operators import folds, ranking, recall, vectors
+from cinderloom.operators import folds, ranking, recall, statistics, vectors
 from cinderloom.plans import QUERIES, SQL
 from cinderloom.sources import files
 
@@ -186,6 +186,53 @@ def test_bootstrap_interval(spark, sf):
         assert abs((x.low + x.high) / 2 - w.m) < 0.6 * w.se and 3 < (x.high - x.low) / w.se < 5
 
 
+def test_bootstrap_draws(spark):
+    """Every resample has as many draws as rows, over one block or many; one row is always itself; counts spread like draws with replacement; reruns agree."""
+    rows = [("a", i, float(i % 9)) for i in range(900)] + [("one", 1, 5.0), (None, 1, 2.0), (None, 2, 4.0)]
+    df = spark.createDataFrame(rows, "g string, id long, x double")
+    size = {"a": 900, "one": 1, None: 2}
+    for block in (40, 1 << 16):
+        made = statistics.bootstrap_means(df.repartition(3), "g", ["id"], "x", 60, 7, block)
+        got = sorted(map(tuple, made.collect()), key=repr)
+        assert len(got) == 180 and all(d == size[g] for g, _, d, _ in got) and all(m == 5.0 for g, _, _, m in got if g == "one")
+        assert got == sorted(map(tuple, statistics.bootstrap_means(df.coalesce(1), "g", ["id"], "x", 60, 7, block).collect()), key=repr)
+        means = np.array([m for g, _, _, m in got if g == "a"])
+        spread = np.std([i % 9 for i in range(900)]) / 30
+        assert abs(means.mean() - np.mean([i % 9 for i in range(900)])) < 0.5 * spread and 0.7 < means.std() / spread < 1.35
+
+
+def test_quantiles_of_groups(spark):
+    """Interpolated between the neighbours as numpy does; ties, one row, nulls, null groups."""
+    rng = np.random.default_rng(2)
+    groups = {"a": rng.integers(0, 50, 333).tolist(), "b": [3], None: rng.random(10).tolist()}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("a", None), ("gone", None)]
+    shares = {"low": 0.025, "mid": 0.5, "top": 1.0, "least": 0.0}
+    got = {r.g: r for r in statistics.quantiles(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", shares).collect()}
+    assert got.keys() == groups.keys()
+    for g, xs in groups.items():
+        assert all(abs(got[g][n] - np.quantile(xs, q)) < 1e-9 for n, q in shares.items())
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_neighbours_in_blocks(spark, monkeypatch, block):
+    """Users in many blocks and strips, an item that all rated, ties at the cut, users that share nothing: all pairs by hand."""
+    monkeypatch.setattr(recall, "STRIP", 3)
+    monkeypatch.setattr(recall, "PRODUCTS", 10)
+    rng = np.random.default_rng(1)
+    rated = {(u, 0): 3.0 for u in range(40)} | {(int(u), int(i)): float(rng.integers(1, 11)) / 2 for u, i in zip(rng.integers(0, 40, 150), rng.integers(1, 30, 150), strict=True)} | {(99, 77): 4.0, (98, 78): 2.0}
+    df = spark.createDataFrame([(u, i, r) for (u, i), r in rated.items()], "user_id long, item_id long, rating double")
+    got: dict = {}
+    for r in recall.neighbours(df, 5, block).orderBy("user_id", "rank").collect():
+        got.setdefault(r.user_id, []).append((-r.sim, r.other_id))
+    users = sorted({u for u, _ in rated})
+    vec = {u: {i: r for (v, i), r in rated.items() if v == u} for u in users}
+    norm = {u: math.sqrt(sum(r * r for r in vec[u].values())) for u in users}
+    for u in users:
+        sims = [(-round(sum(r * vec[v].get(i, 0) for i, r in vec[u].items()) / (norm[u] * norm[v]), 9), v) for v in users if v != u]
+        assert got.get(u, []) == sorted(x for x in sims if x[0] < 0)[:5]
+
+
+
 def test_file_sources(spark, tmp_path):
     (tmp_path / "m.csv").write_text("id,title,year,genres\n1,A,1999,Drama|War\n2,B,2000\nx\n")
     got = {r.id: r.genres for r in files.movies_csv(spark, str(tmp_path / "m.csv")).collect()}

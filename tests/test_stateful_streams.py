@@ -135,3 +135,17 @@ def test_best_is_a_sort():
     scores = {m: rng.randint(-15, 14) for m in range(1, 201)}
     for k in (0, 1, 2, 10, 199, 200, 201):
         assert stateful.best(scores, k) == sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:k]
+
+
+def test_experience_is_the_batch_form(spark, sf, tmp_path):
+    """Requests in several batches, each sent on once by its timer; an event after that changes nothing."""
+    from cinderloom.plans import QUERIES
+
+    rows = sorted((tuple(r) for r in tables.events(spark, sf).collect()), key=lambda r: r[5] + (r[5] * 7919) % 600_000)
+    end = max(r[5] for r in rows) + 3 * DAY
+    n = len(rows) // 3 + 1
+    parts = [rows[i : i + n] for i in range(0, len(rows), n)] + [[event("end", end)], [event("end2", end + 1), (*rows[0][:5], rows[0][5] + 1, "late")], [event("end3", end + 2)]]
+    s = features.timed(batches(spark, tmp_path, parts), "15 minutes").withColumn("request_id", F.floor(F.col("ts_ms") / DAY))
+    got, _ = run(stateful.experience(s), tmp_path, "experience")
+    want = QUERIES["a12_j7_experience"](spark, sf).select(got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
