@@ -147,10 +147,10 @@ def a16_bootstrap(spark, sf):
 
 @query("ev", f"""select event_type algorithm, count(*) requests, round(count(*) filter ({LABEL} > 0) / count(*)::double, 9) ctr, round(avg({LABEL} / 3.0::double), 6) reward, count(distinct movie_id) exposed, round(count(distinct movie_id) / (select count(*) from part)::double, 9) coverage from ev group by 1""")
 def a17_a18_z13_serving_metrics(spark, sf):
-    n = T.load(spark, sf, "part").count()
-    e = T.events(spark, sf).withColumn("label", E.training_label())
+    n = T.load(spark, sf, "part").agg(F.count(F.lit(1)).cast("double").alias("catalog"))  # one row
+    e = T.events(spark, sf).withColumn("label", E.training_label()).join(F.broadcast(n))
     return e.groupBy(F.col("event_type").alias("algorithm")).agg(F.count(F.lit(1)).alias("requests"), F.round(F.count_if(F.col("label") > 0) / F.count(F.lit(1)), 9).alias("ctr"), F.round(F.avg(F.col("label") / 3.0), 6).alias("reward"),
-                                                                 F.count_distinct("movie_id").alias("exposed"), F.round(F.count_distinct("movie_id") / F.lit(float(n)), 9).alias("coverage"))
+                                                                 F.count_distinct("movie_id").alias("exposed"), F.round(F.count_distinct("movie_id") / F.max("catalog"), 9).alias("coverage"))
 
 
 @query("ratings movies", "select genres[1] genre, count(*) exposures, count(year) / count(*)::double observed, count(*) filter (year >= 2015) / nullif(count(year), 0)::double fresh from ratings join movies using (item_id) group by 1")

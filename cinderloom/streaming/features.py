@@ -24,7 +24,7 @@ def timed(events: DataFrame, delay: str = DELAY) -> DataFrame:
 
 
 def deduplicated(events: DataFrame, delay: str = DELAY) -> DataFrame:
-    """The first of each user and event id inside the watermark; invalid events go."""
+    """The first of each user and event id inside the watermark, without Python; invalid events go. stateful.once() keeps ids for a day."""
     return timed(events.filter(E.valid()), delay).dropDuplicatesWithinWatermark(["user_id", "event_id"])
 
 
@@ -35,6 +35,13 @@ def metric_counts(events: DataFrame, window: str = "10 seconds") -> DataFrame:
     return n.select(F.unix_millis("w.start").alias("window_start"), "movie_id", "metric", "n")
 
 
+def arrival_counts(events: DataFrame, window: str = "10 seconds") -> DataFrame:
+    """(window_start, movie_id, metric, n) by the time at which events come in, not their own: what is counted late is still counted once."""
+    e = events.withColumn("metric", E.metric_kind()).filter("metric is not null").withColumn("arrived", F.current_timestamp())
+    n = e.groupBy(F.window("arrived", window).alias("w"), "movie_id", "metric").agg(F.count(F.lit(1)).alias("n"))
+    return n.select(F.unix_millis("w.start").alias("window_start"), "movie_id", "metric", "n")
+
+
 def window_scores(events: DataFrame, window: str = "1 hour") -> DataFrame:
     """(window_start, movie_id, score): the first of two stages of the trending list."""
     s = events.filter("movie_id > 0").groupBy(F.window("ts", window).alias("w"), "movie_id").agg(F.sum(E.engagement_weight()).alias("score"))
@@ -75,7 +82,7 @@ def replayed(features: DataFrame, checkpoint: str, mode: str = "update"):
 def session_features(events: DataFrame, keep: str = "1 day") -> DataFrame:
     """(user_id, session_id, counts, engagement, last movie and type) after each micro-batch; a session's state goes ``keep`` behind the watermark.
 
-    Events come through timed(); a session lies in one ``keep`` of time.
+    Events come through timed(); a session lies in one ``keep`` of time. stateful.sessions() ends them by inactivity instead.
     """
     t, last = F.col("event_type"), F.struct("ts_ms", "event_id")
     s = events.filter(E.valid()).groupBy(F.window("ts", keep).alias("w"), "user_id", "session_id").agg(
@@ -92,7 +99,7 @@ Step = Callable[[tuple | None, pd.DataFrame], tuple]
 
 
 def _kept(events: DataFrame, key: str, columns: list[str], step: Step, show: Callable[[object, tuple], dict], out: str, state: str, ttl_ms: int) -> DataFrame:
-    """``show`` of each key after each micro-batch, from a state that ``step`` makes of the one before (None: none) and the batch's rows in order.
+    """``show`` of each key after each micro-batch, from a state that ``step`` makes of the one before (None: none) and the batch's rows, a chunk of them in order after the other.
 
     State is removed when the watermark is ``ttl_ms`` beyond the last event that wrote it; none is ever read after that.
     """
@@ -101,10 +108,13 @@ def _kept(events: DataFrame, key: str, columns: list[str], step: Step, show: Cal
         if held.hasTimedOut:
             held.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(["ts_ms", "event_id"])
-        made = step(held.get if held.exists else None, rows)
+        made, last = held.get if held.exists else None, 0
+        # A key with very many rows, as in a replay, comes in several chunks, of which one is held at a time.
+        for rows in batches:
+            if len(rows):
+                made, last = step(made, rows.sort_values(["ts_ms", "event_id"])), max(last, int(rows["ts_ms"].max()))
         held.update(made)
-        held.setTimeoutTimestamp(max(int(rows["ts_ms"].max()) + ttl_ms, held.getCurrentWatermarkMs() + 1))
+        held.setTimeoutTimestamp(max(last + ttl_ms, held.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({c: [v] for c, v in {key: own[0], **show(own[0], made)}.items()})
 
     kept = timed(events.select(key, "event_id", "ts_ms", *columns))
@@ -159,7 +169,8 @@ def user_vectors(events: DataFrame, dims: int = 16, ttl_ms: int = TTL_MS) -> Dat
 
 
 def item_bias(events: DataFrame, ttl_ms: int = 30 * TTL_MS) -> DataFrame:
-    """(movie_id, bias) after each micro-batch: the learner's steps over the events in the order in which they come."""
+    """(movie_id, bias) after each micro-batch: the learner's steps over the events in the order in which they come, as the served learner takes them. The
+    batch form goes by event time, so the two differ where an event comes later than a younger one of an earlier micro-batch."""
 
     def step(state: tuple | None, rows: pd.DataFrame) -> tuple:
         b = state[0] if state else 0.0

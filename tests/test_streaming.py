@@ -81,6 +81,20 @@ def test_sessions_and_replay(spark, sf, tmp_path):
     assert q.exception() is None and sum(p.numInputRows for p in q.recentProgress) > 0
 
 
+def test_counts_by_arrival(spark, sf, tmp_path):
+    """Every event is counted once, in windows of the time at which its file was read, whatever its own time."""
+    import time
+
+    e, s = _stream(spark, sf, tmp_path)
+    before = time.time() * 1000
+    q = features.arrival_counts(s.filter("event_id <> 'end'")).writeStream.format("memory").queryName("arrived").outputMode("complete").option("checkpointLocation", str(tmp_path / "a")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = spark.table("arrived")
+    want = e.withColumn("metric", E.metric_kind()).filter("metric is not null").groupBy("movie_id", "metric").count()
+    assert {tuple(r) for r in got.groupBy("movie_id", "metric").agg(F.sum("n")).collect()} == {tuple(r) for r in want.collect()}
+    assert got.filter(F.col("window_start") < before - 10_000).count() == 0
+
+
 def test_idle_state_goes(spark, tmp_path):
     """A list idle for longer than its time starts again; one event later than the last is passed over."""
     rows = [(1, "a", 10, 1000), (1, "b", 11, 1500), (1, "c", 12, 900), (1, "d", 13, 9000), (2, "e", 14, 1000)]
