@@ -30,6 +30,15 @@ def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]
     return near.groupBy(*by).agg(*[F.sum(F.when(F.col("name") == n, part)).alias(n) for n in shares])
 
 
+def nearest_ranks(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(*by, name...): of each group the least value with at least that share of the values at or below it, found over ranges as in quantiles()."""
+    ranked = placed(df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("v_")), F.asc("v_"), by=tuple(by), name="at_")
+    sizes = ranked.groupBy(*[F.col(c).alias(f"s_{c}") for c in by]).agg(F.max("at_").alias("n_"))
+    rank = lambda q: F.greatest(F.ceil(F.lit(float(q)) * F.col("n_")), F.lit(1))
+    near = ranked.join(sizes, [*[F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in by], F.col("at_").isin(*[rank(q) for q in shares.values()])])
+    return near.groupBy(*by).agg(*[F.max(F.when(F.col("at_") == rank(q), F.col("v_"))).alias(n) for n, q in shares.items()])
+
+
 def bootstrap_means(df: DataFrame, by: str, key: list[str], value: str, resamples: int, seed: int, block: int = BLOCK) -> DataFrame:
     """(by, resample, draws, mean): means of ``resamples`` samples of each group's rows, as many as it has, with replacement.
 

@@ -164,6 +164,54 @@ def h10_sequence_modes(spark, sf):
     return m.select("user_id", "mode", text(50).alias("actions"), F.size(F.slice("s", 1, 100)).cast("long").alias("retrieval"), text(20).alias("scoring"), same.cast("long").alias("overlap"), (F.when(F.col("mode") == "shadow", F.size("stored")) - same).cast("long").alias("new"))
 
 
+@query("ratings movies ev", f"""with g as (select item_id, unnest(genres) genre from (select distinct item_id, genres from movies)), gid as (select genre, row_number() over (order by genre) - 1 gid from (select distinct genre from g)),
+ rg as (select user_id, genre, count(*) n, sum(rating) total from ratings join (select distinct item_id, genre from g) using (item_id) where rating >= 4 group by all),
+ fav as (select user_id, string_agg(genre, ',' order by k) filter (k <= 3) favorite_genres, string_agg(genre || '=' || n, ',' order by k) filter (k <= 5) genre_preferences, string_agg(gid, ',' order by gid) filter (k <= 3) inferred_genres
+  from (select *, row_number() over (partition by user_id order by n desc, genre) k from rg) join gid using (genre) group by 1),
+ r as (select user_id, round(avg(rating), 6) avg_rating, count(*) rating_count, list(item_id order by ts desc, item_id)[1:100] s from ratings group by 1),
+ im as (select user_id, movie_id, max(ts_ms) t from ev where movie_id > 0 and user_id > 0 group by all), iv as (select user_id, list(movie_id order by t desc, movie_id)[1:20] s from im group by 1),
+ sv as (select user_id, list(movie_id order by t desc, movie_id)[1:10] s from (select user_id, movie_id, max(ts_ms) t from ev where movie_id > 0 and user_id > 0 and event_type = 'view' group by all) group by 1),
+ pr as (select user_id, string_agg(d, ',' order by d desc) past_requests from (select distinct user_id, ts_ms // {DAY} * {DAY} d from ev where user_id > 0) group by 1)
+ select c_custkey user_id, coalesce(favorite_genres, '') favorite_genres, coalesce(avg_rating, 0.0) avg_rating, coalesce(rating_count, 0) rating_count, coalesce(array_to_string(r.s[1:20], ','), '') recently_rated, coalesce(array_to_string(r.s[1:50], ','), '') action_sequence,
+  coalesce(len(r.s), 0) retrieval_sequence, coalesce(array_to_string(r.s[1:20], ','), '') scoring_sequence, coalesce(array_to_string(sv.s, ','), '') served, coalesce(past_requests, '') past_requests, coalesce(inferred_genres, '') inferred_genres, coalesce(array_to_string(iv.s, ','), '') impressed,
+  coalesce(array_to_string(list_filter(sv.s, lambda x: x % 2 = 0), ','), '') cached, coalesce(len(list_filter(sv.s, lambda x: x % 2 = 0)), 0) > 0 has_cached, c_mktsegment || '|' || coalesce(n_name, '') || '|' || case when c_acctbal < 0 then 'debt' when c_acctbal < 5000 then 'some' else 'rich' end demographics,
+  coalesce(genre_preferences, '') genre_preferences, lower(c_mktsegment) || '=1' tag_preferences
+ from customer left join fav on c_custkey = fav.user_id left join r on c_custkey = r.user_id left join iv on c_custkey = iv.user_id left join sv on c_custkey = sv.user_id left join pr on c_custkey = pr.user_id left join nation on c_nationkey = n_nationkey""")
+def h1_h2_user_record(spark, sf):
+    """The feature record of every user, slice by slice by left joins, empty where a slice has nothing: genres, ratings, sequences, served, impressed and cached items,
+    requests, demographics (here segment, nation and a band of the balance) and preferences. Lists are bounded, newest first, and shown as texts."""
+    text = lambda a, n=1000: F.array_join(F.transform(F.slice(a, 1, n), lambda x: x.cast("string")), ",")
+
+    def newest(df: DataFrame, n: int, time: str, item: str, name: str) -> DataFrame:
+        top = R.top_k(df, ["user_id"], n, F.desc(time), F.asc(item))
+        return top.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.col(item).alias("x")))), lambda x: x["x"]).alias(name))
+
+    r, e = T.ratings(spark, sf), T.events(spark, sf).filter("user_id > 0")
+    g = T.movies(spark, sf).select("item_id", F.explode("genres").alias("genre")).distinct()
+    ids = R.placed(g.select("genre").distinct(), F.asc("genre"), name="gid").withColumn("gid", F.col("gid") - 1)
+    liked = r.filter("rating >= 4").join(g, "item_id").groupBy("user_id", "genre").agg(F.count(F.lit(1)).alias("n"))
+    top = R.top_k(liked, ["user_id"], 5, F.desc("n"), F.asc("genre")).join(ids, "genre")
+    fav = top.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("rank", "genre", "n", "gid"))).alias("f"))
+    fav = fav.select("user_id", F.array_join(F.transform(F.slice("f", 1, 3), lambda x: x["genre"]), ",").alias("favorite_genres"), F.array_join(F.transform("f", lambda x: F.concat(x["genre"], F.lit("="), x["n"].cast("string"))), ",").alias("genre_preferences"),
+                     F.array_join(F.transform(F.array_sort(F.transform(F.slice("f", 1, 3), lambda x: x["gid"])), lambda x: x.cast("string")), ",").alias("inferred_genres"))
+    mean = r.groupBy("user_id").agg(F.round(F.avg("rating"), 6).alias("avg_rating"), F.count(F.lit(1)).alias("rating_count"))
+    seen = e.filter("movie_id > 0").groupBy("user_id", "movie_id").agg(F.max("ts_ms").alias("t"), F.max(F.when(F.col("event_type") == "view", F.col("ts_ms"))).alias("v"))
+    days = newest(e.select("user_id", (F.floor(F.col("ts_ms") / DAY) * DAY).alias("d")).distinct(), 1000, "d", "d", "days")
+    nation = T.load(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    u = T.load(spark, sf, "customer").withColumnRenamed("c_custkey", "user_id").join(F.broadcast(nation), "c_nationkey", "left")  # 25 rows
+    for part in (fav, mean, newest(r, 100, "ts", "item_id", "s"), newest(seen, 20, "t", "movie_id", "i"), newest(seen.filter("v is not null"), 10, "v", "movie_id", "w"), days):
+        u = u.join(part, "user_id", "left")
+    cached = F.filter("w", lambda x: x % 2 == 0)
+    band = F.when(F.col("c_acctbal") < 0, "debt").when(F.col("c_acctbal") < 5000, "some").otherwise("rich")
+    empty = lambda c, name: F.coalesce(c, F.lit("")).alias(name)
+    return u.select(
+        "user_id", empty(F.col("favorite_genres"), "favorite_genres"), F.coalesce("avg_rating", F.lit(0.0)).alias("avg_rating"), F.coalesce("rating_count", F.lit(0)).cast("long").alias("rating_count"),
+        empty(text("s", 20), "recently_rated"), empty(text("s", 50), "action_sequence"), F.coalesce(F.size("s"), F.lit(0)).cast("long").alias("retrieval_sequence"), empty(text("s", 20), "scoring_sequence"), empty(text("w"), "served"),
+        empty(text("days"), "past_requests"), empty(F.col("inferred_genres"), "inferred_genres"), empty(text("i"), "impressed"), empty(text(cached), "cached"), (F.coalesce(F.size(cached), F.lit(0)) > 0).alias("has_cached"),
+        F.concat_ws("|", "c_mktsegment", F.coalesce("n_name", F.lit("")), band).alias("demographics"), empty(F.col("genre_preferences"), "genre_preferences"), F.concat(F.lower("c_mktsegment"), F.lit("=1")).alias("tag_preferences"),
+    )
+
+
 # Files
 
 

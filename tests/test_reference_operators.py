@@ -186,6 +186,41 @@ def test_bootstrap_interval(spark, sf):
         assert abs((x.low + x.high) / 2 - w.m) < 0.6 * w.se and 3 < (x.high - x.low) / w.se < 5
 
 
+def test_thompson_by_hand(spark, sf):
+    """The query's draws and bonuses from counts, each draw made again for one row alone with whole numbers."""
+    mask = 2**64 - 1
+
+    def uniform(key, purpose):
+        x = (key * 0x9E3779B97F4A7C15 + purpose * 0x632BE59BD9B4E019 + 42) & mask
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * factor & mask
+        return ((x ^ x >> 31) >> 11) * 2.0**-53 + 2.0**-54
+
+    def gamma(key, shape, place):
+        d = shape - 1 / 3
+        while True:
+            u, r, t = (uniform(key, place + i) for i in range(3))
+            x = math.sqrt(-2 * math.log(r)) * math.cos(2 * math.pi * t)
+            v = (1 + x / math.sqrt(9 * d)) ** 3
+            if v > 0 and math.log(u) < 0.5 * x * x + d - d * v + d * math.log(v):
+                return d * v
+            place += 3
+
+    from cinderloom.sources import tables
+
+    counts: dict = {}
+    for e in tables.events(spark, sf).filter("movie_id > 0").collect():
+        n = counts.setdefault(e.movie_id, [0, 0])
+        n[0] += 1
+        n[1] += e.event_type == "click"
+    got = {r.item_id: r for r in QUERIES["x12_thompson"](spark, sf).collect()}
+    assert got.keys() == counts.keys()
+    for item, (n, clicks) in counts.items():
+        a, b = 1 + clicks, 1 + n - clicks
+        x, y = gamma(item, a, 0), gamma(item, b, 1 << 20)
+        assert abs(got[item].sampled - x / (x + y)) < 1e-9 and abs(got[item].bonus - min(0.25, abs(x / (x + y) - a / (a + b)))) < 1e-9
+
+
 def test_bootstrap_draws(spark):
     """Every resample has as many draws as rows, over one block or many; one row is always itself; counts spread like draws with replacement; reruns agree."""
     rows = [("a", i, float(i % 9)) for i in range(900)] + [("one", 1, 5.0), (None, 1, 2.0), (None, 2, 4.0)]
@@ -211,6 +246,9 @@ def test_quantiles_of_groups(spark):
     assert got.keys() == groups.keys()
     for g, xs in groups.items():
         assert all(abs(got[g][n] - np.quantile(xs, q)) < 1e-9 for n, q in shares.items())
+    got = {r.g: r for r in statistics.nearest_ranks(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", shares).collect()}
+    for g, xs in groups.items():
+        assert all(got[g][n] == sorted(xs)[max(1, math.ceil(q * len(xs))) - 1] for n, q in shares.items())
 
 
 @pytest.mark.parametrize("block", [7, 4096])
