@@ -189,16 +189,19 @@ def _by_group(entries: DataFrame) -> DataFrame:
 
 
 def _cells(vectors: DataFrame) -> DataFrame:
-    """(id, vec, cell): cells of at most CELL vectors."""
-    own, next_cell = vectors.select("id", "vec", F.lit(0).cast("long").alias("cell")), 1
+    """(id, vec, cell): cells of at most CELL vectors. A round works on the members of cells that are too large, and on no others."""
+    active, next_cell, done = vectors.select("id", "vec", F.lit(0).cast("long").alias("cell")), 1, []
     while True:
-        own = written(own, "cells")
-        sizes = own.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL)
-        large = {r["cell"]: r["n"] for r in sizes.limit(SLICE // FAN).collect()}  # further ones wait for the next round
+        active = written(active, "cells")
+        over = written(active.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL), "over")
+        done.append(active.join(over.select("cell"), "cell", "left_anti").select("id", "vec", "cell"))
+        large = {r["cell"]: r["n"] for r in over.limit(SLICE // FAN).collect()}  # further ones wait for the next round
         if not large:
             break
+        own = active.filter(F.col("cell").isin(list(large)))
+        waiting = active.join(over.select("cell"), "cell", "left_semi").filter(~F.col("cell").isin(list(large))).select("id", "vec", "cell")
         share = F.create_map(*[F.lit(x) for c, n in large.items() for x in (c, min(1.0, SAMPLE / n))])
-        sample = own.filter(F.col("cell").isin(list(large))).filter(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 30)) < share[F.col("cell")] * (1 << 30))
+        sample = own.filter(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 30)) < share[F.col("cell")] * (1 << 30))
 
         def fit(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
             c = fitted(np.array(f["vec"].tolist()), min(FAN, -(-2 * large[key[0]] // CELL)))
@@ -226,9 +229,11 @@ def _cells(vectors: DataFrame) -> DataFrame:
                     out[mine] = first + (nearest(np.array(vecs.iloc[mine].tolist()), centres) if centres is not None else _hashed(ids.to_numpy()[mine], first) % parts)
             return pd.Series(out)
 
-        cut = own.filter(F.col("cell").isin(list(large))).select("id", "vec", child("id", "vec", "cell").alias("cell"))
-        own = cut.unionByName(own.filter(~F.col("cell").isin(list(large))))
-    return own
+        active = own.select("id", "vec", child("id", "vec", "cell").alias("cell")).unionByName(waiting)
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def build(vectors: DataFrame, posting: int = POSTING) -> InvertedFile:
