@@ -299,3 +299,13 @@ def test_query_equals_sql(spark, sf, name):
     df = QUERIES[name](spark, sf)
     assert sorted(df.columns) == sorted(want_columns)
     assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(want_columns, want)
+
+
+def test_item_vectors_from_sequences(spark, sf):
+    """One vector of 16 numbers with eight decimals for each item that someone liked, the same at every run of one sequence order."""
+    from cinderloom.sources import tables
+
+    got = {r.item_id: r.vector.split(" ") for r in QUERIES["v15_word2vec"](spark, sf).collect()}
+    liked = {r.item_id for r in tables.ratings(spark, sf).filter("rating >= 3.5").select("item_id").distinct().collect()}
+    assert got.keys() == liked and all(len(v) == 16 and all(len(x.split(".")[1]) == 8 for x in v) for v in got.values())
+    assert len({tuple(v) for v in got.values()}) == len(got)
