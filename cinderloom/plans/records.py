@@ -129,8 +129,8 @@ def a26_audit_summary(spark, sf):
 
 @query("ratings ev vectors", f"""with i as (select user_id, movie_id item_id, 1.0::double w from ev where user_id > 0 and {HISTORY} union all select user_id, item_id, 2.0::double from ratings),
  m as (select user_id, item_id, max(w) w from i group by all), own as (select id user_id, vec from vectors where id % 10 = 0), us as (select distinct user_id from m),
- f as (select user_id, d, round(sum(x * w) / sum(w), 6) x from (select user_id, w, unnest(generate_series(0, 63)) d, unnest(vec) x from m join vectors on item_id = id where user_id not in (select user_id from own)) group by all)
- select user_id, d, x, 'items' origin from f union all select user_id, unnest(generate_series(0, 63)), round(unnest(vec), 6), 'own' from us join own using (user_id)""")
+ f as (select user_id, d, round(sum(x * w) / sum(w), 6) + 0.0::double x from (select user_id, w, unnest(generate_series(0, 63)) d, unnest(vec) x from m join vectors on item_id = id where user_id not in (select user_id from own)) group by all)
+ select user_id, d, x, 'items' origin from f union all select user_id, unnest(generate_series(0, 63)), round(unnest(vec), 6) + 0.0::double, 'own' from us join own using (user_id)""")
 def v14_vector_fallback(spark, sf):
     """A user's own vector (here those of ids divisible by ten), or the mean of item vectors: weight 1 for recent items, 2 for rated ones, the greater for both."""
     v = T.vectors(spark, sf)
@@ -138,9 +138,9 @@ def v14_vector_fallback(spark, sf):
     m = recent.unionByName(T.ratings(spark, sf).select("user_id", "item_id", F.lit(2.0).alias("w"))).groupBy("user_id", "item_id").agg(F.max("w").alias("w"))
     own = v.filter("id % 10 = 0").select(F.col("id").alias("user_id"), "vec")
     rest = m.join(own.select("user_id"), "user_id", "left_anti").join(v.select(F.col("id").alias("item_id"), "vec"), "item_id")
-    f = rest.select("user_id", "w", F.posexplode("vec").alias("d", "x")).groupBy("user_id", "d").agg(F.round(F.sum(F.col("x") * F.col("w")) / F.sum("w"), 6).alias("x"))
+    f = rest.select("user_id", "w", F.posexplode("vec").alias("d", "x")).groupBy("user_id", "d").agg((F.round(F.sum(F.col("x") * F.col("w")) / F.sum("w"), 6) + 0.0).alias("x"))  # + 0.0: no negative zero
     kept = own.join(m.select("user_id").distinct(), "user_id", "left_semi").select("user_id", F.posexplode("vec").alias("d", "x"))
-    return f.select("user_id", F.col("d").cast("long").alias("d"), "x", F.lit("items").alias("origin")).unionByName(kept.select("user_id", F.col("d").cast("long").alias("d"), F.round("x", 6).alias("x"), F.lit("own").alias("origin")))
+    return f.select("user_id", F.col("d").cast("long").alias("d"), "x", F.lit("items").alias("origin")).unionByName(kept.select("user_id", F.col("d").cast("long").alias("d"), (F.round("x", 6) + 0.0).alias("x"), F.lit("own").alias("origin")))
 
 
 @query("ratings ev", f"""with old as (select user_id, list(item_id order by ts desc, item_id)[1:120] s from ratings group by 1),
