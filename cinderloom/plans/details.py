@@ -127,13 +127,12 @@ def u7_generations(spark, sf):
 def v9_v10_co_rated_bags(spark, sf):
     """Items as bags of their own vector and those of the three most co-rated items; the ten of highest MaxSim for each item whose id is divisible by 50."""
     v = T.vectors(spark, sf).select("id", "vec")
-    co = C.co_rating(T.ratings(spark, sf)).join(v.select(F.col("id").alias("other_id")), "other_id", "left_semi")
-    near = R.top_k(co, ["item_id"], 3, F.desc("n"), F.asc("other_id")).select(F.col("item_id").alias("owner"), F.col("other_id").alias("id"))
-    tokens = v.select(F.col("id").alias("owner"), "vec").union(near.join(v.select(F.col("id").alias("owner")), "owner", "left_semi").join(v, "id").select("owner", "vec"))
+    some = v.select(F.col("id").alias("item_id"))
+    near = C.similar_items(T.ratings(spark, sf), 3, of=some, among=some).select(F.col("item_id").alias("owner"), F.col("other_id").alias("id"))
+    tokens = v.select(F.col("id").alias("owner"), "vec").union(near.join(v, "id").select("owner", "vec"))
     bags = tokens.groupBy("owner").agg(F.collect_list("vec").alias("bag"))  # four vectors at most
     q = bags.filter("owner % 50 = 0").select(F.col("owner").alias("query_id"), F.col("bag").alias("qbag"))
-    found = V.max_sim_pairs(q, bags.withColumnRenamed("owner", "id"))
-    return R.top_k(found.withColumn("score", F.round("score", 6)), ["query_id"], 10, F.desc("score"), F.asc("id")).select("query_id", "id", "score", long("rank"))
+    return V.max_sim_top_k(q, bags.withColumnRenamed("owner", "id"), 10).select("query_id", "id", "score", long("rank"))
 
 
 @query("ratings movies", """with w as (select user_id, string_agg(item_id, ',' order by k) watched from (select *, row_number() over (partition by user_id order by ts desc, item_id) k from ratings) where k <= 50 group by 1),
