@@ -208,9 +208,9 @@ def v8_v9_v10_max_sim(spark, sf):
 @query("ratings vectors", """with w as (select user_id, unnest(generate_series(0, 63)) d, unnest(vec) x, case when rating >= 4 then 2.0::double else 1.0::double end w from ratings join vectors on item_id = id)
  select user_id, d, round(sum(x * w) / sum(w), 6) x from w group by all""")
 def v14_user_vectors(spark, sf):
-    r = T.ratings(spark, sf).join(T.vectors(spark, sf), F.col("item_id") == F.col("id"))
-    w = r.select("user_id", F.when(F.col("rating") >= 4, 2.0).otherwise(1.0).alias("w"), F.posexplode("vec").alias("d", "x"))
-    return w.groupBy("user_id", F.col("d").cast("long").alias("d")).agg(F.round(F.sum(F.col("x") * F.col("w")) / F.sum("w"), 6).alias("x"))
+    v = T.vectors(spark, sf)
+    r = T.ratings(spark, sf).join(v, F.col("item_id") == F.col("id")).select("user_id", F.when(F.col("rating") >= 4, 2.0).otherwise(1.0).alias("w"), "vec")
+    return V.weighted_means(r, v, "user_id").select("user_id", "d", F.round("x", 6).alias("x"))
 
 
 @query("vectors", """with c as (select label, d, avg(x) m from (select label, unnest(generate_series(1, 64)) d, unnest(vec) x from vectors) group by all), l as (select label, list(m order by d) cv from c group by 1)

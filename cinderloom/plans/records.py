@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from cinderloom.functions import events as E
 from cinderloom.functions import scores as S
 from cinderloom.operators import ranking as R
-from cinderloom.operators.lineage import shared_dir
+from cinderloom.operators import vectors as V
+from cinderloom.operators.lineage import shared_dir, written
 from cinderloom.plans.catalog_and_events import HISTORY, LABEL
 from cinderloom.plans.recall_and_rank import SCORED, _scored
 from cinderloom.plans.registry import query
@@ -138,9 +139,9 @@ def v14_vector_fallback(spark, sf):
     m = recent.unionByName(T.ratings(spark, sf).select("user_id", "item_id", F.lit(2.0).alias("w"))).groupBy("user_id", "item_id").agg(F.max("w").alias("w"))
     own = v.filter("id % 10 = 0").select(F.col("id").alias("user_id"), "vec")
     rest = m.join(own.select("user_id"), "user_id", "left_anti").join(v.select(F.col("id").alias("item_id"), "vec"), "item_id")
-    f = rest.select("user_id", "w", F.posexplode("vec").alias("d", "x")).groupBy("user_id", "d").agg((F.round(F.sum(F.col("x") * F.col("w")) / F.sum("w"), 6) + 0.0).alias("x"))  # + 0.0: no negative zero
+    f = V.weighted_means(rest.select("user_id", "w", "vec"), v, "user_id").select("user_id", "d", (F.round("x", 6) + 0.0).alias("x"))  # + 0.0: no negative zero
     kept = own.join(m.select("user_id").distinct(), "user_id", "left_semi").select("user_id", F.posexplode("vec").alias("d", "x"))
-    return f.select("user_id", F.col("d").cast("long").alias("d"), "x", F.lit("items").alias("origin")).unionByName(kept.select("user_id", F.col("d").cast("long").alias("d"), (F.round("x", 6) + 0.0).alias("x"), F.lit("own").alias("origin")))
+    return f.select("user_id", "d", "x", F.lit("items").alias("origin")).unionByName(kept.select("user_id", F.col("d").cast("long").alias("d"), (F.round("x", 6) + 0.0).alias("x"), F.lit("own").alias("origin")))
 
 
 @query("ratings ev", f"""with old as (select user_id, list(item_id order by ts desc, item_id)[1:120] s from ratings group by 1),
