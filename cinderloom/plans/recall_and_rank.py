@@ -133,8 +133,9 @@ CAND = """cand as (select user_id request_id, item_id, rating / 5.0 score, 'embe
 
 def _candidates(spark, sf):
     r = T.ratings(spark, sf).withColumnRenamed("user_id", "request_id")
-    part = lambda cond, d, name: r.filter(cond).select("request_id", "item_id", (F.col("rating") / d).alias("score"), F.lit(name).alias("channel"))
-    return part("item_id % 2 = 0", 5.0, "embedding").union(part("item_id % 3 = 0", 6.0, "trending")).union(part("true", 7.0, "popularity"))
+    part = lambda d, name: F.struct((F.col("rating") / d).alias("score"), F.lit(name).alias("channel"))
+    given = F.array(F.when(F.expr("item_id % 2 = 0"), part(5.0, "embedding")), F.when(F.expr("item_id % 3 = 0"), part(6.0, "trending")), part(7.0, "popularity"))
+    return r.select("request_id", "item_id", F.explode(F.array_compact(given)).alias("x")).select("request_id", "item_id", "x.*")
 
 
 @query("ratings", f"with {CAND} select request_id, item_id, max(score) score, arg_min(channel, (-score, channel)) channel from cand group by all")
