@@ -11,6 +11,7 @@ from cinderloom.operators import folds
 from cinderloom.operators import ranking as R
 from cinderloom.operators import recall as C
 from cinderloom.operators import vectors as V
+from cinderloom.operators.lineage import written
 from cinderloom.plans.catalog_and_events import HISTORY, LABEL, WEIGHT
 from cinderloom.plans.recall_and_rank import ARMS, BONUS, CO, OUT, POST, _arms, long
 from cinderloom.plans.registry import query
@@ -142,9 +143,10 @@ def v9_v10_co_rated_bags(spark, sf):
  select c_custkey user_id, coalesce(watched, '') watched, coalesce(rated, '') rated, coalesce(prefs, '') prefs from customer left join w on c_custkey = w.user_id left join r on c_custkey = r.user_id left join p on c_custkey = p.user_id""")
 def h7_h12_histories(spark, sf):
     """The newest 50 watched and the newest 50 well rated items of each user, and the five strongest preferences, none over 1."""
-    r = T.ratings(spark, sf)
+    r = written(T.ratings(spark, sf), "ratings")
     newest = [F.desc("ts"), F.asc("item_id")]
-    g = r.join(T.movies(spark, sf).select("item_id", F.explode("genres").alias("genre")), "item_id").groupBy("user_id", "genre").agg(F.round(F.least(F.lit(1.0), F.avg("rating") / 4.0), 6).alias("w"))
+    g = r.join(T.movies(spark, sf).select("item_id", "genres"), "item_id").select("user_id", "rating", "genres").repartition("user_id")
+    g = g.select("user_id", "rating", F.explode("genres").alias("genre")).groupBy("user_id", "genre").agg(F.round(F.least(F.lit(1.0), F.avg("rating") / 4.0), 6).alias("w"))
     g = g.withColumn("pref", F.concat("genre", F.lit("="), F.round(F.col("w") * 1e6).cast("long").cast("string")))
     u = T.load(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
     for part in (_listed(r, "user_id", newest, 50, "item_id", "watched"), _listed(r.filter("rating >= 4"), "user_id", newest, 50, "item_id", "rated"), _listed(g, "user_id", [F.desc("w"), F.asc("genre")], 5, "pref", "prefs")):
