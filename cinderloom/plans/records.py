@@ -187,10 +187,11 @@ def h1_h2_user_record(spark, sf):
         top = R.top_k(df, ["user_id"], n, F.desc(time), F.asc(item))
         return top.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.col(item).alias("x")))), lambda x: x["x"]).alias(name))
 
-    r, e = T.ratings(spark, sf), T.events(spark, sf).filter("user_id > 0")
+    r, e = written(T.ratings(spark, sf), "ratings"), T.events(spark, sf).filter("user_id > 0")
     g = T.movies(spark, sf).select("item_id", F.explode("genres").alias("genre")).distinct()
     ids = R.placed(g.select("genre").distinct(), F.asc("genre"), name="gid").withColumn("gid", F.col("gid") - 1)
-    liked = r.filter("rating >= 4").join(g, "item_id").groupBy("user_id", "genre").agg(F.count(F.lit(1)).alias("n"))
+    names = g.groupBy("item_id").agg(F.collect_list("genre").alias("names"))
+    liked = r.filter("rating >= 4").join(names, "item_id").select("user_id", "names").repartition("user_id").select("user_id", F.explode("names").alias("genre")).groupBy("user_id", "genre").agg(F.count(F.lit(1)).alias("n"))
     top = R.top_k(liked, ["user_id"], 5, F.desc("n"), F.asc("genre")).join(ids, "genre")
     fav = top.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("rank", "genre", "n", "gid"))).alias("f"))
     fav = fav.select("user_id", F.array_join(F.transform(F.slice("f", 1, 3), lambda x: x["genre"]), ",").alias("favorite_genres"), F.array_join(F.transform("f", lambda x: F.concat(x["genre"], F.lit("="), x["n"].cast("string"))), ",").alias("genre_preferences"),
